@@ -64,7 +64,7 @@ class Dictionary:
         return Dictionary(
             {
                 n: (
-                    np.array([r["word_id"] for r in rs], dtype=np.int32),
+                    np.array([r["word_id"] for r in rs], dtype=np.int64),
                     np.array([r["wv"] for r in rs], dtype=float),
                 )
                 for n, rs in grouped.items()

@@ -14,16 +14,18 @@ from pixelseek.functions.vector import METRICS, minmax
 from pixelseek.operators.relational import SALTS
 
 THRESHOLD = 0.8
+ARROW_IDS = {"int": pa.int32(), "bigint": pa.int64()}
 BLOCK_WORDS = 256
 
 
-def _distance_udf(book: Dictionary, metric: str) -> Column:
+def _distance_udf(book: Dictionary, metric: str, id_type: str) -> Column:
     block = kernels.BLOCKS[metric]
+    arrow_id = ARROW_IDS[id_type]
 
-    @F.arrow_udf("array<struct<word_id:int,dist:double>>")
+    @F.arrow_udf(f"array<struct<word_id:{id_type},dist:double>>")
     def distances(vec: pa.Array) -> pa.Array:
         counts = np.zeros(len(vec), dtype=np.int64)
-        per_row: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int32), np.empty(0))] * len(vec)
+        per_row: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(vec)
         for rows, x in kernels.list_rows(vec):
             if x.shape[1] not in book.by_length:
                 continue
@@ -34,21 +36,22 @@ def _distance_udf(book: Dictionary, metric: str) -> Column:
                 per_row[r] = (ids, line)
         if not len(vec):
             return kernels.ragged_struct(
-                counts, word_id=pa.array([], pa.int32()), dist=pa.array([], pa.float64())
+                counts, word_id=pa.array([], arrow_id), dist=pa.array([], pa.float64())
             )
         return kernels.ragged_struct(
             counts,
-            word_id=pa.array(np.concatenate([p[0] for p in per_row]), pa.int32()),
+            word_id=pa.array(np.concatenate([p[0] for p in per_row]), arrow_id),
             dist=pa.array(np.concatenate([p[1] for p in per_row]), pa.float64()),
         )
 
     return distances
 
 
-def _soft_udf(book: Dictionary, metric: str, threshold: float) -> Column:
+def _soft_udf(book: Dictionary, metric: str, threshold: float, id_type: str) -> Column:
     block = kernels.BLOCKS[metric]
+    arrow_id = ARROW_IDS[id_type]
 
-    @F.arrow_udf("array<struct<word_id:int,weight:double>>")
+    @F.arrow_udf(f"array<struct<word_id:{id_type},weight:double>>")
     def soft_words(vec: pa.Array) -> pa.Array:
         rows_out, ids_out, weights_out = [], [], []
         for rows, x in kernels.list_rows(vec):
@@ -65,11 +68,11 @@ def _soft_udf(book: Dictionary, metric: str, threshold: float) -> Column:
             weights_out.append(w[r, c])
         r = np.concatenate(rows_out) if rows_out else np.empty(0, np.int64)
         order = np.argsort(r, kind="stable")
-        ids = np.concatenate(ids_out)[order] if rows_out else np.empty(0, np.int32)
+        ids = np.concatenate(ids_out)[order] if rows_out else np.empty(0, np.int64)
         weights = np.concatenate(weights_out)[order] if rows_out else np.empty(0)
         return kernels.ragged_struct(
             np.bincount(r, minlength=len(vec)),
-            word_id=pa.array(ids, pa.int32()),
+            word_id=pa.array(ids, arrow_id),
             weight=pa.array(weights, pa.float64()),
         )
 
@@ -115,7 +118,7 @@ def word_distances(
     if isinstance(metric, str):
         rows = fetch(words, "wv", max_bytes)
         if rows is not None:
-            distances = _distance_udf(Dictionary.of(rows), metric)
+            distances = _distance_udf(Dictionary.of(rows), metric, dict(words.dtypes)["word_id"])
             return vectors.select("vec_id", F.inline(distances("vec")))
     return _blocked_distances(vectors, words, METRICS.get(metric, metric))
 
@@ -144,7 +147,17 @@ def soft_assign(
     if isinstance(metric, str):
         rows = fetch(words, "wv", max_bytes)
         if rows is not None:
-            soft_words = _soft_udf(Dictionary.of(rows), metric, threshold)
+            soft_words = _soft_udf(Dictionary.of(rows), metric, threshold, dict(words.dtypes)["word_id"])
             return vectors.select("vec_id", F.inline(soft_words("vec")))
     scaled = scaled_distances(word_distances(vectors, words, metric, max_bytes))
     return scaled.where(F.col("weight") < threshold)
+
+
+def knn(
+    vectors: DataFrame, base: DataFrame, k: int, metric="l2sq", max_bytes: int = MAX_BYTES
+) -> DataFrame:
+    """(vec_id, rank, word_id, dist): the k nearest words of each vector, ties by word id."""
+    order = Window.partitionBy("vec_id").orderBy("dist", "word_id")
+    distances = word_distances(vectors, base, metric, max_bytes)
+    ranked = distances.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("vec_id", "rank", "word_id", "dist")

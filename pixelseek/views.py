@@ -86,11 +86,13 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector as an 8 x 8 one-channel image: (image_id, ch, x, y, v), x and y from 1."""
+    """Each vector as an 8 x 8 one-channel image: (image_id, width, height, ch, x, y, v), x and y from 1."""
     grey = F.floor(F.least(F.greatest(F.col("e") * 256 + 128, F.lit(0.0)), F.lit(255.0))).cast("int")
     cells = vectors(spark, sf_dir).select("vec_id", F.posexplode("vec").alias("pos", "e"))
     return cells.select(
         F.col("vec_id").alias("image_id"),
+        F.lit(SIDE).alias("width"),
+        F.lit(SIDE).alias("height"),
         F.lit(1).alias("ch"),
         (F.col("pos") % SIDE + 1).cast("int").alias("x"),
         (F.floor(F.col("pos") / SIDE) + 1).cast("int").alias("y"),
