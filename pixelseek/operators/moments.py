@@ -90,12 +90,7 @@ def whitening_matrix(df: DataFrame, dim: int, eps: float = WHITEN_EPS, vec: str
     return np.sqrt(n - 1) * (vectors / np.sqrt(np.maximum(values, eps))) @ vectors.T
 
 
-def whiten(df: DataFrame, dim: int, eps: float = WHITEN_EPS, vec: str = "vec") -> DataFrame:
+def whiten(df: DataFrame, dim: int, eps: float = WHITEN_EPS) -> DataFrame:
     """``df`` with ``vec`` replaced by its whitened form."""
-    w = whitening_matrix(df, dim, eps, vec)
-
-    @F.arrow_udf("array<double>")
-    def project(a: pa.Array) -> pa.Array:
-        return kernels.to_list_array(kernels.list_matrix(a, dim) @ w, pa.float64())
-
-    return df.where(F.size(vec) == dim).withColumn(vec, project(vec))
+    w = whitening_matrix(df, dim, eps)
+    return kernels.map_vectors(df.where(F.size("vec") == dim), lambda x: x @ w, dim)

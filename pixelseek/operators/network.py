@@ -10,7 +10,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,26 +122,23 @@ def dense(
     """
     keep = 1.0 - dropout
     cells = fetch_rows(weights.select("out", "inp", "w"), max_bytes // CELL_BYTES)
-    if cells is None:
-        linear = _dense_joined(vectors, weights, biases, keep)
-    else:
+    if cells is not None:
         shift = {r["out"]: r["w"] for r in biases.select("out", "w").collect()}
         matrix = np.zeros((max(r["inp"] for r in cells), max(r["out"] for r in cells)))
         for r in cells:
             matrix[r["inp"] - 1, r["out"] - 1] = r["w"]
         b = np.array([shift.get(o + 1, 0.0) for o in range(matrix.shape[1])])
 
-        @F.arrow_udf("array<double>")
-        def product(a: pa.Array) -> pa.Array:
-            x = kernels.list_matrix(a, matrix.shape[0])
-            return kernels.to_list_array((x @ matrix + b) * keep, pa.float64())
+        def forward(x: np.ndarray) -> np.ndarray:
+            return kernels.activate((x @ matrix + b) * keep, function)
 
-        linear = vectors.select("vec_id", product("vec").alias("vec"))
+        rows = vectors.select("vec_id", "vec").where(F.size("vec") == matrix.shape[0])
+        return kernels.map_vectors(rows, forward, matrix.shape[0])
     active = snap(ACTIVATIONS[function](snap(F.col("vec"))))
-    return linear.select("vec_id", active.alias("vec"))
+    return _dense_joined(vectors, weights, biases, keep).select("vec_id", active.alias("vec"))
 
 
-def _coordinates(rows: DataFrame, part: str) -> DataFrame | None:
+def _coordinates(rows: DataFrame, part: str) -> DataFrame:
     """Coordinate-wise parameters of one layer as a single array row."""
     cells = rows.where(F.col("part") == part)
     packed = cells.agg(F.array_sort(F.collect_list(F.struct("out", "w"))).alias("cs"))

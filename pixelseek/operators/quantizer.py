@@ -158,15 +158,14 @@ def encode(vectors: DataFrame, centers: DataFrame, max_bytes: int = MAX_BYTES) -
     book = fetch_centers(centers, max_bytes)
     slices = book.slices()
 
-    @F.arrow_udf("array<int>")
-    def code(vec: pa.Array) -> pa.Array:
-        x = kernels.list_matrix(vec, book.dim)
+    def code(x: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), len(slices)), dtype=np.int32)
         for g, (s, (cids, matrix)) in enumerate(zip(slices, book.groups)):
             out[:, g], _ = kernels.nearest(x[:, s], cids, matrix)
-        return kernels.to_list_array(out, pa.int32())
+        return out
 
-    return with_dim(vectors, book.dim).select("vec_id", code("vec").alias("code"))
+    rows = with_dim(vectors, book.dim).select("vec_id", "vec")
+    return kernels.map_vectors(rows, code, book.dim, out="code", cell="int")
 
 
 def distance_tables(queries: np.ndarray, centers: Centers) -> np.ndarray:

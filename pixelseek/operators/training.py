@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from pixelseek.functions import kernels
 from pixelseek.functions.hashing import hash32
-from pixelseek.functions.vector import EPS
 from pixelseek.operators.moments import class_weights
 
 # Fixed value: number of hash ranges that are numbered apart.
@@ -77,31 +76,15 @@ class Head:
         return spark.createDataFrame(cells, "out int, inp int, w double")
 
 
-def _snap(a: np.ndarray) -> np.ndarray:
-    return np.where(np.abs(a) < EPS, 0.0, a)
-
-
-def _forward(x: np.ndarray, head: Head, function: str) -> np.ndarray:
-    a = _snap(x @ head.w.T + head.b)
-    if function == "soft":
-        e = np.exp(a - a.max(axis=1, keepdims=True))
-        a = e / e.sum(axis=1, keepdims=True)
-    elif function == "sigm":
-        a = (1 + np.tanh(a / 2)) / 2
-    elif function == "relu":
-        a = np.maximum(a, 0)
-    return _snap(a)
-
-
 def _error(a: np.ndarray, y: np.ndarray, function: str, coefs: np.ndarray) -> tuple[np.ndarray, float]:
     """Derivative by the weighted input of each output, and the summed loss."""
     if function == "SVM":
         signs = 2 * y - 1
         slack = np.maximum(1 - a * signs, 0)
-        return _snap(-2 * signs * slack * coefs), float((slack * slack).sum())
+        return kernels.snap(-2 * signs * slack * coefs), float((slack * slack).sum())
     diff = a - y
     loss = float((diff * diff).sum() / 2)
-    d = _snap(diff * coefs)
+    d = kernels.snap(diff * coefs)
     if function == "soft":
         d = a * (d - (a * d).sum(axis=1, keepdims=True))
     elif function == "sigm":
@@ -124,7 +107,7 @@ def gradient(batch: DataFrame, head: Head, classes: list[int], function: str, co
         for rb in batches:
             x = kernels.list_matrix(rb.column(0), inputs)
             y = (rb.column(1).to_numpy(zero_copy_only=False)[:, None] == order[None, :]).astype(float)
-            d, part = _error(_forward(x, head, function), y, function, coefs)
+            d, part = _error(kernels.activate(x @ head.w.T + head.b, function), y, function, coefs)
             total[:, 0] += d.sum(axis=0)
             total[:, 1:] += d.T @ x
             loss, n = loss + part, n + len(x)
@@ -151,7 +134,7 @@ def _step(head: Head, batch: DataFrame, classes: list[int], coefs: np.ndarray, p
         value = getattr(head, name)
         previous, gain = head.state.setdefault(name, (np.zeros_like(value), np.ones_like(value)))
         if p.momentum:
-            setattr(head, name, _snap(value - p.momentum * previous))
+            setattr(head, name, kernels.snap(value - p.momentum * previous))
     grad = np.zeros((len(classes), head.w.shape[1] + 1))
     n, loss = 0, 0.0
     for r in gradient(batch, head, classes, p.function, coefs).collect():
@@ -165,7 +148,7 @@ def _step(head: Head, batch: DataFrame, classes: list[int], coefs: np.ndarray, p
     head.losses.append(loss / n)
     for name in ("w", "b"):
         previous, gain = head.state[name]
-        step = p.alpha * _snap(grads[name])
+        step = p.alpha * kernels.snap(grads[name])
         if p.adjust_rate > 0:
             agree = previous * step > 0
             gain = np.where(agree, gain + p.adjust_rate, gain * (1 - p.adjust_rate))
@@ -174,7 +157,7 @@ def _step(head: Head, batch: DataFrame, classes: list[int], coefs: np.ndarray, p
         head.state[name] = (step, gain)
         if p.momentum > 0:
             step = (1 - p.momentum) * step
-        setattr(head, name, _snap(getattr(head, name) - step))
+        setattr(head, name, kernels.snap(getattr(head, name) - step))
 
 
 def fit_head(
