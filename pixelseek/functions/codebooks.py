@@ -10,11 +10,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+PIN_BYTES = 8 << 20
 MAX_BYTES = 64 << 20
 ROW_BYTES = 16
+PROBE_ROWS = 1000
 
 
 def measured_bytes(df: DataFrame, array_col: str) -> tuple[int, int]:
@@ -31,11 +35,14 @@ def fetch(
 ) -> list[Row] | None:
     """All rows, or ``None`` once they pass ``max_bytes``.
 
-    Rows are read partition by partition and reading stops at the limit, so the driver never
-    holds more than that and the table is computed once.
+    Up to PROBE_ROWS rows take one job. A longer table is read partition by partition, and
+    reading stops at the limit, so the driver never holds more than that.
     """
+    found = df.collect() if df.isLocal() else df.limit(PROBE_ROWS + 1).collect()
+    if not df.isLocal() and len(found) > PROBE_ROWS:
+        found = df.toLocalIterator()
     rows, size = [], 0
-    for row in df.toLocalIterator():
+    for row in found:
         size += 8 * len(row[array_col] or ()) + row_bytes
         if size > max_bytes:
             return None
@@ -49,6 +56,36 @@ def fetch_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
     return rows if len(rows) <= max_rows else None
 
 
+def local_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A small driver-side table; the planner knows its size."""
+    return spark.createDataFrame(pa.table(columns))
+
+
+def pinned(df: DataFrame, array_col: str, max_bytes: int = PIN_BYTES) -> DataFrame:
+    """The same small table, computed once instead of by every use.
+
+    Up to ``max_bytes`` it becomes a local table. A larger one is checkpointed in the session's
+    checkpoint folder, where lost executors cannot take it along.
+    """
+    rows = fetch(df, array_col, max_bytes)
+    if rows is not None:
+        schema = to_arrow_schema(df.schema)
+        columns = {f.name: pa.array([r[f.name] for r in rows], f.type) for f in schema}
+        return local_table(df.sparkSession, columns)
+    use_checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def use_checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; it must be one that all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 @dataclass(frozen=True)
 class Dictionary:
     """Words grouped by length: length -> (word ids ascending, matrix)."""

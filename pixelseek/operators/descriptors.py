@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelseek.functions import kernels
-from pixelseek.functions.codebooks import MAX_BYTES, Dictionary, fetch
+from pixelseek.functions.codebooks import MAX_BYTES, Dictionary, fetch, local_table
 from pixelseek.functions.vector import sift_normalize, sqnorm
 from pixelseek.operators.words import knn as knn_words
 
@@ -21,6 +21,7 @@ KNN, BETA = 5, 1e-4
 PYRAMID = (1, 2, 4)
 ANGLES, CELLS, ALPHA = 8, 4, 9
 GRID_STEP, PATCH, SIGMA = 6, 16, 0.8
+POSITION = ("x", "y", "width", "height")
 
 
 def learn_dictionary(descriptors: DataFrame, method: str = "kmeans", size: int = 512, seed: int = 0) -> DataFrame:
@@ -31,8 +32,14 @@ def learn_dictionary(descriptors: DataFrame, method: str = "kmeans", size: int =
         raise ValueError(f"unknown dictionary method {method!r}")
     rows = descriptors.select(array_to_vector("d").alias("features"))
     model = KMeans(k=size, seed=seed, featuresCol="features").fit(rows)
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return descriptors.sparkSession.createDataFrame(centers, "word_id int, wv array<double>")
+    centers = [np.asarray(c, dtype=float) for c in model.clusterCenters()]
+    return local_table(
+        descriptors.sparkSession,
+        {
+            "word_id": pa.array(np.arange(len(centers)), pa.int32()),
+            "wv": pa.array(centers, pa.list_(pa.float64())),
+        },
+    )
 
 
 def local_weights(x: np.ndarray, near: np.ndarray, beta: float) -> np.ndarray:
@@ -53,13 +60,14 @@ def _code_udf(book: Dictionary, knn: int, beta: float):
     (ids, matrix), = book.by_length.values()
     knn = min(knn, len(ids))
 
-    @F.arrow_udf("array<struct<word_id:bigint,w:double>>")
+    @F.arrow_udf("array<struct<slot:int,word_id:bigint,w:double>>")
     def code(d: pa.Array) -> pa.Array:
         x = kernels.list_matrix(d, matrix.shape[1])
         at = np.argsort(kernels.l2_block(x, matrix), axis=1, kind="stable")[:, :knn]
         w = local_weights(x, matrix[at], beta)
         return kernels.ragged_struct(
             np.full(len(x), knn),
+            slot=pa.array(np.tile(np.arange(knn), len(x)), pa.int32()),
             word_id=pa.array(ids[at].ravel(), pa.int64()),
             w=pa.array(w.ravel(), pa.float64()),
         )
@@ -85,18 +93,19 @@ def llc_code(
     beta: float = BETA,
     max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
-    """(image_id, desc_id, word_id, w): the non-zero weights of each descriptor.
+    """(image_id, desc_id, slot, word_id, w): the non-zero weights of each descriptor, nearest word first.
 
-    A dictionary within ``max_bytes`` gives a narrow projection. A larger one is searched in
+    Positions (x, y, width, height) are carried along where the table has them. A dictionary within ``max_bytes`` gives a narrow projection. A larger one is searched in
     blocks, and only the k chosen words are joined back.
     """
     id_type = dict(words.dtypes)["word_id"]
+    keys = ["image_id", "desc_id", *[c for c in POSITION if c in descriptors.columns]]
     rows = fetch(words, "wv", max_bytes)
     if rows is not None:
         code = _code_udf(Dictionary.of(rows), knn, beta)
-        coded = descriptors.select("image_id", "desc_id", F.inline(code("d")))
+        coded = descriptors.select(*keys, F.inline(code("d")))
         return coded.withColumn("word_id", F.col("word_id").cast(id_type))
-    keyed = descriptors.select(F.struct("image_id", "desc_id").alias("vec_id"), F.col("d").alias("vec"))
+    keyed = descriptors.select(F.struct(*keys).alias("vec_id"), F.col("d").alias("vec"))
     near = knn_words(keyed, words, knn, "l2sq", max_bytes).join(words, "word_id")
     lists = near.groupBy("vec_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "word_id", "wv"))).alias("near")
@@ -106,8 +115,8 @@ def llc_code(
         F.transform("near", lambda n: n["word_id"]).alias("ids"),
         _weights_udf(beta)("vec", F.transform("near", lambda n: n["wv"])).alias("ws"),
     )
-    pairs = solved.select("vec_id", F.explode(F.arrays_zip("ids", "ws")).alias("p"))
-    return pairs.select("vec_id.image_id", "vec_id.desc_id", F.col("p.ids").alias("word_id"), F.col("p.ws").alias("w"))
+    pairs = solved.select("vec_id", F.posexplode(F.arrays_zip("ids", "ws")).alias("slot", "p"))
+    return pairs.select("vec_id.*", "slot", F.col("p.ids").alias("word_id"), F.col("p.ws").alias("w"))
 
 
 def pyramid_bins(pyramid: tuple[int, ...] = PYRAMID) -> Column:
@@ -121,29 +130,30 @@ def pyramid_bins(pyramid: tuple[int, ...] = PYRAMID) -> Column:
     return F.array(*bins)
 
 
-def spm_pool(codes: DataFrame, descriptors: DataFrame, pyramid: tuple[int, ...] = PYRAMID) -> DataFrame:
+def place(codes: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """Codes with the positions of their descriptors, for tables that were stored apart."""
+    return codes.join(descriptors.select("image_id", "desc_id", *POSITION), ["image_id", "desc_id"])
+
+
+def spm_pool(codes: DataFrame, pyramid: tuple[int, ...] = PYRAMID) -> DataFrame:
     """(image_id, bin, word_id, v): per bin the largest weight of each word, scaled to unit norm per image.
 
-    Codes are sparse but the maximum is over all descriptors of a bin, so a word that only some
-    of them use cannot fall below zero. Zeros are not stored.
+    ``codes`` carry positions. They are sparse but the maximum is over all descriptors of a bin,
+    so a word that only some of them use cannot fall below zero. Zeros are not stored. Codes are
+    merged inside tasks; what is left of an image, at most bins x words rows, is brought
+    together once for both windows.
     """
-    placed = descriptors.select("image_id", "desc_id", pyramid_bins(pyramid).alias("bins"))
-    members = (
-        placed.select("image_id", F.explode("bins").alias("bin"))
-        .groupBy("image_id", "bin")
-        .agg(F.count(F.lit(1)).alias("members"))
-    )
-    used = codes.join(placed, ["image_id", "desc_id"]).select(
-        "image_id", F.explode("bins").alias("bin"), "word_id", "w"
+    used = codes.select(
+        "image_id", F.explode(pyramid_bins(pyramid)).alias("bin"), "word_id", "w", (F.col("slot") == 0).alias("first")
     )
     best = used.groupBy("image_id", "bin", "word_id").agg(
-        F.max("w").alias("top"), F.count(F.lit(1)).alias("users")
+        F.max("w").alias("top"), F.count(F.lit(1)).alias("users"), F.count_if("first").alias("firsts")
     )
-    value = F.when(F.col("users") == F.col("members"), F.col("top")).otherwise(F.greatest("top", F.lit(0.0)))
-    pooled = best.join(members, ["image_id", "bin"]).select("image_id", "bin", "word_id", value.alias("v"))
-    stored = pooled.where(F.col("v") != 0)
+    members = F.sum("firsts").over(Window.partitionBy("image_id", "bin"))
+    value = F.when(F.col("users") == members, F.col("top")).otherwise(F.greatest("top", F.lit(0.0)))
+    pooled = best.repartition("image_id").select("image_id", "bin", "word_id", value.alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("image_id")))
-    return stored.select("image_id", "bin", "word_id", (F.col("v") / norm).alias("v"))
+    return pooled.where(F.col("v") != 0).select("image_id", "bin", "word_id", (F.col("v") / norm).alias("v"))
 
 
 def length_histogram(df: DataFrame, bins: int = 100, vec: str = "d") -> DataFrame:

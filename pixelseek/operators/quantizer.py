@@ -94,51 +94,78 @@ def distortion(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("dist").alias("distortion"))
 
 
+def _group_slices(dim: int, groups: int) -> list[slice]:
+    width = dim // groups
+    return [slice(g * width, dim if g == groups - 1 else (g + 1) * width) for g in range(groups)]
+
+
+class _Totals:
+    """Members, coordinate sums and cost per cluster of one group, added up within a task."""
+
+    def __init__(self, cids: np.ndarray, width: int) -> None:
+        self.cids = cids
+        self.n = np.zeros(len(cids), dtype=np.int64)
+        self.cost = np.zeros(len(cids))
+        self.sums = np.zeros((len(cids), width))
+
+    def add(self, at: np.ndarray, x: np.ndarray, dist: np.ndarray | None = None) -> None:
+        size = len(self.cids)
+        self.n += np.bincount(at, minlength=size)
+        if dist is not None:
+            self.cost += np.bincount(at, weights=dist, minlength=size)
+        for j in range(x.shape[1]):
+            self.sums[:, j] += np.bincount(at, weights=x[:, j], minlength=size)
+
+    def batch(self, gid: int) -> pa.RecordBatch:
+        seen = self.n > 0
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(seen.sum(), gid), pa.int32()),
+                pa.array(self.cids[seen], pa.int32()),
+                pa.array(self.n[seen], pa.int64()),
+                kernels.to_list_array(self.sums[seen], pa.float64()),
+                pa.array(self.cost[seen], pa.float64()),
+            ],
+            names=["gid", "cid", "n", "total", "cost"],
+        )
+
+
 def cluster_stats(vectors: DataFrame, centers: Centers) -> DataFrame:
     """Per (gid, cid): members, coordinate sums and cost, from one pass over the vectors.
 
     Each task adds up its own rows, so the shuffle carries groups x clusters rows per task.
     """
-    slices = centers.slices()
-    dim = centers.dim
+    slices, dim = centers.slices(), centers.dim
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = [np.zeros(len(cids), dtype=np.int64) for cids, _ in centers.groups]
-        cost = [np.zeros(len(cids)) for cids, _ in centers.groups]
-        sums = [np.zeros_like(book) for _, book in centers.groups]
+        groups = [_Totals(cids, book.shape[1]) for cids, book in centers.groups]
         for batch in batches:
             x = kernels.list_matrix(batch.column(0), dim)
-            for g, (s, (cids, book)) in enumerate(zip(slices, centers.groups)):
-                at, d = kernels.nearest(x[:, s], np.arange(len(cids)), book)
-                n[g] += np.bincount(at, minlength=len(cids))
-                cost[g] += np.bincount(at, weights=d, minlength=len(cids))
-                np.add.at(sums[g], at, x[:, s])
-        for g, (cids, _) in enumerate(centers.groups):
-            seen = n[g] > 0
-            if seen.any():
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(seen.sum(), g), pa.int32()),
-                        pa.array(cids[seen], pa.int32()),
-                        pa.array(n[g][seen], pa.int64()),
-                        kernels.to_list_array(sums[g][seen], pa.float64()),
-                        pa.array(cost[g][seen], pa.float64()),
-                    ],
-                    names=["gid", "cid", "n", "total", "cost"],
-                )
+            for total, s, (cids, book) in zip(groups, slices, centers.groups):
+                at, dist = kernels.nearest(x[:, s], np.arange(len(cids)), book)
+                total.add(at, x[:, s], dist)
+        for gid, total in enumerate(groups):
+            yield total.batch(gid)
 
     return with_dim(vectors, dim).select("vec").mapInArrow(totals, STATS)
 
 
-def initial_stats(subs: DataFrame, clusters: int, seed: int) -> DataFrame:
-    """The same totals under the random first assignment, a seeded hash of image and group."""
-    cid = hash_bucket(clusters, F.lit(seed), F.col("gid"), F.col("vec_id"))
-    cells = subs.select("gid", cid.alias("cid"), F.posexplode("sub").alias("i", "x"))
-    sums = cells.groupBy("gid", "cid", "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    rows = sums.groupBy("gid", "cid").agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "s"))).alias("p")
-    )
-    return rows.select("gid", "cid", "n", F.transform("p", lambda p: p["s"]).alias("total"), F.lit(0.0).alias("cost"))
+def initial_stats(vectors: DataFrame, dim: int, groups: int, clusters: int, seed: int) -> DataFrame:
+    """The same totals under the random first assignment, a seeded hash of group and image."""
+    slices = _group_slices(dim, groups)
+    first = F.array(*[hash_bucket(clusters, seed, g, F.col("vec_id")) for g in range(groups)])
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_Totals(np.arange(clusters), s.stop - s.start) for s in slices]
+        for batch in batches:
+            x = kernels.list_matrix(batch.column(0), dim)
+            at = kernels.list_matrix(batch.column(1), groups)
+            for g, (total, s) in enumerate(zip(parts, slices)):
+                total.add(at[:, g], x[:, s])
+        for gid, total in enumerate(parts):
+            yield total.batch(gid)
+
+    return with_dim(vectors, dim).select("vec", first.alias("first")).mapInArrow(totals, STATS)
 
 
 def merge_stats(stats: DataFrame) -> DataFrame:

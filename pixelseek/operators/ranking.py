@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelseek.functions.vector import METRICS
-from pixelseek.operators.relational import join_side, label_name
+from pixelseek.operators.relational import cut_before_shuffle, join_side, label_name
 
 # The grid is 10, 20 ... 100, 200 ... 5000.
 FINE_STEP, FINE_END, COARSE_STEP, MAX_K = 10, 100, 100, 5000
@@ -43,6 +43,7 @@ def top_hits(scored: DataFrame, max_k: int = MAX_K, tie: str = "vec_id") -> Data
     The bound is part of the ranking, so Spark cuts to ``max_k`` rows per query inside each
     task before the shuffle; a query that hits a third of the table costs max_k rows per task.
     """
+    cut_before_shuffle(scored.sparkSession, max_k)
     order = Window.partitionBy("query_id").orderBy("dist", tie)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_k)
 
@@ -76,15 +77,14 @@ def query_context(hits: DataFrame, labels: DataFrame) -> DataFrame:
 def at_k(cumulated: DataFrame, max_k: int, short_lists: str) -> DataFrame:
     """(query_id, query_label, k, shown, matches) for every k of the grid.
 
-    One ranked pass serves all k: each k reads the row at rank min(k, list length).
-    ``shown`` is k, or the list length when ``short_lists`` is "clamp".
+    One ranked pass serves all k: the row at rank min(k, list length) answers for k. ``shown``
+    is k, or the list length when ``short_lists`` is "clamp".
     """
-    ends = cumulated.groupBy("query_id").agg(F.max("rank").alias("last"))
-    grid = F.explode(F.array(*[F.lit(k) for k in k_values(max_k)]))
-    wanted = ends.select("query_id", "last", grid.alias("k")).withColumn("rank", F.least("k", "last"))
-    rows = cumulated.select("query_id", "rank", "query_label", "matches")
+    grid = F.array(*[F.lit(k) for k in k_values(max_k)])
+    ends = cumulated.withColumn("last", F.max("rank").over(Window.partitionBy("query_id")))
+    answers = F.explode(F.filter(grid, lambda k: F.least(k, F.col("last")) == F.col("rank")))
     shown = F.col("rank") if short_lists == "clamp" else F.col("k")
-    return wanted.join(rows, ["query_id", "rank"]).select(
+    return ends.select("query_id", "query_label", "rank", "matches", answers.alias("k")).select(
         "query_id", "query_label", "k", shown.alias("shown"), "matches"
     )
 

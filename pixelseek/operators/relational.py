@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelseek.functions.codebooks import MAX_BYTES, measured_bytes
 from pixelseek.functions.hashing import hash_bucket
 
 SALTS = 32
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def with_dim(df: DataFrame, dim: int, vec: str = "vec") -> DataFrame:
@@ -45,9 +46,8 @@ def small_side(df: DataFrame, array_col: str | None = None, max_bytes: int = MAX
     """True when the measured size of ``df`` allows a broadcast."""
     if array_col is not None:
         return measured_bytes(df, array_col)[1] <= max_bytes
-    width = 16 * len(df.columns)
-    limit = max_bytes // width
-    return df.limit(limit + 1).count() <= limit
+    limit = max_bytes // (16 * len(df.columns))
+    return df.isLocal() or df.limit(limit + 1).count() <= limit
 
 
 def join_side(
@@ -74,6 +74,15 @@ def salted_join(big: DataFrame, side: DataFrame, key: str, big_id: str, salts: i
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+def cut_before_shuffle(spark: SparkSession, k: int) -> None:
+    """Let the planner cut ranked rows to ``k`` per group inside tasks.
+
+    Spark does so only for limits up to a session setting; it is raised where ``k`` is greater.
+    """
+    if int(spark.conf.get(GROUP_LIMIT)) < k:
+        spark.conf.set(GROUP_LIMIT, str(k))
+
+
 def label_name(label: Column) -> Column:
     return F.when(label == 1, "adeno").otherwise("squma")
 

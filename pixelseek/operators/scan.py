@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pixelseek.functions import kernels
 from pixelseek.functions.codebooks import MAX_BYTES, fetch, measured_bytes
 from pixelseek.functions.hashing import hash_bucket
+from pixelseek.operators.relational import cut_before_shuffle
 
 CHUNK_ROWS = 100_000
 QUERY_STEP = 128
@@ -149,6 +150,7 @@ def topk_scan(
             .applyInArrow(cell, out_type)
         )
 
+    cut_before_shuffle(base.sparkSession, k)
     if without_self:
         partial = partial.where(F.col("query_id") != F.col("vec_id"))
     order = Window.partitionBy("query_id").orderBy("dist", "vec_id")

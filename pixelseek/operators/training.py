@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelseek.functions import kernels
+from pixelseek.functions.codebooks import local_table, use_checkpoint_folder
 from pixelseek.functions.hashing import hash32
 from pixelseek.operators.moments import class_weights
 
@@ -69,11 +71,16 @@ class Head:
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """(out, inp, w), with inp = 0 for biases."""
-        cells = [
-            (o + 1, i + 1, float(self.w[o, i])) for o in range(self.w.shape[0]) for i in range(self.w.shape[1])
-        ]
-        cells += [(o + 1, 0, float(x)) for o, x in enumerate(self.b)]
-        return spark.createDataFrame(cells, "out int, inp int, w double")
+        cells = np.hstack([self.b[:, None], self.w])
+        out, inp = np.indices(cells.shape)
+        return local_table(
+            spark,
+            {
+                "out": pa.array((out + 1).ravel(), pa.int32()),
+                "inp": pa.array(inp.ravel(), pa.int32()),
+                "w": pa.array(cells.ravel(), pa.float64()),
+            },
+        )
 
 
 def _error(a: np.ndarray, y: np.ndarray, function: str, coefs: np.ndarray) -> tuple[np.ndarray, float]:
@@ -95,7 +102,7 @@ def _error(a: np.ndarray, y: np.ndarray, function: str, coefs: np.ndarray) -> tu
 
 
 def gradient(batch: DataFrame, head: Head, classes: list[int], function: str, coefs: np.ndarray) -> DataFrame:
-    """(out, line, loss, n): sums over the batch of the weight gradient (bias first) per class.
+    """(out, i, g, loss, n): sums over the batch of the gradient per class and input, the bias at i = 0.
 
     Each task adds up its own rows; the shuffle carries classes x (inputs + 1) numbers per task.
     """
@@ -123,10 +130,9 @@ def gradient(batch: DataFrame, head: Head, classes: list[int], function: str, co
 
     rows = batch.select("vec", "label").mapInArrow(sums, "out int, line array<double>, loss double, n bigint")
     cells = rows.select("out", "loss", "n", F.posexplode("line").alias("i", "g"))
-    merged = cells.groupBy("out", "i").agg(
+    return cells.groupBy("out", "i").agg(
         F.sum("g").alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n")
     )
-    return merged
 
 
 def _step(head: Head, batch: DataFrame, classes: list[int], coefs: np.ndarray, p: HeadParams) -> None:
@@ -191,7 +197,7 @@ def fit_head(
         if p.batch_size is None:
             _step(head, rows, classes, coefs, p)
             continue
-        folder = checkpoint_folder(spark, f"batches-{p.seed}-{epoch if p.shuffle else 0}")
+        folder = os.path.join(use_checkpoint_folder(spark), f"batches-{uuid.uuid4().hex}")
         order = p.seed + epoch if p.shuffle else p.seed
         minibatches(rows, p.batch_size, order).write.mode("overwrite").partitionBy("batch").parquet(folder)
         stored = spark.read.schema("vec_id bigint, vec array<double>, label int, batch int").parquet(folder)
@@ -199,11 +205,3 @@ def fit_head(
         for b in range((last if last is not None else -1) + 1):
             _step(head, stored.where(F.col("batch") == b), classes, coefs, p)
     return head
-
-
-def checkpoint_folder(spark: SparkSession, name: str) -> str:
-    """A folder for written tables under ``spark.checkpoint.dir``, or the context's checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return os.path.join(base, "pixelseek", spark.sparkContext.applicationId, name)

@@ -19,4 +19,4 @@ def llc_spm_features(
 ) -> DataFrame:
     """(image_id, bin, word_id, v) with unit norm per image; learns a dictionary if none is given."""
     words = dictionary if dictionary is not None else learn_dictionary(descriptors, method, size, seed)
-    return spm_pool(llc_code(descriptors, words, knn, beta), descriptors, pyramid)
+    return spm_pool(llc_code(descriptors, words, knn, beta), pyramid)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelseek.functions.codebooks import MAX_BYTES, Centers
+from pixelseek.functions.codebooks import MAX_BYTES, Centers, local_table
 from pixelseek.operators.quantizer import (
     cluster_stats,
     distance_tables,
@@ -21,12 +22,11 @@ from pixelseek.operators.ranking import (
     cum_matches,
     pq_curve,
 )
-from pixelseek.operators.relational import attach_labels, subvectors
+from pixelseek.operators.relational import attach_labels
 from pixelseek.operators.scan import topk_scan
 
 # Iteration limit and stop rule.
 MAX_ITER, TOLERANCE = 100, 1e-10
-CENTER_SCHEMA = "gid int, cid int, c array<double>"
 
 
 def fit_pq(
@@ -36,15 +36,17 @@ def fit_pq(
     max_iter: int = MAX_ITER,
     tol: float | None = TOLERANCE,
     seed: int = 0,
+    dim: int | None = None,
 ) -> DataFrame:
     """Cartesian k-means: centres (gid, cid, c) of ``groups`` independent Lloyd runs.
 
     Each iteration is one job that reads the vectors once, assigns, and adds up per task; only
     groups x clusters centres reach the driver. Iterations share no lineage, so nothing has to be
     checkpointed and a lost executor repeats its part of one pass. The first assignment is a
-    seeded hash. Empty clusters vanish. ``tol=None`` runs all iterations.
+    seeded hash. Empty clusters vanish. ``tol=None`` runs all iterations. Vectors of another length
+    than ``dim`` (by default that of the first vector) are left out.
     """
-    return fit_pq_trace(vectors, groups, clusters, max_iter, tol, seed)[0]
+    return fit_pq_trace(vectors, groups, clusters, max_iter, tol, seed, dim)[0]
 
 
 def fit_pq_trace(
@@ -54,17 +56,26 @@ def fit_pq_trace(
     max_iter: int = MAX_ITER,
     tol: float | None = TOLERANCE,
     seed: int = 0,
+    dim: int | None = None,
 ) -> tuple[DataFrame, list[float]]:
     """Centres and the distortion seen by each assignment pass."""
-    spark: SparkSession = vectors.sparkSession
-    rows = merge_stats(initial_stats(subvectors(vectors, groups), clusters, seed)).collect()
+    if dim is None:
+        dim = vectors.select(F.size("vec")).first()[0]
+    rows = merge_stats(initial_stats(vectors, dim, groups, clusters, seed)).collect()
     costs: list[float] = []
     for _ in range(max_iter - 1):
         rows = merge_stats(cluster_stats(vectors, Centers.of(rows))).collect()
         costs.append(sum(r["cost"] for r in rows))
         if tol is not None and len(costs) > 1 and abs(costs[-1] - costs[-2]) < tol:
             break
-    centers = spark.createDataFrame([(r["gid"], r["cid"], r["c"]) for r in rows], CENTER_SCHEMA)
+    centers = local_table(
+        vectors.sparkSession,
+        {
+            "gid": pa.array([r["gid"] for r in rows], pa.int32()),
+            "cid": pa.array([r["cid"] for r in rows], pa.int32()),
+            "c": pa.array([r["c"] for r in rows], pa.list_(pa.float64())),
+        },
+    )
     return centers, costs
 
 

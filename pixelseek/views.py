@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelseek.functions.codebooks import pinned
 from pixelseek.functions.vector import l2sq
 from pixelseek.operators.relational import join_side, mean_vectors
 
@@ -38,21 +39,22 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(label, vec): mean histogram of every class, over the whole table."""
+    """(label, vec): mean histogram of every class, over the whole table and computed once."""
     shifted = F.transform(F.col("embedding").cast("array<double>"), lambda v: v + 1)
-    return mean_vectors(embeddings(spark, sf_dir).select("label", shifted.alias("vec")), "label", out="vec")
+    rows = embeddings(spark, sf_dir).select("label", shifted.alias("vec"))
+    return pinned(mean_vectors(rows, "label", out="vec"), "vec")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words(spark: SparkSession, sf_dir: str, means: DataFrame | None = None) -> DataFrame:
     """Dictionary: one visual word per class."""
-    return prototypes(spark, sf_dir).select(
+    return (means or prototypes(spark, sf_dir)).select(
         F.col("label").cast("int").alias("word_id"), F.col("vec").alias("wv")
     )
 
 
-def class_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def class_queries(spark: SparkSession, sf_dir: str, means: DataFrame | None = None) -> DataFrame:
     """(query_id, vec, query_label): the class prototypes as queries, with the two-class label."""
-    return prototypes(spark, sf_dir).select(
+    return (means or prototypes(spark, sf_dir)).select(
         F.col("label").cast("bigint").alias("query_id"),
         "vec",
         F.when(F.col("label") < 5, 1).otherwise(2).alias("query_label"),
@@ -62,7 +64,8 @@ def class_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, vec): mean vector of every class as a query."""
     rows = embeddings(spark, sf_dir).select("label", F.col("embedding").cast("array<double>").alias("vec"))
-    return mean_vectors(rows, "label", out="vec").select(F.col("label").cast("bigint").alias("query_id"), "vec")
+    means = pinned(mean_vectors(rows, "label", out="vec"), "vec")
+    return means.select(F.col("label").cast("bigint").alias("query_id"), "vec")
 
 
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,4 +128,4 @@ def descriptor_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         "d", F.lit(0), lambda s, x: s * 2 + F.when(x >= 0, 1).otherwise(0)
     )
     rows = descriptors(spark, sf_dir).select(signs.alias("word_id"), "d")
-    return mean_vectors(rows, "word_id", vec="d", out="wv")
+    return pinned(mean_vectors(rows, "word_id", vec="d", out="wv"), "wv")

@@ -116,7 +116,7 @@ def d2_five(spark, sf):
     "pooled",
 )
 def d3(spark, sf):
-    pooled = ds.spm_pool(_codes(spark, sf, 2), views.descriptors(spark, sf))
+    pooled = ds.spm_pool(_codes(spark, sf, 2))
     return pooled.select("image_id", "bin", "word_id", r6("v").alias("v"))
 
 

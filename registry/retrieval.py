@@ -19,17 +19,30 @@ def _index(spark: SparkSession, sf: str, unique: bool = False) -> DataFrame:
     return jobs.build_index(views.histograms(spark, sf), views.words(spark, sf), unique_ids=unique)
 
 
-def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.search_index(views.class_queries(spark, sf), views.words(spark, sf), _index(spark, sf))
+def _search(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, hits): class prototypes searched in the index; words and queries share one scan."""
+    means = views.prototypes(spark, sf)
+    words, queries = views.words(spark, sf, means), views.class_queries(spark, sf, means)
+    index = jobs.build_index(views.histograms(spark, sf), words)
+    return queries, jobs.search_index(queries, words, index)
+
+
+def _probed(spark: SparkSession, sf: str) -> DataFrame:
+    means = views.prototypes(spark, sf)
+    words = views.words(spark, sf, means)
+    asked = jobs.query_words(views.class_queries(spark, sf, means), words)
+    return po.probe(asked, jobs.build_index(views.histograms(spark, sf), words))
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    queries, hits = _search(spark, sf)
+    return rk.rerank(hits, queries, views.histograms(spark, sf))
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
+    queries, hits = _search(spark, sf)
     return jobs.ranked_hits(
-        _hits(spark, sf),
-        views.class_queries(spark, sf),
-        views.histograms(spark, sf),
-        views.labels(spark, sf),
-        without_self=False,
+        hits, queries, views.histograms(spark, sf), views.labels(spark, sf), without_self=False
     )
 
 
@@ -114,14 +127,12 @@ def g1(spark, sf):
     "postings",
 )
 def x2(spark, sf):
-    qw = jobs.query_words(views.class_queries(spark, sf), views.words(spark, sf))
-    return po.probe(qw, _index(spark, sf))
+    return _probed(spark, sf)
 
 
 @register("g2_candidates", "SELECT query_id, vec_id FROM hits", "hits")
 def g2(spark, sf):
-    qw = jobs.query_words(views.class_queries(spark, sf), views.words(spark, sf))
-    return po.candidates(po.probe(qw, _index(spark, sf, unique=True)))
+    return po.candidates(_probed(spark, sf))
 
 
 @register("u1_distinct_words", "SELECT DISTINCT word_id FROM postings", "postings")
@@ -131,7 +142,7 @@ def u1(spark, sf):
 
 @register("i2_search_index", "SELECT query_id, vec_id FROM hits", "hits")
 def i2(spark, sf):
-    return _hits(spark, sf)
+    return _search(spark, sf)[1]
 
 
 @register(
@@ -180,8 +191,7 @@ def s15(spark, sf):
     "scored",
 )
 def x4(spark, sf):
-    scored = rk.rerank(_hits(spark, sf), views.class_queries(spark, sf), views.histograms(spark, sf))
-    return scored.select("query_id", "vec_id", r6("dist").alias("dist"))
+    return _scored(spark, sf).select("query_id", "vec_id", r6("dist").alias("dist"))
 
 
 @register(
@@ -190,8 +200,7 @@ def x4(spark, sf):
     "ranked",
 )
 def w1(spark, sf):
-    scored = rk.rerank(_hits(spark, sf), views.class_queries(spark, sf), views.histograms(spark, sf))
-    return rk.top_hits(scored).select("query_id", "rank", "vec_id", r6("dist").alias("dist"))
+    return rk.top_hits(_scored(spark, sf)).select("query_id", "rank", "vec_id", r6("dist").alias("dist"))
 
 
 @register(
@@ -276,14 +285,9 @@ def g8(spark, sf):
 
 @register("e2_pr_curve", _CURVE, "per_query")
 def e2(spark, sf):
+    queries, hits = _search(spark, sf)
     return _curve(
-        jobs.pr_report(
-            _hits(spark, sf),
-            views.class_queries(spark, sf),
-            views.histograms(spark, sf),
-            views.labels(spark, sf),
-            without_self=False,
-        )
+        jobs.pr_report(hits, queries, views.histograms(spark, sf), views.labels(spark, sf), without_self=False)
     )
 
 
