@@ -125,11 +125,11 @@ def topk_scan(
         chunked = table.select(
             "*",
             hash_bucket(n_chunks, F.col("vec_id")).alias("chunk"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("int").alias("block"),
+            F.explode(F.sequence(F.lit(0), F.lit(int(n_blocks) - 1))).alias("block"),
         )
         blocked = asked.select(
             "*",
-            F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).cast("int").alias("chunk"),
+            F.explode(F.sequence(F.lit(0), F.lit(int(n_chunks) - 1))).alias("chunk"),
             hash_bucket(n_blocks, F.col("query_id")).alias("block"),
         )
 

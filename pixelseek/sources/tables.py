@@ -26,7 +26,11 @@ def write_image_features(features: DataFrame, labels: DataFrame, path: str) -> N
 
 def assemble_features(spark: SparkSession, *paths: str) -> DataFrame:
     """One feature table from the outputs of several classes or runs."""
-    return spark.read.parquet(*paths)
+    tables = [spark.read.parquet(p) for p in paths]
+    both = tables[0]
+    for t in tables[1:]:
+        both = both.unionByName(t)
+    return both
 
 
 def write_by_key(df: DataFrame, key: str, path: str) -> None:

@@ -25,3 +25,13 @@ def session() -> SparkSession:
 @pytest.fixture(scope="session")
 def spark():
     return session()
+
+
+@pytest.fixture(scope="session")
+def checkpoint_dir(spark, tmp_path_factory):
+    """The session's shared folder where it names one, else a folder of the test run."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = str(tmp_path_factory.mktemp("checkpoint"))
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
