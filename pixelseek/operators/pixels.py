@@ -16,6 +16,7 @@ from pixelseek.operators.relational import join_side
 
 # Grey levels of an 8-bit image, and the only number of sectors that is defined.
 LEVELS, SECTORS = 256, 8
+OUT_BLOCK = 32
 IMAGE = ("image_id", "width", "height")
 
 
@@ -103,25 +104,36 @@ def convolve(
     """Cross-correlation summed over input maps, plus the bias of each output map.
 
     ``kernels`` has (out, inp, dy, dx, w), offsets from 0; ``kernel_size`` and ``padding`` are
-    (rows, columns). Pixels outside the image count zero. ``bias`` has (out, b).
+    (rows, columns). Pixels outside the image count zero. ``bias`` has (out, b). A pixel meets
+    each kernel position once, with the weights of up to OUT_BLOCK output maps side by side, so
+    the number of maps does not multiply the rows.
     """
     (kh, kw), (ph, pw) = kernel_size, padding
+    maps = kernels.agg(F.max("out")).first()[0]
+    lanes = range(min(maps, OUT_BLOCK))
+    place, lane = F.floor((F.col("out") - 1) / OUT_BLOCK).cast("int"), (F.col("out") - 1) % OUT_BLOCK
+    taps = kernels.groupBy(F.col("inp").alias("ch"), place.alias("block"), "dy", "dx").agg(
+        *[F.sum(F.when(lane == n, F.col("w"))).alias(f"w{n}") for n in lanes]
+    )
     x = (F.col("x") - F.col("dx") + pw).cast("int")
     y = (F.col("y") - F.col("dy") + ph).cast("int")
     width = (F.col("width") + (2 * pw - kw + 1)).cast("int")
     height = (F.col("height") + (2 * ph - kh + 1)).cast("int")
-    taps = kernels.select(F.col("inp").alias("ch"), "out", "dy", "dx", "w")
     spread = join_side(pixels, taps, "ch").select(
         "image_id",
         width.alias("width"),
         height.alias("height"),
-        F.col("out").alias("ch"),
+        "block",
         x.alias("x"),
         y.alias("y"),
-        (F.col("v") * F.col("w")).alias("t"),
+        *[(F.col("v") * F.col(f"w{n}")).alias(f"t{n}") for n in lanes],
     )
     inside = spread.where(F.col("x").between(1, F.col("width")) & F.col("y").between(1, F.col("height")))
-    out = inside.groupBy(*IMAGE, "ch", "x", "y").agg(F.sum("t").alias("v"))
+    sums = inside.groupBy(*IMAGE, "block", "x", "y").agg(*[F.sum(f"t{n}").alias(f"t{n}") for n in lanes])
+    rows = sums.select(*IMAGE, "block", "x", "y", F.posexplode(F.array(*[f"t{n}" for n in lanes])).alias("lane", "v"))
+    out = rows.where(F.col("v").isNotNull()).select(
+        *IMAGE, (F.col("block") * OUT_BLOCK + F.col("lane") + 1).cast("int").alias("ch"), "x", "y", "v"
+    )
     if bias is None:
         return out
     shifts = bias.select(F.col("out").alias("ch"), "b")

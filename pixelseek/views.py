@@ -96,7 +96,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("image_id"),
         F.lit(SIDE).alias("width"),
         F.lit(SIDE).alias("height"),
-        F.lit(1).alias("ch"),
+        (F.floor(F.col("pos") / (SIDE * SIDE)) + 1).cast("int").alias("ch"),
         (F.col("pos") % SIDE + 1).cast("int").alias("x"),
         (F.floor(F.col("pos") / SIDE) + 1).cast("int").alias("y"),
         grey.alias("v"),

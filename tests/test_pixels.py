@@ -102,11 +102,11 @@ def correlate(maps, k, pad):
 @pytest.mark.parametrize("pad", [(0, 0), (1, 2)])
 def test_convolution(spark, pad):
     rng = np.random.default_rng(1)
-    maps, k = rng.normal(size=(2, 5, 6)), rng.normal(size=(3, 2, 2, 3))
-    bias = spark.createDataFrame([(1, 0.5), (2, -1.0), (3, 0.0)], "out int, b double")
+    maps, k = rng.normal(size=(2, 5, 6)), rng.normal(size=(40, 2, 2, 3))
+    bias = spark.createDataFrame([(n + 1, n / 4) for n in range(40)], "out int, b double")
     out = px.convolve(pixel_table(spark, maps), kernel_table(spark, k), (2, 3), bias, pad)
-    want = correlate(maps, k, pad) + np.array([0.5, -1, 0])[:, None, None]
-    for ch in range(3):
+    want = correlate(maps, k, pad) + np.arange(40)[:, None, None] / 4
+    for ch in (0, 31, 32, 39):
         assert as_array(out, ch=ch + 1) == pytest.approx(want[ch])
 
 
