@@ -57,7 +57,9 @@ def local_weights(x: np.ndarray, near: np.ndarray, beta: float) -> np.ndarray:
 
 
 def _code_udf(book: Dictionary, knn: int, beta: float):
-    (ids, matrix), = book.by_length.values()
+    if len(book.by_length) != 1:
+        raise ValueError("the dictionary needs words, all of one length")
+    ((ids, matrix),) = book.by_length.values()
     knn = min(knn, len(ids))
 
     @F.arrow_udf("array<struct<slot:int,word_id:bigint,w:double>>")

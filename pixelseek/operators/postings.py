@@ -28,7 +28,7 @@ def posting_lists(rows: DataFrame, list_docs: int = LIST_DOCS) -> DataFrame:
 
     A word used by a third of all images becomes many rows, none of which outgrows a task.
     """
-    counts = rows.groupBy("word_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("word_id").agg(F.count("weight").alias("n"))
     blocks = counts.select("word_id", F.ceil(F.col("n") / list_docs).cast("int").alias("blocks"))
     sized = rows.join(blocks, "word_id")
     placed = sized.withColumn("block", hash_bucket(F.col("blocks"), F.col("vec_id")))

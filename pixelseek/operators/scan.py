@@ -26,6 +26,9 @@ CHUNK_STEP = 16_384
 # A task may hold STATE_FACTOR x max_bytes of queries with their k best rows.
 STATE_FACTOR = 4
 
+BLOCK_ROWS = 65_536
+
+Prepare = Callable[[np.ndarray], np.ndarray]
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -69,29 +72,47 @@ def _ids(col: pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-def _scan(best: _Best, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, score: Score) -> None:
-    for a in range(0, len(rows), CHUNK_STEP):
-        part, part_ids = rows[a : a + CHUNK_STEP], ids[a : a + CHUNK_STEP]
-        for b in range(0, len(queries), QUERY_STEP):
-            for q, line in enumerate(score(queries[b : b + QUERY_STEP], part), start=b):
+def _scan(
+    best: _Best, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, prepare: Prepare, score: Score
+) -> None:
+    for b in range(0, len(queries), QUERY_STEP):
+        prepared = prepare(queries[b : b + QUERY_STEP])
+        for a in range(0, len(rows), CHUNK_STEP):
+            part_ids = ids[a : a + CHUNK_STEP]
+            for q, line in enumerate(score(prepared, rows[a : a + CHUNK_STEP]), start=b):
                 best.add(q, line, part_ids)
 
 
+def _collected(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches joined to blocks of about BLOCK_ROWS rows, so that queries are prepared less often."""
+    ids, rows, n = [], [], 0
+    for batch in batches:
+        ids.append(_ids(batch.column(0)))
+        rows.append(kernels.list_matrix(batch.column(1), width))
+        n += batch.num_rows
+        if n >= BLOCK_ROWS:
+            yield np.concatenate(ids), np.concatenate(rows)
+            ids, rows, n = [], [], 0
+    if n:
+        yield np.concatenate(ids), np.concatenate(rows)
+
+
 def topk_scan(
     base: DataFrame,
     queries: DataFrame,
     k: int,
-    prepare: Callable[[np.ndarray], np.ndarray],
+    prepare: Prepare,
     score: Score,
     base_col: str,
+    width: int,
     without_self: bool = True,
     max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, dist) of the k nearest rows of ``base`` per query.
 
-    ``base`` has vec_id and the array ``base_col``; ``queries`` has query_id and vec.
-    ``prepare`` turns the query matrix into what ``score`` takes; ``score(q, rows)`` returns
-    the |q| x |rows| distances.
+    ``base`` has vec_id and the array ``base_col`` of length ``width``; ``queries`` has query_id
+    and vec. ``prepare`` turns a few queries into what ``score`` takes, inside the task;
+    ``score(q, rows)`` returns the |q| x |rows| distances.
     """
     keep = k + 1 if without_self else k
     q_type = dict(queries.dtypes)["query_id"]
@@ -101,20 +122,18 @@ def topk_scan(
     schema = pa.schema(
         [("query_id", arrow_of[q_type]), ("vec_id", arrow_of[v_type]), ("dist", pa.float64())]
     )
-    table = base.select("vec_id", base_col)
+    table = base.where(F.size(base_col) == width).select("vec_id", base_col)
     asked = queries.select("query_id", "vec")
     rows = fetch(asked, "vec", STATE_FACTOR * max_bytes, row_bytes=16 * keep)
 
     if rows is not None:
         query_ids = np.array([r["query_id"] for r in rows])
         matrix = np.array([r["vec"] for r in rows], dtype=float)
-        prepared = prepare(matrix) if len(rows) else matrix
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _Best(len(prepared), keep)
-            for batch in batches:
-                for at, x in kernels.list_rows(batch.column(1)):
-                    _scan(best, prepared, _ids(batch.column(0))[at], x, score)
+            best = _Best(len(matrix), keep)
+            for ids, x in _collected(batches, width):
+                _scan(best, matrix, ids, x, prepare, score)
             yield from best.table(query_ids, schema).to_batches()
 
         partial = table.mapInArrow(whole, out_type)
@@ -138,10 +157,10 @@ def topk_scan(
             if not len(left) or not len(right):
                 return schema.empty_table()
             q = np.stack(right.column("vec").to_pandas().to_numpy())
-            best, prepared = _Best(len(q), keep), prepare(q)
+            best = _Best(len(q), keep)
             ids = _ids(left.column("vec_id").combine_chunks())
-            for at, x in kernels.list_rows(left.column(base_col).combine_chunks()):
-                _scan(best, prepared, ids[at], x, score)
+            x = kernels.list_matrix(left.column(base_col).combine_chunks(), width)
+            _scan(best, q, ids, x, prepare, score)
             return best.table(_ids(right.column("query_id").combine_chunks()), schema)
 
         partial = (

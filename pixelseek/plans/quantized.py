@@ -99,6 +99,7 @@ def search_pq(
         prepare=lambda q: distance_tables(q, book),
         score=table_distances,
         base_col="code",
+        width=len(book.groups),
         without_self=without_self,
         max_bytes=max_bytes,
     )

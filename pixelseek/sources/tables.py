@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Rows that may be merged into one file, as codebooks and metric tables are.
 SINGLE_FILE_ROWS = 1_000_000
-KEY_SALTS = 8
 
 
 def write_descriptors(descriptors: DataFrame, path: str, class_col: str = "class_name") -> None:
@@ -34,9 +33,8 @@ def assemble_features(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def write_by_key(df: DataFrame, key: str, path: str) -> None:
-    """One folder per key. A key's rows are spread over a few tasks, so a hot key is not one task."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(KEY_SALTS))
-    df.repartition(F.col(key), salt).write.mode("overwrite").partitionBy(key).parquet(path)
+    """One folder per key. Rows are brought together by key and adaptive execution splits hot keys."""
+    df.hint("rebalance", F.col(key)).write.mode("overwrite").partitionBy(key).parquet(path)
 
 
 def write_single(df: DataFrame, path: str, max_rows: int = SINGLE_FILE_ROWS) -> None:

@@ -69,18 +69,37 @@ def _later_wins(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(last)
 
 
+def parse_words(lines: DataFrame) -> DataFrame:
+    """(word_id, wv) from numbered lines; a word given again replaces the earlier one."""
+    rows = _split(lines).select(
+        F.col("_key").cast("int").alias("word_id"), _numbers("double", False).alias("wv"), "_file", "_line"
+    )
+    return _later_wins(rows, ["word_id"], "wv")
+
+
+def parse_centers(lines: DataFrame) -> DataFrame:
+    """(gid, cid, c) from numbered lines ``gid-cid v1 v2 ...``; a centre given again replaces the earlier one."""
+    ids = F.split("_key", "-")
+    rows = _split(lines).select(
+        ids[0].cast("int").alias("gid"),
+        ids[1].cast("int").alias("cid"),
+        _numbers("double", False).alias("c"),
+        "_file",
+        "_line",
+    )
+    return _later_wins(rows, ["gid", "cid"], "c")
+
+
+def numbered(lines: DataFrame, file: int = 0) -> DataFrame:
+    """Lines with the place of their file and their order in it."""
+    return lines.select("value", F.lit(file).alias("_file"), F.monotonically_increasing_id().alias("_line"))
+
+
 def _numbered(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Lines with their file's place in ``paths`` and their order in the file."""
     files = [paths] if isinstance(paths, str) else list(paths)
-    parts = [
-        spark.read.text(p).select(
-            "value", F.lit(n).alias("_file"), F.monotonically_increasing_id().alias("_line")
-        )
-        for n, p in enumerate(files)
-    ]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+    both = numbered(spark.read.text(files[0]))
+    for n, p in enumerate(files[1:], start=1):
+        both = both.unionByName(numbered(spark.read.text(p), n))
     return both
 
 
@@ -93,11 +112,7 @@ def read_vectors(spark: SparkSession, paths: Paths, dim: int | None = None, skip
 
 
 def read_words(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(word_id, wv); a word given again replaces the earlier one."""
-    rows = _split(_numbered(spark, paths)).select(
-        F.col("_key").cast("int").alias("word_id"), _numbers("double", False).alias("wv"), "_file", "_line"
-    )
-    return _later_wins(rows, ["word_id"], "wv")
+    return parse_words(_numbered(spark, paths))
 
 
 def read_labels(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -109,16 +124,7 @@ def read_index(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def read_centers(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(gid, cid, c) from lines ``gid-cid v1 v2 ...``; a centre given again replaces the earlier one."""
-    ids = F.split("_key", "-")
-    rows = _split(_numbered(spark, paths)).select(
-        ids[0].cast("int").alias("gid"),
-        ids[1].cast("int").alias("cid"),
-        _numbers("double", False).alias("c"),
-        "_file",
-        "_line",
-    )
-    return _later_wins(rows, ["gid", "cid"], "c")
+    return parse_centers(_numbered(spark, paths))
 
 
 def read_codes(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -129,7 +135,7 @@ def read_k_grid(spark: SparkSession, paths: Paths) -> DataFrame:
     return _split(_text(spark, paths)).select(F.col("_key").cast("int").alias("k"))
 
 
-def _joined(key: Column, array: str) -> DataFrame:
+def _joined(key: Column, array: str) -> Column:
     return F.concat_ws(" ", key.cast("string"), F.array_join(F.col(array).cast("array<string>"), " "))
 
 

@@ -14,6 +14,9 @@ from pixelseek.operators import moments as mo
 from pixelseek.operators import ranking as rk
 from pixelseek.operators import relational as rel
 from pixelseek.operators import words as wd
+from pixelseek.operators.quantizer import encode
+from pixelseek.plans.quantized import fit_pq
+from pixelseek.plans.retrieval import build_index
 from pixelseek.sources import text as tx
 from registry import cells, fragment, r6, register
 
@@ -208,6 +211,59 @@ def s3(spark, sf):
     return tx.parse_labels(lines).select(F.col("vec_id").cast("bigint").alias("vec_id"), "label")
 
 
+@register("s2_parse_words", "SELECT word_id, i, round(x, 6) AS x FROM words", "words")
+def s2(spark, sf):
+    """A file of empty words, then the dictionary: the later words stand."""
+    words = views.words(spark, sf)
+    empty = words.select(F.col("word_id").cast("string").alias("value"))
+    lines = tx.numbered(empty).unionByName(tx.numbered(tx.word_lines(words), 1))
+    return cells(tx.parse_words(lines), "word_id", array="wv")
+
+
+@register("s4_parse_index", "SELECT word_id, vec_id FROM postings", "postings")
+def s4(spark, sf):
+    """The index as text lines, lists cut at 100 images, read back."""
+    index = build_index(views.histograms(spark, sf), views.words(spark, sf), unique_ids=True)
+    back = tx.parse_index(tx.index_lines(index, 100))
+    return back.select("word_id", F.col("vec_id").cast("bigint").alias("vec_id"))
+
+
+@register(
+    "s5_parse_centers",
+    """SELECT a.gid, a.cid, a.j AS i, round(coalesce(b.c, a.c), 6) + 0.0 AS x FROM c0 a
+       LEFT JOIN c2 b ON b.gid = a.gid AND b.cid = a.cid AND b.j = a.j""",
+    "c0",
+    "c2",
+)
+def s5(spark, sf):
+    """Centres of the first and of the third iteration in two files: the later ones stand."""
+    v = views.vectors(spark, sf)
+    first, last = (fit_pq(v, 8, 16, n, tol=None) for n in (1, 3))
+    lines = tx.numbered(tx.center_lines(first)).unionByName(tx.numbered(tx.center_lines(last), 1))
+    return cells(tx.parse_centers(lines), "gid", "cid", array="c")
+
+
+@register("s6_parse_codes", "SELECT vec_id, gid + 1 AS i, cid AS c FROM a3", "a3")
+def s6(spark, sf):
+    v = views.vectors(spark, sf)
+    lines = tx.code_lines(encode(v, fit_pq(v, 8, 16, 3, tol=None)))
+    rows = tx.parse_codes(lines).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.posexplode("code").alias("p", "c"))
+    return rows.select("vec_id", (F.col("p") + 1).cast("int").alias("i"), "c")
+
+
+@register(
+    "s11_index_lines",
+    """SELECT p.word_id || chr(9) || string_agg(p.vec_id::VARCHAR, ' ' ORDER BY p.vec_id) AS value
+       FROM postings p JOIN (SELECT word_id, ceil(count(*) / 100.0)::INTEGER AS blocks FROM postings
+       GROUP BY word_id) b ON b.word_id = p.word_id
+       GROUP BY p.word_id, ('0x' || left(md5(p.vec_id::VARCHAR), 8))::BIGINT % b.blocks""",
+    "postings",
+)
+def s11(spark, sf):
+    index = build_index(views.histograms(spark, sf), views.words(spark, sf), unique_ids=True)
+    return tx.index_lines(index, 100)
+
+
 @register(
     "g13_class_weights",
     "SELECT label, round(1 / (count(*) / sum(count(*)) OVER () * count(*) OVER ()), 6) AS weight"

@@ -154,11 +154,57 @@ def _grey_images(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@register("h3_dense_descriptors")
+# Gaussian derivative of width 0.8 on 5 x 5 cells, correlated with the zero-padded image; cosines to the
+# ninth power for eight angles; bilinear shares of 4 x 4 cells over patches of 6 pixels with corners 0 and 2.
+fragment(
+    "gauss",
+    "SELECT u, v, exp(-(u * u + v * v) / 1.28::DOUBLE) / sum(exp(-(u * u + v * v) / 1.28::DOUBLE)) OVER () AS g"
+    " FROM range(-2, 3) a(u), range(-2, 3) b(v)",
+)
+fragment(
+    "slopes",
+    "SELECT u, v, gx * 2 / sum(abs(gx)) OVER () AS gx, gy * 2 / sum(abs(gy)) OVER () AS gy FROM (SELECT u, v,"
+    " (coalesce(lead(g) OVER w, g) - coalesce(lag(g) OVER w, g)) / CASE WHEN abs(v) = 2 THEN 1 ELSE 2 END AS gx,"
+    " (coalesce(lead(g) OVER z, g) - coalesce(lag(g) OVER z, g)) / CASE WHEN abs(u) = 2 THEN 1 ELSE 2 END AS gy"
+    " FROM gauss WINDOW w AS (PARTITION BY u ORDER BY v), z AS (PARTITION BY v ORDER BY u))",
+    "gauss",
+)
+fragment(
+    "edges",
+    "SELECT p.image_id, p.x, p.y, coalesce(sum(q.g * s.gx), 0) AS ix, coalesce(sum(q.g * s.gy), 0) AS iy FROM"
+    " (SELECT vec_id AS image_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y FROM v) p CROSS JOIN slopes s LEFT JOIN"
+    " (SELECT vec_id AS image_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, least(greatest(x + 0.5, 0), 1) AS g FROM v) q"
+    " ON q.image_id = p.image_id AND q.x = p.x + s.v AND q.y = p.y + s.u GROUP BY 1, 2, 3",
+    "slopes",
+    "v",
+)
+fragment(
+    "shares",
+    "SELECT t, c, greatest(0, 1 - abs(t - ((c + 0.5::DOUBLE) * 1.5 - 0.5)) / 1.5) AS share FROM range(0, 6) a(t), range(0, 4) b(c)",
+)
+fragment(
+    "raw_desc",
+    "SELECT e.image_id, (px.p // 2 * 2 + py.p // 2)::INTEGER AS desc_id, (32 * sx.c + 8 * sy.c + a + 1)::INTEGER AS i,"
+    " sum(sx.share * sy.share * sqrt(e.ix * e.ix + e.iy * e.iy)"
+    " * greatest(pow(cos(atan2(e.iy, e.ix) - a * pi() / 4), 9), 0)) AS x FROM edges e, range(0, 3, 2) px(p),"
+    " range(0, 3, 2) py(p), range(0, 8) t(a), shares sx, shares sy WHERE sx.t = e.x - px.p AND sy.t = e.y - py.p"
+    " GROUP BY 1, 2, 3",
+    "edges",
+    "shares",
+)
+
+
+@register(
+    "h3_dense_descriptors",
+    """SELECT image_id, desc_id, i, round(CASE WHEN len >= 1 THEN least(x / len, 0.2)
+       / sqrt(sum(least(x / len, 0.2) * least(x / len, 0.2)) OVER p) ELSE least(x, 0.2) END, 6) + 0.0 AS x
+       FROM (SELECT *, sqrt(sum(x * x) OVER p) AS len FROM raw_desc WINDOW p AS (PARTITION BY image_id, desc_id))
+       WINDOW p AS (PARTITION BY image_id, desc_id)""",
+    "raw_desc",
+)
 def h3(spark, sf):
-    """Patches of 4 pixels every 2 on the 8 x 8 images."""
-    rows = ds.dense_descriptors(_grey_images(spark, sf), step=2, patch=4)
-    return rows.select("image_id", "desc_id", "x", "y", r6("length").alias("length"), F.size("d").alias("size"))
+    """Patches of 6 pixels every 2 on the 8 x 8 images."""
+    return cells(ds.dense_descriptors(_grey_images(spark, sf), step=2, patch=6), "image_id", "desc_id", array="d")
 
 
 # Histograms on pixels.
