@@ -68,6 +68,13 @@ def l2_block(x: np.ndarray, book: np.ndarray) -> np.ndarray:
 BLOCKS = {"chi2": chi2_block, "l2sq": l2_block}
 
 
+def minmax_rows(d: np.ndarray) -> np.ndarray:
+    """Scale every row to [0, 1]; NaN where all its entries are equal."""
+    low = d.min(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (d - low) / (d.max(axis=1, keepdims=True) - low)
+
+
 def nearest(x: np.ndarray, cids: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Closest centre of each row and its squared distance; ``cids`` ascend, so ties take the lowest."""
     d = l2_block(x, book)

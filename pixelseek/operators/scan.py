@@ -9,6 +9,7 @@ bounded co-group. The k best rows of each query count towards the size.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ STATE_FACTOR = 4
 
 BLOCK_ROWS = 65_536
 
-Prepare = Callable[[np.ndarray], np.ndarray]
-Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Prepare = Callable[[np.ndarray], Any]
+Describe = Callable[[np.ndarray], Any]
+Score = Callable[[Any, Any], np.ndarray]
 
 
 class _Best:
@@ -41,11 +43,11 @@ class _Best:
         self.ids: list[np.ndarray | None] = [None] * n_queries
 
     def add(self, q: int, dist: np.ndarray, ids: np.ndarray) -> None:
-        if len(self.dist[q]) == self.k:
-            near = dist <= self.dist[q][-1]
-            if not near.any():
-                return
-            dist, ids = dist[near], ids[near]
+        full = len(self.dist[q]) == self.k
+        near = dist <= self.dist[q][-1] if full else np.isfinite(dist)
+        if not near.any():
+            return
+        dist, ids = dist[near], ids[near]
         if len(dist) > self.k:
             near = dist <= np.partition(dist, self.k - 1)[self.k - 1]
             dist, ids = dist[near], ids[near]
@@ -73,13 +75,22 @@ def _ids(col: pa.Array) -> np.ndarray:
 
 
 def _scan(
-    best: _Best, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, prepare: Prepare, score: Score
+    best: _Best,
+    queries: np.ndarray,
+    ids: np.ndarray,
+    rows: np.ndarray,
+    prepare: Prepare,
+    score: Score,
+    describe: Describe | None,
 ) -> None:
+    parts = [
+        (ids[a : a + CHUNK_STEP], describe(rows[a : a + CHUNK_STEP]) if describe else rows[a : a + CHUNK_STEP])
+        for a in range(0, len(rows), CHUNK_STEP)
+    ]
     for b in range(0, len(queries), QUERY_STEP):
         prepared = prepare(queries[b : b + QUERY_STEP])
-        for a in range(0, len(rows), CHUNK_STEP):
-            part_ids = ids[a : a + CHUNK_STEP]
-            for q, line in enumerate(score(prepared, rows[a : a + CHUNK_STEP]), start=b):
+        for part_ids, part in parts:
+            for q, line in enumerate(score(prepared, part), start=b):
                 best.add(q, line, part_ids)
 
 
@@ -105,14 +116,16 @@ def topk_scan(
     score: Score,
     base_col: str,
     width: int,
+    describe: Describe | None = None,
     without_self: bool = True,
     max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, dist) of the k nearest rows of ``base`` per query.
 
     ``base`` has vec_id and the array ``base_col`` of length ``width``; ``queries`` has query_id
-    and vec. ``prepare`` turns a few queries into what ``score`` takes, inside the task;
-    ``score(q, rows)`` returns the |q| x |rows| distances.
+    and vec. Inside the task ``prepare`` turns a few queries, and ``describe`` a few rows, into
+    what ``score`` takes; ``score(q, rows)`` returns the |q| x |rows| distances, infinite for
+    rows that do not answer a query.
     """
     keep = k + 1 if without_self else k
     q_type = dict(queries.dtypes)["query_id"]
@@ -133,7 +146,7 @@ def topk_scan(
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(len(matrix), keep)
             for ids, x in _collected(batches, width):
-                _scan(best, matrix, ids, x, prepare, score)
+                _scan(best, matrix, ids, x, prepare, score, describe)
             yield from best.table(query_ids, schema).to_batches()
 
         partial = table.mapInArrow(whole, out_type)
@@ -160,7 +173,7 @@ def topk_scan(
             best = _Best(len(q), keep)
             ids = _ids(left.column("vec_id").combine_chunks())
             x = kernels.list_matrix(left.column(base_col).combine_chunks(), width)
-            _scan(best, q, ids, x, prepare, score)
+            _scan(best, q, ids, x, prepare, score, describe)
             return best.table(_ids(right.column("query_id").combine_chunks()), schema)
 
         partial = (

@@ -17,19 +17,23 @@ from pixelseek.functions.codebooks import local_table, use_checkpoint_folder
 from pixelseek.functions.hashing import hash32
 from pixelseek.operators.moments import class_weights
 
-# Fixed value: number of hash ranges that are numbered apart.
-RANGES = 1024
+# Rows are numbered apart in hash ranges of about RANGE_ROWS rows.
+RANGE_ROWS = 1 << 20
+MIN_RANGES, MAX_RANGES = 1 << 10, 1 << 20
 
 
 def minibatches(df: DataFrame, batch_size: int, seed: int = 0, key: str = "vec_id") -> DataFrame:
     """Add ``batch``: rows in seeded hash order, cut into runs of exactly ``batch_size``.
 
-    Rows are numbered within 1024 ranges of the hash, and each range starts after the counts of
-    the ranges before it, so no task sorts the whole table. The window over the counts holds one
-    row per range.
+    Rows are numbered within ranges of the hash, and each range starts after the counts of the
+    ranges before it, so no task sorts the whole table. The window over the counts holds one row
+    per range.
     """
+    rows, ranges = df.count(), MIN_RANGES
+    while ranges < MAX_RANGES and rows > ranges * RANGE_ROWS:
+        ranges *= 2
     keyed = df.withColumn("_hash", hash32(seed, F.col(key)))
-    keyed = keyed.withColumn("_range", F.floor(F.col("_hash") / (2**32 // RANGES)).cast("int"))
+    keyed = keyed.withColumn("_range", F.floor(F.col("_hash") / (2**32 // ranges)).cast("int"))
     counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

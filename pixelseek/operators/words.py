@@ -58,10 +58,7 @@ def _soft_udf(book: Dictionary, metric: str, threshold: float, id_type: str) ->
             if x.shape[1] not in book.by_length:
                 continue
             ids, matrix = book.by_length[x.shape[1]]
-            d = block(x, matrix)
-            low = d.min(axis=1, keepdims=True)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                w = (d - low) / (d.max(axis=1, keepdims=True) - low)
+            w = kernels.minmax_rows(block(x, matrix))
             r, c = np.nonzero(w < threshold)
             rows_out.append(rows[r])
             ids_out.append(ids[c])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelseek.functions.codebooks import MAX_BYTES
+from pixelseek.functions import kernels
+from pixelseek.functions.codebooks import MAX_BYTES, Dictionary, fetch
 from pixelseek.operators.postings import candidates, postings, probe
 from pixelseek.operators.ranking import (
     MAX_K,
@@ -18,6 +20,7 @@ from pixelseek.operators.ranking import (
     rerank,
     top_hits,
 )
+from pixelseek.operators.scan import topk_scan
 from pixelseek.operators.words import THRESHOLD, soft_assign
 
 
@@ -34,10 +37,15 @@ def build_index(
 
 
 def query_words(
-    queries: DataFrame, words: DataFrame, threshold: float = THRESHOLD, metric="chi2"
+    queries: DataFrame,
+    words: DataFrame,
+    threshold: float = THRESHOLD,
+    metric="chi2",
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     named = queries.where(F.length(F.trim(F.col("query_id").cast("string"))) > 0)
-    assigned = soft_assign(named.select(F.col("query_id").alias("vec_id"), "vec"), words, threshold, metric)
+    asked = named.select(F.col("query_id").alias("vec_id"), "vec")
+    assigned = soft_assign(asked, words, threshold, metric, max_bytes)
     return assigned.select(F.col("vec_id").alias("query_id"), "word_id", "weight")
 
 
@@ -47,9 +55,10 @@ def search_index(
     index: DataFrame,
     threshold: float = THRESHOLD,
     metric="chi2",
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """Distinct (query_id, vec_id) that share at least one word."""
-    return candidates(probe(query_words(queries, words, threshold, metric), index))
+    return candidates(probe(query_words(queries, words, threshold, metric, max_bytes), index, max_bytes))
 
 
 def ranked_hits(
@@ -67,11 +76,85 @@ def ranked_hits(
     """
     if without_self:
         hits = exclude_self(hits)
-    best = top_hits(rerank(hits, queries, vectors, metric), max_k)
+    return _with_labels(top_hits(rerank(hits, queries, vectors, metric), max_k), queries, labels)
+
+
+def search_and_rank(
+    queries: DataFrame,
+    words: DataFrame,
+    vectors: DataFrame,
+    max_k: int = MAX_K,
+    threshold: float = THRESHOLD,
+    metric: str = "chi2",
+    without_self: bool = True,
+    max_bytes: int = MAX_BYTES,
+) -> DataFrame:
+    """(query_id, rank, vec_id, dist): search and exact re-ranking in one scan of the vectors.
+
+    Gives the best ``max_k`` of ``rerank(search_index(...))`` without ever writing the
+    (query, image) pairs: a task finds the words of its images, drops those that share none with
+    a query, scores the rest on the full vectors and keeps ``max_k`` per query. A dictionary
+    too large to ship takes the way through the index.
+    """
+    rows = fetch(words, "wv", max_bytes)
+    if rows is None:
+        index = build_index(vectors, words, threshold, metric, max_bytes=max_bytes)
+        hits = search_index(queries, words, index, threshold, metric, max_bytes)
+        if without_self:
+            hits = exclude_self(hits)
+        return top_hits(rerank(hits, queries, vectors, metric), max_k).select("query_id", "rank", "vec_id", "dist")
+    by_length = Dictionary.of(rows).by_length
+    if len(by_length) != 1:
+        raise ValueError("the dictionary needs words, all of one length")
+    ((_, book),) = by_length.values()
+    block = kernels.BLOCKS[metric]
+
+    def with_words(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x, (kernels.minmax_rows(block(x, book)) < threshold).astype(np.float32)
+
+    def score(asked: tuple[np.ndarray, np.ndarray], shown: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        (q, q_words), (x, x_words) = asked, shown
+        return np.where(q_words @ x_words.T > 0, block(x, q).T, np.inf)
+
+    return topk_scan(
+        vectors,
+        queries.where(F.size("vec") == book.shape[1]),
+        max_k,
+        prepare=with_words,
+        describe=with_words,
+        score=score,
+        base_col="vec",
+        width=book.shape[1],
+        without_self=without_self,
+        max_bytes=max_bytes,
+    )
+
+
+def _report(best: DataFrame, queries: DataFrame, labels: DataFrame, max_k: int) -> DataFrame:
+    at = at_k(cum_matches(_with_labels(best, queries, labels)), max_k, short_lists="clamp")
+    return pr_curve(pr_per_query(at, class_counts(labels)))
+
+
+def _with_labels(best: DataFrame, queries: DataFrame, labels: DataFrame) -> DataFrame:
     named = best.join(labels.select("vec_id", F.col("label").alias("hit_label")), "vec_id")
     return named.join(queries.select("query_id", "query_label"), "query_id")
 
 
+def search_report(
+    queries: DataFrame,
+    words: DataFrame,
+    vectors: DataFrame,
+    labels: DataFrame,
+    max_k: int = MAX_K,
+    threshold: float = THRESHOLD,
+    metric: str = "chi2",
+    without_self: bool = True,
+) -> DataFrame:
+    """(k, precision, recall, accuracy) of searching ``queries``, by ``search_and_rank``."""
+    best = search_and_rank(queries, words, vectors, max_k, threshold, metric, without_self)
+    return _report(best, queries, labels, max_k)
+
+
 def pr_report(
     hits: DataFrame,
     queries: DataFrame,

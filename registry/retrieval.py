@@ -285,6 +285,21 @@ def g8(spark, sf):
 
 @register("e2_pr_curve", _CURVE, "per_query")
 def e2(spark, sf):
+    """Search, exact re-ranking and report with one scan of the vectors."""
+    means = views.prototypes(spark, sf)
+    curve = jobs.search_report(
+        views.class_queries(spark, sf, means),
+        views.words(spark, sf, means),
+        views.histograms(spark, sf),
+        views.labels(spark, sf),
+        without_self=False,
+    )
+    return _curve(curve)
+
+
+@register("e2_pr_of_hits", _CURVE, "per_query")
+def e2_hits(spark, sf):
+    """The same report from a table of hits."""
     queries, hits = _search(spark, sf)
     return _curve(
         jobs.pr_report(hits, queries, views.histograms(spark, sf), views.labels(spark, sf), without_self=False)

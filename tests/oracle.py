@@ -36,7 +36,7 @@ def plain(t: pa.DataType) -> str:
 
 def compare(df, con, sql: str) -> str | None:
     """None when equal, else what differs."""
-    got, want = df.toArrow(), con.execute(sql).to_arrow_table()
+    got, want = df.toArrow(), con.sql(sql).to_arrow_table()
     got_types = {f.name: plain(f.type) for f in got.schema}
     want_types = {f.name: plain(f.type) for f in want.schema}
     if got_types != want_types:
@@ -48,6 +48,10 @@ def compare(df, con, sql: str) -> str | None:
     return f"{len(bad)} of {len(a)} rows differ: {bad[:2]}" if bad else None
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def main() -> None:
     from tests.conftest import session
 

@@ -1,4 +1,4 @@
-"""Physical plans of the registered queries."""
+"""Physical plans of the operators that must not shuffle, or only what they keep."""
 
 from __future__ import annotations
 
@@ -7,28 +7,17 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from pixelseek import views
 from pixelseek.operators import postings as po
 from pixelseek.operators import quantizer as pq
 from pixelseek.operators import ranking as rk
 from pixelseek.operators import words as wd
 from pixelseek.plans import quantized as jobs
+from tests.oracle import plan
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_cross_join_and_pruned_scan(spark, name):
-    text = plan(entry.queries()[name](spark, SF_DIR))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "BatchEvalPython" not in text
-
-
 def test_soft_assignment_is_narrow(spark):
     df = wd.soft_assign(views.histograms(spark, SF_DIR), views.words(spark, SF_DIR))
     assert "Exchange" not in plan(po.postings(df, unique_ids=True))

@@ -157,3 +157,23 @@ def test_same_result_with_one_partition(spark):
 def test_class_sizes_total(spark):
     rows = table(spark, [("x",), ("x",), ("y",)], "class_name string")
     assert {(r.class_name, r.n) for r in rk.class_sizes(rows).collect()} == {("x", 2), ("y", 1), (None, 3)}
+
+
+@pytest.mark.parametrize("without_self", [True, False])
+@pytest.mark.parametrize("max_bytes", [64 << 20, 1 << 11, 0])
+def test_scan_equals_search_and_rerank(spark, without_self, max_bytes):
+    """One scan, the scan in blocks, and the way through the index; a third of the images are copies."""
+    rng = np.random.default_rng(11)
+    m = rng.random((60, 6)) ** 4
+    m[:20] = m[0]
+    vecs = table(spark, [(i, row.tolist()) for i, row in enumerate(m)], "vec_id bigint, vec array<double>")
+    words = table(spark, [(i, row.tolist()) for i, row in enumerate(rng.random((5, 6)) ** 4)], "word_id int, wv array<double>")
+    asked = vecs.select(F.col("vec_id").alias("query_id"), "vec")
+    index = jobs.build_index(vecs, words, threshold=0.1)
+    hits = jobs.search_index(asked, words, index, threshold=0.1)
+    assert 0 < hits.count() < 3600
+    hits = rk.exclude_self(hits) if without_self else hits
+    cols = ["query_id", "rank", "vec_id"]
+    want = {tuple(r) for r in rk.top_hits(rk.rerank(hits, asked, vecs), 9).select(*cols).collect()}
+    got = jobs.search_and_rank(asked, words, vecs, 9, 0.1, without_self=without_self, max_bytes=max_bytes)
+    assert {tuple(r) for r in got.select(*cols).collect()} == want
