@@ -95,7 +95,7 @@ def llc_code(
     beta: float = BETA,
     max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
-    """(image_id, desc_id, slot, word_id, w): the non-zero weights of each descriptor, nearest word first.
+    """(image_id, desc_id, slot, word_id, w): the non-zero weights per descriptor, nearest word first.
 
     Positions (x, y, width, height) are carried along where the table has them. A dictionary within ``max_bytes`` gives a narrow projection. A larger one is searched in
     blocks, and only the k chosen words are joined back.

@@ -13,8 +13,9 @@ from pixelseek.functions import kernels
 from pixelseek.functions.codebooks import MAX_BYTES, Centers, fetch
 from pixelseek.functions.hashing import hash_bucket
 from pixelseek.functions.vector import l2sq
-from pixelseek.operators.relational import with_dim
+from pixelseek.operators.relational import join_side, salts_of, with_dim
 
+BLOCK_CENTERS = 256
 STATS = "gid int, cid int, n bigint, total array<double>, cost double"
 
 
@@ -60,16 +61,14 @@ def assign_joined(subs: DataFrame, centers: DataFrame) -> DataFrame:
     For centre sets too large to ship. Centres meet sub-vectors in blocks of one group, and
     the sub-vectors of a group are spread by image.
     """
-    from pixelseek.operators.relational import SALTS
-    from pixelseek.operators.words import BLOCK_WORDS
-
-    blocks = max(1, -(-centers.count() // BLOCK_WORDS))
+    salts = salts_of(subs.sparkSession)
+    blocks = max(1, -(-centers.count() // BLOCK_CENTERS))
     packed = (
         centers.groupBy("gid", hash_bucket(blocks, F.col("cid")).alias("block"))
         .agg(F.collect_list(F.struct("cid", "c")).alias("cs"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    spread = subs.withColumn("salt", hash_bucket(SALTS, F.col("vec_id"))).withColumn(
+    spread = subs.withColumn("salt", hash_bucket(salts, F.col("vec_id"))).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     best = F.array_min(
@@ -218,8 +217,6 @@ def adc(queries: DataFrame, codes: DataFrame, centers: DataFrame) -> DataFrame:
     Rows of the tables are (query_id, gid, cid, d). For top-k answers use ``search_pq``,
     which keeps k per query in each task and does not emit the pairs.
     """
-    from pixelseek.operators.relational import join_side
-
     asked = queries.select(F.col("query_id").alias("vec_id"), "vec")
     book = fetch_centers(centers)
     cut = F.array(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelseek.functions.vector import METRICS
-from pixelseek.operators.relational import cut_before_shuffle, join_side, label_name
+from pixelseek.operators.relational import join_side, label_name, top_ranked
 
 # The grid is 10, 20 ... 100, 200 ... 5000.
 FINE_STEP, FINE_END, COARSE_STEP, MAX_K = 10, 100, 100, 5000
@@ -43,9 +43,7 @@ def top_hits(scored: DataFrame, max_k: int = MAX_K, tie: str = "vec_id") -> Data
     The bound is part of the ranking, so Spark cuts to ``max_k`` rows per query inside each
     task before the shuffle; a query that hits a third of the table costs max_k rows per task.
     """
-    cut_before_shuffle(scored.sparkSession, max_k)
-    order = Window.partitionBy("query_id").orderBy("dist", tie)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_k)
+    return top_ranked(scored, max_k, ["dist", tie])
 
 
 def cum_matches(ranked: DataFrame) -> DataFrame:

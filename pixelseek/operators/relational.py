@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelseek.functions.codebooks import MAX_BYTES, measured_bytes
 from pixelseek.functions.hashing import hash_bucket
+from pixelseek.functions.vector import subvector_array
 
 SALTS = 32
+TASKS_PER_MERGE, SMALL_K = 32, 100
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
@@ -29,8 +31,6 @@ def select_queries(df: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFr
 
 
 def subvectors(df: DataFrame, groups: int) -> DataFrame:
-    from pixelseek.functions.vector import subvector_array
-
     return df.select("vec_id", F.posexplode(subvector_array(F.col("vec"), groups)).alias("gid", "sub"))
 
 
@@ -67,8 +67,14 @@ def join_side(
     return big.join(side, on, how)
 
 
-def salted_join(big: DataFrame, side: DataFrame, key: str, big_id: str, salts: int = SALTS) -> DataFrame:
-    """Equi join that spreads every key of ``big`` over ``salts`` tasks; ``side`` is repeated per salt."""
+def salts_of(spark: SparkSession) -> int:
+    """Tasks over which a hot key is spread: those of a shuffle, but not fewer than SALTS."""
+    return max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def salted_join(big: DataFrame, side: DataFrame, key: str, big_id: str) -> DataFrame:
+    """Equi join that spreads every key of ``big`` over many tasks; ``side`` is repeated per salt."""
+    salts = salts_of(big.sparkSession)
     left = big.withColumn("_salt", hash_bucket(salts, F.col(big_id)))
     right = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"]).drop("_salt")
@@ -83,6 +89,22 @@ def cut_before_shuffle(spark: SparkSession, k: int) -> None:
         spark.conf.set(GROUP_LIMIT, str(k))
 
 
+def top_ranked(df: DataFrame, k: int, order: list[str], merges: int | None = None) -> DataFrame:
+    """Add ``rank`` within query_id and keep ranks up to ``k``.
+
+    Every task keeps k rows per query. On a wide cluster with a large k what thousands of tasks
+    keep is merged in two steps, so that one query's rows do not meet in one task at once.
+    """
+    cut_before_shuffle(df.sparkSession, k)
+    if merges is None:
+        merges = df.sparkSession.sparkContext.defaultParallelism // TASKS_PER_MERGE if k > SMALL_K else 1
+    if merges > 1:
+        part = Window.partitionBy("query_id", hash_bucket(merges, F.col("vec_id"))).orderBy(*order)
+        df = df.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= k).drop("_rank")
+    whole = Window.partitionBy("query_id").orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
+
+
 def label_name(label: Column) -> Column:
     return F.when(label == 1, "adeno").otherwise("squma")
 

@@ -13,22 +13,21 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelseek.functions import kernels
 from pixelseek.functions.codebooks import MAX_BYTES, fetch, measured_bytes
 from pixelseek.functions.hashing import hash_bucket
-from pixelseek.operators.relational import cut_before_shuffle
+from pixelseek.operators.relational import top_ranked
 
 CHUNK_ROWS = 100_000
 QUERY_STEP = 128
 CHUNK_STEP = 16_384
+BLOCK_ROWS = 65_536
 # A task may hold STATE_FACTOR x max_bytes of queries with their k best rows.
 STATE_FACTOR = 4
 
-BLOCK_ROWS = 65_536
-
 Prepare = Callable[[np.ndarray], Any]
 Describe = Callable[[np.ndarray], Any]
 Score = Callable[[Any, Any], np.ndarray]
@@ -182,9 +181,6 @@ def topk_scan(
             .applyInArrow(cell, out_type)
         )
 
-    cut_before_shuffle(base.sparkSession, k)
     if without_self:
         partial = partial.where(F.col("query_id") != F.col("vec_id"))
-    order = Window.partitionBy("query_id").orderBy("dist", "vec_id")
-    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "dist")
+    return top_ranked(partial, k, ["dist", "vec_id"]).select("query_id", "rank", "vec_id", "dist")

@@ -11,7 +11,7 @@ from pixelseek.functions import kernels
 from pixelseek.functions.codebooks import MAX_BYTES, Dictionary, fetch
 from pixelseek.functions.hashing import hash_bucket
 from pixelseek.functions.vector import METRICS, minmax
-from pixelseek.operators.relational import SALTS
+from pixelseek.operators.relational import salts_of
 
 THRESHOLD = 0.8
 ARROW_IDS = {"int": pa.int32(), "bigint": pa.int64()}
@@ -80,20 +80,20 @@ def _blocked_distances(vectors: DataFrame, words: DataFrame, metric) -> DataFram
     """For dictionaries too large to ship: equi join of vectors with blocks of words.
 
     A block holds about BLOCK_WORDS words. Blocks and vectors meet on (block, salt), so the
-    vectors of one block spread over SALTS tasks.
+    vectors of one block spread over many tasks.
     """
-    n_words = words.count()
-    n_blocks = max(1, -(-n_words // BLOCK_WORDS))
+    salts = salts_of(vectors.sparkSession)
+    n_blocks = max(1, -(-words.count() // BLOCK_WORDS))
     packed = (
         words.where(F.size("wv") > 0)
         .groupBy(hash_bucket(n_blocks, F.col("word_id")).alias("block"))
         .agg(F.collect_list(F.struct("word_id", "wv")).alias("ws"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     spread = vectors.select(
         "vec_id",
         "vec",
-        hash_bucket(SALTS, F.col("vec_id")).alias("salt"),
+        hash_bucket(salts, F.col("vec_id")).alias("salt"),
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
     )
     met = spread.join(packed, ["block", "salt"])
@@ -153,8 +153,17 @@ def soft_assign(
 def knn(
     vectors: DataFrame, base: DataFrame, k: int, metric="l2sq", max_bytes: int = MAX_BYTES
 ) -> DataFrame:
-    """(vec_id, rank, word_id, dist): the k nearest words of each vector, ties by word id."""
+    """(vec_id, rank, word_id, dist): the k nearest words of each vector, ties by word id.
+
+    A dictionary within ``max_bytes`` gives a narrow projection that keeps k words per row.
+    """
+    rows = fetch(base, "wv", max_bytes) if isinstance(metric, str) else None
+    if rows is not None:
+        distances = _distance_udf(Dictionary.of(rows), metric, dict(base.dtypes)["word_id"])
+        by_distance = F.transform(distances("vec"), lambda d: F.struct(d["dist"], d["word_id"]))
+        near = vectors.select("vec_id", F.posexplode(F.slice(F.array_sort(by_distance), 1, k)).alias("p", "d"))
+        return near.select("vec_id", (F.col("p") + 1).alias("rank"), "d.word_id", "d.dist")
     order = Window.partitionBy("vec_id").orderBy("dist", "word_id")
-    distances = word_distances(vectors, base, metric, max_bytes)
-    ranked = distances.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = word_distances(vectors, base, metric, max_bytes)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("vec_id", "rank", "word_id", "dist")

@@ -20,9 +20,10 @@ from pixelseek.operators.ranking import (
     at_k,
     class_counts,
     cum_matches,
+    gallery,
     pq_curve,
 )
-from pixelseek.operators.relational import attach_labels
+from pixelseek.operators.relational import attach_labels, select_queries
 from pixelseek.operators.scan import topk_scan
 
 # Iteration limit and stop rule.
@@ -115,9 +116,6 @@ def query_demo(
     k: int = 4,
 ) -> DataFrame:
     """Result page per chosen query: the query at position 0, then its k nearest, with path and class."""
-    from pixelseek.operators.ranking import gallery
-    from pixelseek.operators.relational import select_queries
-
     chosen = select_queries(vectors, ids).select(F.col("vec_id").alias("query_id"), "vec")
     near = search_pq(chosen, codes, centers, k).select("query_id", F.col("rank").alias("position"), "vec_id")
     own = chosen.select("query_id", F.lit(0).alias("position"), F.col("query_id").alias("vec_id"))

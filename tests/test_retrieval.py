@@ -177,3 +177,17 @@ def test_scan_equals_search_and_rerank(spark, without_self, max_bytes):
     want = {tuple(r) for r in rk.top_hits(rk.rerank(hits, asked, vecs), 9).select(*cols).collect()}
     got = jobs.search_and_rank(asked, words, vecs, 9, 0.1, without_self=without_self, max_bytes=max_bytes)
     assert {tuple(r) for r in got.select(*cols).collect()} == want
+
+
+def test_ranks_merged_in_two_steps(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(q), i, float(d)) for i, (q, d) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 9, 400)))]
+    scored = table(spark, rows, "query_id bigint, vec_id bigint, dist double")
+    once, twice = ({tuple(r) for r in rel.top_ranked(scored, 30, ["dist", "vec_id"], m).collect()} for m in (1, 5))
+    assert once == twice and len(once) == 90
+
+
+def test_nearest_words_are_narrow(spark, images, words):
+    near = wd.knn(images, words, 1)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    assert {(r.vec_id, r.word_id) for r in near.collect()} == {("a", 0), ("b", 1), ("c", 0)}
