@@ -233,23 +233,31 @@ def dense_descriptors(
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names, sizes, numbers, places, values = [], [], [], [], []
             for name, w, h, px in zip(*[c.to_numpy(zero_copy_only=False) for c in batch.columns]):
                 if min(w, h) < patch:
                     continue
                 cx, cy, d = _describe(np.asarray(px, dtype=float).reshape(h, w), step, patch, filters)
-                n = len(d)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * n, id_arrow),
-                        pa.array(np.arange(n), pa.int32()),
-                        pa.array(cx + 1 + patch / 2 - 0.5, pa.float64()),
-                        pa.array(cy + 1 + patch / 2 - 0.5, pa.float64()),
-                        pa.array(np.full(n, w), pa.int32()),
-                        pa.array(np.full(n, h), pa.int32()),
-                        kernels.to_list_array(d, pa.float64()),
-                    ],
-                    names=["image_id", "desc_id", "x", "y", "width", "height", "d"],
-                )
+                names += [name] * len(d)
+                sizes += [(w, h)] * len(d)
+                numbers.append(np.arange(len(d)))
+                places.append(np.stack([cx, cy], axis=1) + 1 + patch / 2 - 0.5)
+                values.append(d)
+            if not names:
+                continue
+            size, place = np.array(sizes), np.concatenate(places)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(names, id_arrow),
+                    pa.array(np.concatenate(numbers), pa.int32()),
+                    pa.array(place[:, 0], pa.float64()),
+                    pa.array(place[:, 1], pa.float64()),
+                    pa.array(size[:, 0], pa.int32()),
+                    pa.array(size[:, 1], pa.int32()),
+                    kernels.to_list_array(np.concatenate(values), pa.float64()),
+                ],
+                names=["image_id", "desc_id", "x", "y", "width", "height", "d"],
+            )
 
     source = images.select("image_id", F.col("width").cast("int"), F.col("height").cast("int"), "px")
     raw = source.mapInArrow(extract, out_type)

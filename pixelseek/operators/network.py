@@ -96,6 +96,18 @@ def init_weights(spark: SparkSession, layers: list[dict], seed: int = 0) -> Data
     return parts
 
 
+def standardizer_weights(fitted: DataFrame, layer: int = 0) -> DataFrame:
+    """Weight rows of a coordinate-wise layer from (i, shift, scale), as ``fit_standardizer`` gives them."""
+    zero = F.lit(0)
+    parts = F.array(
+        F.struct(F.lit("shift").alias("part"), F.col("shift").alias("w")),
+        F.struct(F.lit("scale").alias("part"), F.col("scale").alias("w")),
+    )
+    return fitted.select(F.lit(layer).alias("layer"), F.col("i").alias("out"), F.explode(parts).alias("p")).select(
+        "layer", "p.part", "out", zero.alias("inp"), zero.alias("dy"), zero.alias("dx"), "p.w"
+    )
+
+
 def _dense_joined(vectors: DataFrame, weights: DataFrame, biases: DataFrame, keep: float) -> DataFrame:
     """For weights too large to ship: join cells on the input number and add up per output."""
     cells = vectors.select("vec_id", F.posexplode("vec").alias("p", "x"))

@@ -46,7 +46,7 @@ def small_side(df: DataFrame, array_col: str | None = None, max_bytes: int = MAX
     """True when the measured size of ``df`` allows a broadcast."""
     if array_col is not None:
         return measured_bytes(df, array_col)[1] <= max_bytes
-    limit = max_bytes // (16 * len(df.columns))
+    limit = max_bytes // sum(64 if t == "string" else 16 for _, t in df.dtypes)
     return df.isLocal() or df.limit(limit + 1).count() <= limit
 
 

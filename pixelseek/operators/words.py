@@ -24,24 +24,18 @@ def _distance_udf(book: Dictionary, metric: str, id_type: str) -> Column:
 
     @F.arrow_udf(f"array<struct<word_id:{id_type},dist:double>>")
     def distances(vec: pa.Array) -> pa.Array:
+        groups = [g for g in kernels.list_rows(vec) if g[1].shape[1] in book.by_length]
         counts = np.zeros(len(vec), dtype=np.int64)
-        per_row: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(vec)
-        for rows, x in kernels.list_rows(vec):
-            if x.shape[1] not in book.by_length:
-                continue
+        for rows, x in groups:
+            counts[rows] = len(book.by_length[x.shape[1]][0])
+        starts = np.cumsum(counts) - counts
+        all_ids, all_dist = np.empty(counts.sum(), np.int64), np.empty(counts.sum())
+        for rows, x in groups:
             ids, matrix = book.by_length[x.shape[1]]
-            d = block(x, matrix)
-            counts[rows] = len(ids)
-            for r, line in zip(rows, d):
-                per_row[r] = (ids, line)
-        if not len(vec):
-            return kernels.ragged_struct(
-                counts, word_id=pa.array([], arrow_id), dist=pa.array([], pa.float64())
-            )
+            at = starts[rows][:, None] + np.arange(len(ids))
+            all_ids[at], all_dist[at] = ids, block(x, matrix)
         return kernels.ragged_struct(
-            counts,
-            word_id=pa.array(np.concatenate([p[0] for p in per_row]), arrow_id),
-            dist=pa.array(np.concatenate([p[1] for p in per_row]), pa.float64()),
+            counts, word_id=pa.array(all_ids, arrow_id), dist=pa.array(all_dist, pa.float64())
         )
 
     return distances

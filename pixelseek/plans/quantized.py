@@ -61,7 +61,7 @@ def fit_pq_trace(
 ) -> tuple[DataFrame, list[float]]:
     """Centres and the distortion seen by each assignment pass."""
     if dim is None:
-        dim = vectors.select(F.size("vec")).first()[0]
+        dim = vectors.where(F.col("vec").isNotNull()).select(F.size("vec")).first()[0]
     rows = merge_stats(initial_stats(vectors, dim, groups, clusters, seed)).collect()
     costs: list[float] = []
     for _ in range(max_iter - 1):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelseek.operators import moments as mo
 from pixelseek.operators import network as nw
 from pixelseek.operators import training as tr
 from tests.test_pixels import correlate, pooled, warp
@@ -105,6 +106,14 @@ def test_standardizing_layers(spark):
     assert got.tolist() == [[10.0, 2.0, 15.0]]
 
 
+def test_fitted_standardizer_feeds_the_input_layer(spark):
+    x = np.random.default_rng(6).normal(size=(50, 4)) * [1, 2, 3, 0.1] + 5
+    df = vectors(spark, x)
+    weights = nw.standardizer_weights(mo.fit_standardizer(df, mean=0, maxdev=0.5))
+    got = collected(nw.score(df, [{"type": "i", "mapsize": (2, 2), "mean": 0, "maxdev": 0.5}], weights))
+    assert got == pytest.approx((x - x.mean(axis=0)) * 0.5 / np.maximum(x.std(axis=0), 0.5))
+
+
 def test_jitter_and_soft_maps(spark):
     layers = [
         {"type": "i", "mapsize": (5, 5)},
