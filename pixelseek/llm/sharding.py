@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pixelseek.llm.common import broadcast_if_small, stored
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: Offset tables up to this many rows (some 30 MB) are broadcast, larger ones are joined by a shuffle.
 MAX_OFFSETS = 500_000
 
