@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelseek.llm import chat, decontaminate, exact_dedup, sharding
+from pixelseek.llm import chat, decontaminate, exact_dedup, language, quality, sharding, toxicity
+from pixelseek.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +80,33 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.filter(~held_out))
+    told = docs.select("doc_id", held_out.alias("held_out"), language.predict(model, F.col("text")).alias("p"))
+    return told.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+@register("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document; learned from labelled ones whose id's crc32 modulo 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    told = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(model, F.col("text")).alias("p"))
+    return told.select(
+        "doc_id", "held_out", "p.p_toxic", "p.severity", "p.grade", (F.col("p.severity") >= 0.5).cast("int").alias("toxic")
+    )
+
+
+@register("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
+    told = docs.select("doc_id", held_out.alias("held_out"), quality.score(model, F.col("text")).alias("score"))
+    return told.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
