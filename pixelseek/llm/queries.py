@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelseek.llm import chat, decontaminate, exact_dedup, language, quality, sharding, toxicity
+from pixelseek.llm import chat, dac, decontaminate, exact_dedup, language, quality, sharding, simhash, toxicity
 from pixelseek.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
     told = docs.select("doc_id", held_out.alias("held_out"), quality.score(model, F.col("text")).alias("score"))
     return told.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@register("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op4_token_ids")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = dac.write_ids(table(spark, sf_dir, "documents"), lambda: dac.ByteBpe(path), end_id=2)
+    return dac.read_ids(manifest).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
