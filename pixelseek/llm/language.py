@@ -217,8 +217,8 @@ def _broadcast(value):
     return SparkSession.getActiveSession().sparkContext.broadcast(value)
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
-    """Rows whose language is known: not ``und``, and likelier than not by the calibrated score."""
+def keep_known(docs: DataFrame, model: LanguageModel, min_score: float = 0.4) -> DataFrame:
+    """Rows whose language is known: not ``und``, and not all languages in doubt by the calibrated score."""
     told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("_t"))
     told = told.select("row", predict(model, F.col("_t")).alias("p"))
     return told.filter((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= min_score)).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelseek.llm import chat, dac, decontaminate, exact_dedup, language, quality, sharding, simhash, toxicity
+from pixelseek.llm import chat, dac, decontaminate, exact_dedup, language, pieces, quality, sharding, simhash, toxicity
 from pixelseek.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@register("op10_pieces")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    told = table(spark, sf_dir, "documents").select("doc_id", pieces.encoded(path, F.col("text")).alias("p"))
+    return told.select("doc_id", F.size("p.ids").cast("long").alias("n_pieces"), "p.ids", "p.exact")
