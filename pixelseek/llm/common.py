@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All batches of a task as one frame: for samples of bounded size."""
+    every = list(batches)
+    return pd.concat(every, ignore_index=True) if every else pd.DataFrame()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint where the (stored) table has at most ``max_rows`` rows, else the plain table: an ordinary join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

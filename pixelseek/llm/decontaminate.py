@@ -41,7 +41,7 @@ NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 _WORD = r"[\p{L}\p{M}]+"
 _NAME = rf"(?<=[\p{{L}}\p{{N}},;] )(?=\p{{Lu}})({_WORD})"
 _NUMBER = r"(\p{Nd}+(?:[.,]\p{Nd}+)*)"
-_UNIT = rf"(?i)({NUMBER}[\p{{Nd}}.,]*\s?)({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
+_UNIT = rf"(?i)({NUMBER}[\p{{Nd}}.,]*\s{{0,2}})({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
 
 
 def _bare(text: Column) -> Column:
@@ -75,7 +75,7 @@ def slotted(text: Column) -> Column:
         first = F.substring(x, 1, 1)
         slot = first.isin(NAME, NUMBER, UNIT)
         return F.struct(
-            F.when(slot, first).otherwise(F.lower(x)).alias("t"), F.when(slot, F.lower(x)).alias("slot")
+            F.when(slot, first).otherwise(F.lower(x)).alias("t"), F.when(slot, F.lower(F.substring(x, 2, 1 << 30))).alias("slot")
         )
 
     return F.transform(tokens, token)

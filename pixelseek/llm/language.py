@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelseek.llm.common import gathered
+
 DIM = 1 << 15
 ORDER = 3
 #: Rows that weights are fitted on.
@@ -169,7 +171,7 @@ def fit(train: DataFrame, max_sample: int = MAX_SAMPLE) -> LanguageModel:
     )
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = pd.concat(list(batches), ignore_index=True)
+        sample = gathered(batches)
         if sample.empty:
             return
         sample = sample.sort_values(["h", "lang"], kind="stable").head(max_sample)

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelseek.llm.common import gathered
+
 #: Rows of each kind that the model is fitted on.
 MAX_SAMPLE = 4000
 HASHED = 512
@@ -181,7 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> Qua
             yield pd.DataFrame({"h": batch["h"], "positive": batch["positive"], "x": rows})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
+        rows = gathered(batches)
+        if rows.empty:
+            return
         rows = rows.sort_values(["h", "positive", "x"], kind="stable")
         kinds = [
             np.array([np.frombuffer(b, np.float32) for b in rows.loc[rows["positive"] == k, "x"][:max_sample]])

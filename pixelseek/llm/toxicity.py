@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelseek.llm.common import gathered
+
 #: Labelled rows that the model is fitted on, and features it may use.
 MAX_SAMPLE = 8000
 MAX_FEATURES = 20_000
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> Tox
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
+        rows = gathered(batches)
         if rows.empty:
             return
         model = _learn(rows.sort_values(["h", "text"], kind="stable").head(max_sample))
