@@ -31,12 +31,12 @@ def measured_bytes(df: DataFrame, array_col: str) -> tuple[int, int]:
 
 
 def fetch(
-    df: DataFrame, array_col: str, max_bytes: int = MAX_BYTES, row_bytes: int = ROW_BYTES
+    df: DataFrame, array_col: str, max_bytes: int | None = MAX_BYTES, row_bytes: int = ROW_BYTES
 ) -> list[Row] | None:
-    """All rows, or ``None`` once they pass ``max_bytes``.
+    """All rows, or ``None`` once they pass ``max_bytes``; without a limit, all of a table whose size is a parameter.
 
     Up to PROBE_ROWS rows take one job. A longer table is read partition by partition, and
-    reading stops at the limit, so the driver never holds more than that.
+    reading stops at the limit. Rows are Python numbers, about four times the counted bytes.
     """
     found = df.collect() if df.isLocal() else df.limit(PROBE_ROWS + 1).collect()
     if not df.isLocal() and len(found) > PROBE_ROWS:
@@ -44,7 +44,7 @@ def fetch(
     rows, size = [], 0
     for row in found:
         size += 8 * len(row[array_col] or ()) + row_bytes
-        if size > max_bytes:
+        if max_bytes is not None and size > max_bytes:
             return None
         rows.append(row)
     return rows
@@ -64,16 +64,15 @@ def local_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
 def pinned(df: DataFrame, array_col: str, max_bytes: int = PIN_BYTES) -> DataFrame:
     """The same small table, computed once instead of by every use.
 
-    Up to ``max_bytes`` it becomes a local table. A larger one is checkpointed in the session's
-    checkpoint folder, where lost executors cannot take it along.
+    Up to ``max_bytes`` it becomes a local table. A larger one stays a distributed table that is
+    kept after its first use; what a lost executor held of it is computed again.
     """
     rows = fetch(df, array_col, max_bytes)
     if rows is not None:
         schema = to_arrow_schema(df.schema)
         columns = {f.name: pa.array([r[f.name] for r in rows], f.type) for f in schema}
         return local_table(df.sparkSession, columns)
-    use_checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    return df.persist()
 
 
 def use_checkpoint_folder(spark: SparkSession) -> str:

@@ -30,8 +30,11 @@ def list_rows(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def list_matrix(col: pa.Array, width: int) -> np.ndarray:
-    flat = col.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(-1, width)
+    """The rows as a matrix; rows of another length, or NULL, are an error, never cut or joined."""
+    lengths = col.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    if (lengths != width).any():
+        raise ValueError(f"vectors must have length {width}, found {sorted(set(lengths[lengths != width]))[:5]}")
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 def to_list_array(matrix: np.ndarray, arrow_type: pa.DataType) -> pa.Array:
@@ -50,6 +53,9 @@ def ragged_struct(counts: np.ndarray, **fields: pa.Array) -> pa.Array:
 
 def chi2_block(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     out = np.empty((len(x), len(book)))
+    if len(book) > len(x):
+        # The loop runs over the shorter side; the distance is symmetric.
+        return np.ascontiguousarray(chi2_block(book, x).T)
     for j, b in enumerate(book):
         total, diff = x + b, x - b
         term = np.divide(diff * diff, total, out=np.zeros_like(total), where=total != 0)
@@ -59,6 +65,8 @@ def chi2_block(x: np.ndarray, book: np.ndarray) -> np.ndarray:
 
 def l2_block(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     out = np.empty((len(x), len(book)))
+    if len(book) > len(x):
+        return np.ascontiguousarray(l2_block(book, x).T)
     for j, b in enumerate(book):
         diff = x - b
         out[:, j] = np.einsum("ij,ij->i", diff, diff)

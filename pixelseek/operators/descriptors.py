@@ -57,8 +57,6 @@ def local_weights(x: np.ndarray, near: np.ndarray, beta: float) -> np.ndarray:
 
 
 def _code_udf(book: Dictionary, knn: int, beta: float):
-    if len(book.by_length) != 1:
-        raise ValueError("the dictionary needs words, all of one length")
     ((ids, matrix),) = book.by_length.values()
     knn = min(knn, len(ids))
 
@@ -97,11 +95,19 @@ def llc_code(
 ) -> DataFrame:
     """(image_id, desc_id, slot, word_id, w): the non-zero weights per descriptor, nearest word first.
 
-    Positions (x, y, width, height) are carried along where the table has them. A dictionary within ``max_bytes`` gives a narrow projection. A larger one is searched in
-    blocks, and only the k chosen words are joined back.
+    Positions (x, y, width, height) are carried along where the table has them. Descriptors of
+    another length than the words, or NULL, are left out. A dictionary within ``max_bytes`` gives
+    a narrow projection. A larger one is searched in blocks, and only the k chosen words are
+    joined back.
     """
     id_type = dict(words.dtypes)["word_id"]
     keys = ["image_id", "desc_id", *[c for c in POSITION if c in descriptors.columns]]
+    # One rule for both ways: words of one length, and only descriptors of that length are coded.
+    sizes = words.where(F.size("wv") > 0).agg(F.min(F.size("wv")), F.max(F.size("wv"))).first()
+    if sizes[0] is None or sizes[0] != sizes[1]:
+        raise ValueError("the dictionary needs words, all of one length")
+    descriptors = descriptors.where(F.size("d") == sizes[0])
+    words = words.where(F.size("wv") > 0)
     rows = fetch(words, "wv", max_bytes)
     if rows is not None:
         code = _code_udf(Dictionary.of(rows), knn, beta)
@@ -187,8 +193,9 @@ def _correlate(image: np.ndarray, filt: np.ndarray) -> np.ndarray:
 
 def _cell_weights(patch: int) -> np.ndarray:
     """Bilinear share of each patch coordinate in each of the cells along one axis: cells x patch."""
-    centres = (2 / CELLS * np.arange(1, CELLS + 1) - (1 / CELLS + 1)) * patch / 2 + patch / 2 - 0.5
-    away = np.abs(np.arange(patch)[None, :] - centres[:, None]) / (2 / CELLS * patch / 2)
+    width = patch / CELLS
+    centres = width * (np.arange(CELLS) + 0.5) - 0.5
+    away = np.abs(np.arange(patch)[None, :] - centres[:, None]) / width
     return np.where(away <= 1, 1 - away, 0)
 
 

@@ -110,11 +110,18 @@ def standardizer_weights(fitted: DataFrame, layer: int = 0) -> DataFrame:
 
 def _dense_joined(vectors: DataFrame, weights: DataFrame, biases: DataFrame, keep: float) -> DataFrame:
     """For weights too large to ship: join cells on the input number and add up per output."""
-    cells = vectors.select("vec_id", F.posexplode("vec").alias("p", "x"))
-    met = cells.withColumn("inp", F.col("p") + 1).join(weights.select("out", "inp", "w"), "inp")
+    shape = weights.agg(F.max("inp"), F.max("out")).first()
+    cells = vectors.where(F.size("vec") == shape[0]).select("vec_id", F.posexplode("vec").alias("p", "x"))
+    # Outputs without a weight still have their bias: as outputs with a zero weight.
+    empty = vectors.sparkSession.range(1, shape[1] + 1).select(
+        F.col("id").cast("int").alias("out"), F.lit(1).alias("inp"), F.lit(0.0).alias("w")
+    )
+    every = weights.select("out", "inp", "w").unionByName(empty)
+    met = cells.withColumn("inp", F.col("p") + 1).join(every, "inp")
     sums = met.groupBy("vec_id", "out").agg(F.sum(F.col("x") * F.col("w")).alias("a"))
-    rows = sums.join(biases.select("out", F.col("w").alias("b")), "out").select(
-        "vec_id", F.struct("out", ((F.col("a") + F.col("b")) * keep).alias("a")).alias("c")
+    shift = F.coalesce("b", F.lit(0.0))
+    rows = sums.join(biases.select("out", F.col("w").alias("b")), "out", "left").select(
+        "vec_id", F.struct("out", ((F.col("a") + shift) * keep).alias("a")).alias("c")
     )
     lists = rows.groupBy("vec_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
     return lists.select("vec_id", F.transform("cs", lambda c: c["a"]).alias("vec"))

@@ -109,6 +109,8 @@ def convolve(
     the number of maps does not multiply the rows.
     """
     (kh, kw), (ph, pw) = kernel_size, padding
+    if not (0 <= ph < kh and 0 <= pw < kw):
+        raise ValueError(f"padding {padding} must lie within 0 and the kernel size {kernel_size} less one")
     maps = kernels.agg(F.max("out")).first()[0]
     lanes = range(min(maps, OUT_BLOCK))
     place, lane = F.floor((F.col("out") - 1) / OUT_BLOCK).cast("int"), (F.col("out") - 1) % OUT_BLOCK

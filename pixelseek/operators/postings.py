@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelseek.functions.codebooks import MAX_BYTES
 from pixelseek.functions.hashing import hash_bucket
-from pixelseek.operators.relational import salted_join, small_side
+from pixelseek.operators.relational import join_side, salted_join, small_side
 
 LIST_DOCS = 100_000
 
@@ -30,7 +30,8 @@ def posting_lists(rows: DataFrame, list_docs: int = LIST_DOCS) -> DataFrame:
     """
     counts = rows.groupBy("word_id").agg(F.count("weight").alias("n"))
     blocks = counts.select("word_id", F.ceil(F.col("n") / list_docs).cast("int").alias("blocks"))
-    sized = rows.join(blocks, "word_id")
+    # One row per word: the counts travel to the postings.
+    sized = join_side(rows, blocks, "word_id")
     placed = sized.withColumn("block", hash_bucket(F.col("blocks"), F.col("vec_id")))
     return placed.groupBy("word_id", "block").agg(
         F.array_sort(F.collect_list(F.struct("vec_id", "weight"))).alias("docs")

@@ -19,12 +19,19 @@ BLOCK_CENTERS = 256
 STATS = "gid int, cid int, n bigint, total array<double>, cost double"
 
 
-def fetch_centers(centers: DataFrame, max_bytes: int = MAX_BYTES) -> Centers:
-    """Centres on the driver. Their size is groups x clusters x sub-dimension, whatever the data."""
+def fetch_centers(centers: DataFrame, max_bytes: int | None = MAX_BYTES) -> Centers | None:
+    """Centres on the driver, or ``None`` beyond ``max_bytes``."""
     rows = fetch(centers, "c", max_bytes)
-    if rows is None:
-        raise ValueError(f"centres exceed {max_bytes} bytes; raise max_bytes or use assign_joined")
-    return Centers.of(rows)
+    return None if rows is None else Centers.of(rows)
+
+
+def _cut_by_centers(vectors: DataFrame, centers: DataFrame) -> DataFrame:
+    """(vec_id, gid, sub) with the group lengths of the centres; one number per group reaches the driver."""
+    widths = [r["w"] for r in centers.groupBy("gid").agg(F.max(F.size("c")).alias("w")).orderBy("gid").collect()]
+    starts = np.cumsum([0, *widths]).tolist()
+    subs = F.array(*[F.slice("vec", s + 1, w) for s, w in zip(starts, widths)])
+    rows = with_dim(vectors, starts[-1])
+    return rows.select("vec_id", F.posexplode(subs).alias("gid", "sub"))
 
 
 def _assign_udf(centers: Centers):
@@ -49,8 +56,13 @@ def _assign_udf(centers: Centers):
 
 
 def assign(vectors: DataFrame, centers: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(vec_id, gid, cid, dist): nearest centre of each sub-vector, a narrow projection."""
+    """(vec_id, gid, cid, dist): nearest centre of each sub-vector, a narrow projection.
+
+    Centres beyond ``max_bytes`` are joined.
+    """
     book = fetch_centers(centers, max_bytes)
+    if book is None:
+        return assign_joined(_cut_by_centers(vectors, centers), centers)
     cells = _assign_udf(book)
     return with_dim(vectors, book.dim).select("vec_id", F.inline(cells("vec")))
 
@@ -182,6 +194,10 @@ def merge_stats(stats: DataFrame) -> DataFrame:
 def encode(vectors: DataFrame, centers: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(vec_id, code): one cluster id per group, group lengths taken from the centres."""
     book = fetch_centers(centers, max_bytes)
+    if book is None:
+        cells = assign(vectors, centers, max_bytes).groupBy("vec_id")
+        lists = cells.agg(F.array_sort(F.collect_list(F.struct("gid", "cid"))).alias("cs"))
+        return lists.select("vec_id", F.transform("cs", lambda c: c["cid"]).alias("code"))
     slices = book.slices()
 
     def code(x: np.ndarray) -> np.ndarray:
@@ -218,11 +234,7 @@ def adc(queries: DataFrame, codes: DataFrame, centers: DataFrame) -> DataFrame:
     which keeps k per query in each task and does not emit the pairs.
     """
     asked = queries.select(F.col("query_id").alias("vec_id"), "vec")
-    book = fetch_centers(centers)
-    cut = F.array(
-        *[F.slice("vec", s.start + 1, s.stop - s.start) for s in book.slices()]
-    )
-    subs = asked.select(F.col("vec_id").alias("query_id"), F.posexplode(cut).alias("gid", "sub"))
+    subs = _cut_by_centers(asked, centers).withColumnRenamed("vec_id", "query_id")
     tables = subs.join(centers, "gid").select("query_id", "gid", "cid", l2sq(F.col("sub"), F.col("c")).alias("d"))
     picks = codes.select("vec_id", F.posexplode("code").alias("gid", "cid"))
     met = join_side(picks, tables, ["gid", "cid"])

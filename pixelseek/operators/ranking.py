@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelseek.functions.vector import METRICS
-from pixelseek.operators.relational import join_side, label_name, top_ranked
+from pixelseek.operators.relational import all_ranked, hot_join, join_side, label_name, top_ranked
 
 # The grid is 10, 20 ... 100, 200 ... 5000.
 FINE_STEP, FINE_END, COARSE_STEP, MAX_K = 10, 100, 100, 5000
@@ -37,12 +37,15 @@ def rerank(hits: DataFrame, queries: DataFrame, vectors: DataFrame, metric="chi2
     return met.select("query_id", "vec_id", fn(F.col("query_vec"), F.col("vec")).alias("dist"))
 
 
-def top_hits(scored: DataFrame, max_k: int = MAX_K, tie: str = "vec_id") -> DataFrame:
-    """Rank each query's hits by distance and keep ``max_k``.
+def top_hits(scored: DataFrame, max_k: int | None = None, tie: str = "vec_id") -> DataFrame:
+    """Rank each query's hits by distance: all of them, or the best ``max_k``.
 
-    The bound is part of the ranking, so Spark cuts to ``max_k`` rows per query inside each
+    A bound is part of the ranking, so Spark cuts to ``max_k`` rows per query inside each
     task before the shuffle; a query that hits a third of the table costs max_k rows per task.
+    Without a bound ranks are counted range by range, so no task holds all hits of a query.
     """
+    if max_k is None:
+        return all_ranked(scored, ["dist", tie])
     return top_ranked(scored, max_k, ["dist", tie])
 
 
@@ -65,7 +68,7 @@ def query_context(hits: DataFrame, labels: DataFrame) -> DataFrame:
     key = F.struct("query_id", F.col("label").alias("query_label"), "tp", "tn")
     owners = labels.select(F.col("vec_id").alias("query_id"), "label")
     return (
-        hits.join(owners, "query_id")
+        hot_join(hits, owners, "query_id", "vec_id")
         .withColumn("_sizes", sizes.select(F.struct("tp", "tn")).scalar())
         .select("*", "_sizes.tp", "_sizes.tn")
         .select(key.alias("key"), "vec_id")

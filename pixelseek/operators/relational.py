@@ -10,6 +10,8 @@ from pixelseek.functions.hashing import hash_bucket
 from pixelseek.functions.vector import subvector_array
 
 SALTS = 32
+HOT_ROWS = 100_000
+RANK_RANGES = 256
 TASKS_PER_MERGE, SMALL_K = 32, 100
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
@@ -72,14 +74,33 @@ def salts_of(spark: SparkSession) -> int:
     return max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def salted_join(big: DataFrame, side: DataFrame, key: str, big_id: str) -> DataFrame:
-    """Equi join that spreads every key of ``big`` over many tasks; ``side`` is repeated per salt."""
-    salts = salts_of(big.sparkSession)
-    left = big.withColumn("_salt", hash_bucket(salts, F.col(big_id)))
-    right = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def salted_join(big: DataFrame, side: DataFrame, key: str, big_id: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Equi join that spreads the hot keys of ``big`` over many tasks.
+
+    A key is hot from ``hot_rows`` rows, so there are at most (rows / hot_rows) hot keys; only
+    their rows of ``side`` are repeated, once for each ``hot_rows`` rows of ``big``.
+    """
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
+    hot = F.broadcast(counts.select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
+    spread = F.pmod(F.xxhash64(big_id), F.coalesce("_salts", F.lit(1))).cast("int")
+    left = big.join(hot, key, "left").withColumn("_salt", spread).drop("_salts")
+    places = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = side.join(hot, key, "left").withColumn("_salt", F.explode(places)).drop("_salts")
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+def hot_join(big: DataFrame, side: DataFrame, key: str, big_id: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Equi join on a key of which one value may hold a large share of ``big``.
+
+    Rows of ``side`` that nothing asks for are dropped first; what is left is broadcast when its
+    measured size allows, else hot keys are salted.
+    """
+    asked = side.join(big.select(key).distinct(), key, "left_semi")
+    if small_side(asked, max_bytes=max_bytes):
+        return big.join(F.broadcast(asked), key)
+    return salted_join(big, side, key, big_id)
+
+
 def cut_before_shuffle(spark: SparkSession, k: int) -> None:
     """Let the planner cut ranked rows to ``k`` per group inside tasks.
 
@@ -97,7 +118,7 @@ def top_ranked(df: DataFrame, k: int, order: list[str], merges: int | None = Non
     """
     cut_before_shuffle(df.sparkSession, k)
     if merges is None:
-        merges = df.sparkSession.sparkContext.defaultParallelism // TASKS_PER_MERGE if k > SMALL_K else 1
+        merges = salts_of(df.sparkSession) // TASKS_PER_MERGE if k > SMALL_K else 1
     if merges > 1:
         part = Window.partitionBy("query_id", hash_bucket(merges, F.col("vec_id"))).orderBy(*order)
         df = df.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= k).drop("_rank")
@@ -105,12 +126,34 @@ def top_ranked(df: DataFrame, k: int, order: list[str], merges: int | None = Non
     return df.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
 
 
+def all_ranked(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """Add ``rank`` within query_id to all rows.
+
+    Rows are cut into ranges of the first order column, whose quantiles Spark estimates per query;
+    a rank is the place within the range plus the rows in earlier ranges. One query's rows so meet
+    in many tasks. The counts have one row per query and range.
+    """
+    n = ranges or min(RANK_RANGES, salts_of(df.sparkSession))
+    marks = F.percentile_approx(order[0], [i / n for i in range(1, n)], 1000)
+    bounds = df.groupBy("query_id").agg(F.coalesce(marks, F.array().cast("array<double>")).alias("_bounds"))
+    first = F.col(order[0])
+    piece = F.size(F.filter("_bounds", lambda b: b < first))
+    cut = join_side(df, bounds, "query_id", array_col="_bounds").withColumn("_piece", piece).drop("_bounds")
+    counts = cut.groupBy("query_id", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("query_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("query_id", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("query_id", "_piece").orderBy(*order)
+    numbered = cut.withColumn("_at", F.row_number().over(inside))
+    ranked = join_side(numbered, offsets, ["query_id", "_piece"])
+    return ranked.withColumn("rank", (F.col("_before") + F.col("_at")).cast("int")).drop("_piece", "_at", "_before")
+
+
 def label_name(label: Column) -> Column:
     return F.when(label == 1, "adeno").otherwise("squma")
 
 
 def attach_labels(hits: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add ``query_label`` and ``hit_label``. Both are equi joins on an id; neither side is hinted."""
+    """Add ``query_label`` and ``hit_label``; a query may own a large share of the hits."""
     q = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
     h = labels.select("vec_id", F.col("label").alias("hit_label"))
-    return hits.join(q, "query_id").join(h, "vec_id")
+    return hot_join(hits, q, "query_id", "vec_id").join(h, "vec_id")

@@ -23,7 +23,7 @@ from pixelseek.operators.ranking import (
     gallery,
     pq_curve,
 )
-from pixelseek.operators.relational import attach_labels, select_queries
+from pixelseek.operators.relational import attach_labels, select_queries, with_dim
 from pixelseek.operators.scan import topk_scan
 
 # Iteration limit and stop rule.
@@ -45,7 +45,7 @@ def fit_pq(
     groups x clusters centres reach the driver. Iterations share no lineage, so nothing has to be
     checkpointed and a lost executor repeats its part of one pass. The first assignment is a
     seeded hash. Empty clusters vanish. ``tol=None`` runs all iterations. Vectors of another length
-    than ``dim`` (by default that of the first vector) are left out.
+    than ``dim`` are left out; without ``dim`` all must have one length.
     """
     return fit_pq_trace(vectors, groups, clusters, max_iter, tol, seed, dim)[0]
 
@@ -61,7 +61,10 @@ def fit_pq_trace(
 ) -> tuple[DataFrame, list[float]]:
     """Centres and the distortion seen by each assignment pass."""
     if dim is None:
-        dim = vectors.where(F.col("vec").isNotNull()).select(F.size("vec")).first()[0]
+        sizes = vectors.where(F.col("vec").isNotNull()).agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+        if sizes[0] is None or sizes[0] != sizes[1]:
+            raise ValueError(f"vectors of lengths {sizes[0]} to {sizes[1]}: say which by dim")
+        dim = sizes[0]
     rows = merge_stats(initial_stats(vectors, dim, groups, clusters, seed)).collect()
     costs: list[float] = []
     for _ in range(max_iter - 1):
@@ -92,10 +95,11 @@ def search_pq(
 
     With ``without_self`` the query's own id is left out and exactly k others are kept.
     """
-    book = fetch_centers(centers)
+    # Centres are parameter-sized (groups x clusters x sub-dimension), whatever the number of images.
+    book = fetch_centers(centers, None)
     return topk_scan(
         codes,
-        queries,
+        with_dim(queries, book.dim),
         k,
         prepare=lambda q: distance_tables(q, book),
         score=table_distances,

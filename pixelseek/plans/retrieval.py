@@ -66,11 +66,11 @@ def ranked_hits(
     queries: DataFrame,
     vectors: DataFrame,
     labels: DataFrame,
-    max_k: int = MAX_K,
+    max_k: int | None = None,
     metric="chi2",
     without_self: bool = True,
 ) -> DataFrame:
-    """Hits re-scored on the full vectors, the best ``max_k`` per query, with both labels.
+    """Hits re-scored on the full vectors, all or the best ``max_k`` per query, with both labels.
 
     ``queries`` has (query_id, vec, query_label). Hit labels are joined after the cut.
     """
@@ -83,7 +83,7 @@ def search_and_rank(
     queries: DataFrame,
     words: DataFrame,
     vectors: DataFrame,
-    max_k: int = MAX_K,
+    max_k: int | None = None,
     threshold: float = THRESHOLD,
     metric: str = "chi2",
     without_self: bool = True,
@@ -94,18 +94,17 @@ def search_and_rank(
     Gives the best ``max_k`` of ``rerank(search_index(...))`` without ever writing the
     (query, image) pairs: a task finds the words of its images, drops those that share none with
     a query, scores the rest on the full vectors and keeps ``max_k`` per query. A dictionary
-    too large to ship takes the way through the index.
+    too large to ship or with words of several lengths, and a ranking of all hits (no ``max_k``),
+    take the way through the index.
     """
     rows = fetch(words, "wv", max_bytes)
-    if rows is None:
+    by_length = Dictionary.of(rows).by_length if rows is not None else {}
+    if max_k is None or len(by_length) != 1:
         index = build_index(vectors, words, threshold, metric, max_bytes=max_bytes)
         hits = search_index(queries, words, index, threshold, metric, max_bytes)
         if without_self:
             hits = exclude_self(hits)
         return top_hits(rerank(hits, queries, vectors, metric), max_k).select("query_id", "rank", "vec_id", "dist")
-    by_length = Dictionary.of(rows).by_length
-    if len(by_length) != 1:
-        raise ValueError("the dictionary needs words, all of one length")
     ((_, book),) = by_length.values()
     block = kernels.BLOCKS[metric]
 
@@ -114,7 +113,13 @@ def search_and_rank(
 
     def score(asked: tuple[np.ndarray, np.ndarray], shown: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         (q, q_words), (x, x_words) = asked, shown
-        return np.where(q_words @ x_words.T > 0, block(x, q).T, np.inf)
+        share = q_words @ x_words.T > 0
+        out = np.full(share.shape, np.inf)
+        # Each query is scored against the images that share a word with it, and no others.
+        for line, marks, one in zip(out, share, q):
+            if marks.any():
+                line[marks] = block(x[marks], one[None, :])[:, 0]
+        return out
 
     return topk_scan(
         vectors,

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows that may be merged into one file, as codebooks and metric tables are.
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def write_descriptors(descriptors: DataFrame, path: str, class_col: str = "class_name") -> None:
     descriptors.write.mode("overwrite").partitionBy(class_col).parquet(path)
@@ -37,7 +34,6 @@ def write_by_key(df: DataFrame, key: str, path: str) -> None:
     df.hint("rebalance", F.col(key)).write.mode("overwrite").partitionBy(key).parquet(path)
 
 
-def write_single(df: DataFrame, path: str, max_rows: int = SINGLE_FILE_ROWS) -> None:
-    """Parquet in one file if the table is at most ``max_rows`` long, else in part files."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    (df.coalesce(1) if small else df).write.mode("overwrite").parquet(path)
+def write_single(df: DataFrame, path: str) -> None:
+    """Parquet in one file, written by one task: for codebooks and metric tables."""
+    df.repartition(1).write.mode("overwrite").parquet(path)

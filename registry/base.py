@@ -63,7 +63,7 @@ fragment(
     "ranked",
     "SELECT s.query_id, CASE WHEN s.query_id < 5 THEN 1 ELSE 2 END AS query_label, s.rank, s.vec_id, s.dist,"
     " l.label AS hit_label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank"
-    " FROM scored) s JOIN labels2 l ON l.vec_id = s.vec_id WHERE s.rank <= 5000",
+    " FROM scored) s JOIN labels2 l ON l.vec_id = s.vec_id",
     "scored",
     "labels2",
 )

@@ -185,6 +185,11 @@ def test_class_weights(spark):
     assert {r.label: r.weight for r in mo.class_weights(df).collect()} == pytest.approx({1: 2 / 3, 2: 2.0})
 
 
-def test_gramian_refuses_unbounded_width(spark):
-    with pytest.raises(ValueError):
-        mo.gramian(spark.createDataFrame([([1.0],)], "vec array<double>"), mo.MAX_DIM + 1)
+def test_gramian_by_blocks(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(20, 7))
+    df = spark.createDataFrame([(r.tolist(),) for r in x] + [([1.0],), (None,)], "vec array<double>").repartition(3)
+    for block in (2, 3, 7, 100):
+        got = {(r.i, r.j): r.x for r in mo.gramian(df, 7, block=block).collect()}
+        want = {(i + 1, j + 1): v for (i, j), v in np.ndenumerate(x.T @ x)}
+        assert got == pytest.approx(want)

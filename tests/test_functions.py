@@ -83,7 +83,7 @@ def test_fetch_stops_at_limit(spark):
     assert fetch_rows(df, 2999) is None and len(fetch_rows(df, 3000)) == 3000
 
 
-def test_pinned_larger_table_is_checkpointed(spark, checkpoint_dir):
+def test_pinned_larger_table_stays_distributed(spark):
     df = spark.range(100).select("id", F.array(F.col("id").cast("double")).alias("c"))
     assert pinned(df, "c").isLocal()
     big = pinned(df, "c", max_bytes=10)

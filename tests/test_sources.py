@@ -83,8 +83,6 @@ def test_by_key_and_single(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "k")).count() == 100
     tb.write_single(df.repartition(5), str(tmp_path / "s"))
     assert len(list((tmp_path / "s").glob("*.parquet"))) == 1
-    tb.write_single(df.repartition(5), str(tmp_path / "t"), max_rows=10)
-    assert len(list((tmp_path / "t").glob("*.parquet"))) == 5
 
 
 def test_catalogue(spark, tmp_path):
