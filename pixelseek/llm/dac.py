@@ -18,8 +18,9 @@ each other by a hash of their text; an empty table gives no document; other colu
 
 from __future__ import annotations
 
+import functools
 import os
-import re
+import unicodedata
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
@@ -33,8 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelseek.llm.common import new_folder
+from pixelseek.llm.units import Memory, Units, code_points, split_by_text
 
 SEGMENT = 1 << 18
+#: Pieces of text that a worker remembers before it starts anew.
+REMEMBERED = 3_000_000
+#: Characters of texts that are encoded together.
+BATCH_CHARS = 1 << 21
 MARK = b"DACIDS01"
 _BLOCK = 512
 
@@ -199,100 +205,99 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+# Classes of code points for the tokenizer's cut rule; around those of class ODD nothing is cut here.
+_ODD, _LETTER, _NUMBER, _SIGN, _SPACE, _EDGE = range(6)
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    kind = {"L": _LETTER, "N": _NUMBER, "Z": _SPACE}
+    found = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    out = np.array([_ODD if c == "Cn" else kind.get(c[0], _SIGN) for c in found], dtype=np.uint8)
+    out[[9, 10, 11, 12, 13, 0x85]] = _SPACE
+    # An apostrophe may begin a contraction; of the four separators some rules say blank, some not.
+    out[[ord("'"), 0x1C, 0x1D, 0x1E, 0x1F]] = _ODD
+    return out
+
+
 class ByteBpe:
-    """A byte-level BPE of the tokenizers library that encodes each different word of a task once.
-
-    Such a tokenizer never joins what stands on the two sides of a space between two visible characters, so texts are cut
-    there and the pieces' ids are gathered from a table. A piece made of letters, sentence signs and single line ends is
-    cut further by the same rule of the tokenizer, and its runs of letters go to the library's model; any other piece goes
-    through the whole tokenizer. The tables start anew beyond ``max_words`` pieces."""
-
-    _SAFE = r"[^\W_]|[!-~]"
-    _CUT = re.compile(rf"(?<={_SAFE}) (?={_SAFE})")
-    _ENDS = re.compile(rf"(?:{_SAFE})(?:(?s:.)*(?:{_SAFE}))?")
-    _LETTERS = r"[^\W\d_]+"
-    _SIGNS = "[.,;:!?]+"
-    _PLAIN = re.compile(rf"{_LETTERS}(?:{_SIGNS})?(?:\n{_LETTERS}(?:{_SIGNS})?)*")
-    _UNSIGNED = str.maketrans("", "", ".,;:!?\n")
-    _RUNS = re.compile(rf"{_LETTERS}|{_SIGNS}|\n")
-
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    """A byte-level BPE of the tokenizers library that encodes each different piece of a worker's texts once.
+
+    The tokenizer's own rule cuts a text before it merges: runs of letters, of numbers and of signs, each with one blank
+    before it. Texts are cut at those of its borders that neighbouring characters alone decide. A piece that is one run
+    goes to the library's model, any other (contractions, runs of blanks) through the whole tokenizer. A worker forgets
+    its pieces beyond ``REMEMBERED`` of them."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.letters = dict(enumerate(_byte_letters()))
-        self.max_words = max_words
-        self._clear()
-
-    def _clear(self) -> None:
-        # First pieces of texts have no space before them and a table of their own.
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
-        self.pool, self.starts, self.sizes = array("I"), array("q"), array("q")
-
-    def _pieces(self, text: str) -> tuple[str, list[str]]:
-        head, *rest = text.split(" ")
-        later = self.later
-        new = {w for w in rest if w not in later}
-        if rest and not (self._ENDS.fullmatch(head) and all(map(self._ENDS.fullmatch, new))):
-            head, *rest = self._CUT.split(text)
-        return head, rest
-
-    def _add(self, table: dict[str, int], word: str, ids) -> int:
-        at = table[word] = len(self.starts)
-        self.starts.append(len(self.pool))
-        self.sizes.append(len(ids))
-        self.pool.extend(ids)
-        return at
-
-    def _run(self, table: dict[str, int], run: str) -> int:
-        """Place of a run of letters or signs, which the tokenizer's rule doesn't cut."""
-        at = table.get(run)
-        if at is not None:
-            return at
-        spelled = (run if table is self.first else " " + run).encode().decode("latin-1").translate(self.letters)
-        return self._add(table, run, [t.id for t in self.model.tokenize(spelled)])
-
-    def _learn(self, table: dict[str, int], words: set[str]) -> None:
-        odd = []
-        for w in words:
-            if w in table:
-                continue
-            if w.isalpha():
-                self._run(table, w)
-            elif self._PLAIN.fullmatch(w) and w.translate(self._UNSIGNED).isalpha():
-                first, *others = self._RUNS.findall(w)
-                ids = array("I")
-                for at in [self._run(table, first), *[self._run(self.first, run) for run in others]]:
-                    ids += self.pool[self.starts[at] : self.starts[at] + self.sizes[at]]
-                self._add(table, w, ids)
+        self.spelling = dict(enumerate(_byte_letters()))
+        self.memory = Memory(REMEMBERED)
+
+    def _cuts(self, cps: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Starts of pieces; ``ends`` of the texts."""
+        here = _classes()[cps]
+        filled = np.flatnonzero(np.diff(ends, prepend=0))
+        first, last = np.append(0, ends[:-1])[filled], ends[filled] - 1
+        before, after = np.roll(here, 1), np.roll(here, -1)
+        before[first], after[last] = _EDGE, _EDGE
+        before_that = np.roll(before, 1)
+        before_that[first] = _EDGE
+
+        def run(c: np.ndarray) -> np.ndarray:
+            return (c >= _LETTER) & (c <= _SIGN)
+
+        blank = cps == ord(" ")
+        cut = (here != before) & run(here) & run(before)
+        # One blank or line end between two runs; a blank goes with what follows.
+        cut |= (here == _SPACE) & run(before) & run(after)
+        cut |= run(here) & (before == _SPACE) & run(before_that) & ~np.roll(blank, 1)
+        cut[first] = True
+        return np.flatnonzero(cut)
+
+    def _learn(self, units: Units, new: np.ndarray) -> None:
+        numbers, odd, ids, sizes = [], [], array("I"), []
+        for k in new.tolist():
+            unit = units.text(k)
+            body = unit[1:] if unit[0] == " " else unit
+            kinds = {_LETTER} if body.isalpha() else set(_classes()[code_points(body)].tolist())
+            if len(kinds) == 1 and kinds <= {_LETTER, _NUMBER, _SIGN}:
+                spelled = unit.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.spelling)
+                tokens = self.model.tokenize(spelled)
+                ids.extend([t.id for t in tokens])
+                sizes.append(len(tokens))
+                numbers.append(k)
             else:
-                odd.append(w)
-        before = "" if table is self.first else " "
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast([before + w for w in odd], add_special_tokens=False)):
-            self._add(table, w, e.ids)
+                odd.append((k, unit))
+        whole = self.tokenizer.encode_batch_fast([u for _, u in odd], add_special_tokens=False)
+        for (k, _), e in zip(odd, whole):
+            ids.extend(e.ids)
+            sizes.append(len(e.ids))
+            numbers.append(k)
+        self.memory.add(units, np.array(numbers), np.frombuffer(ids, np.uint32), np.array(sizes))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.starts) > self.max_words:
-            self._clear()
-        cut = [self._pieces(t) for t in texts]
-        self._learn(self.first, {head for head, _ in cut})
-        known = self.later
-        self._learn(self.later, {w for _, rest in cut for w in rest if w not in known})
-        places = [np.fromiter(map(self.later.__getitem__, rest), np.int64, len(rest)) for _, rest in cut]
-        at = np.concatenate([np.append(self.first[head], p) for (head, _), p in zip(cut, places)])
-        sizes = np.frombuffer(self.sizes, np.int64)[at]
-        ends = np.cumsum(sizes)
-        shift = np.frombuffer(self.starts, np.int64)[at] - ends + sizes
-        if ends[-1]:
-            flat = np.frombuffer(self.pool, np.uint32)[np.repeat(shift, sizes) + np.arange(ends[-1])]
-        else:
-            flat = np.zeros(0, np.uint32)
-        bounds = ends[np.cumsum([len(p) + 1 for p in places]) - 1]
-        return np.split(flat, bounds[:-1])
+        cps = code_points("".join(texts))
+        ends = np.cumsum([len(t) for t in texts])
+        if not len(cps):
+            return [np.zeros(0, dtype=np.uint32) for _ in texts]
+        starts = self._cuts(cps, ends)
+        units = Units(cps, starts)
+        new = self.memory.missing(units)
+        if len(new):
+            self._learn(units, new)
+        ids, stops = self.memory.gather(units)
+        return split_by_text(ids.view(np.uint32), stops, starts, ends)
+
+
+@functools.lru_cache(maxsize=1)
+def byte_bpe(path: str) -> ByteBpe:
+    """The worker's encoder, which remembers pieces from one task to the next."""
+    return ByteBpe(path)
 
 
 def write_ids(docs: DataFrame, encoder: Callable[[], Encode], end_id: int, folder: str | None = None) -> DataFrame:
@@ -306,11 +311,12 @@ def write_ids(docs: DataFrame, encoder: Callable[[], Encode], end_id: int, folde
         def documents(first: pd.DataFrame) -> Iterator[tuple[int | None, np.ndarray]]:
             encode = encoder()
             for batch in _chain(first, batches):
-                texts = batch["text"].to_list()
-                for start in range(0, len(texts), 256):
-                    ids = batch["doc_id"].iloc[start : start + 256]
-                    missing = batch["missing"].iloc[start : start + 256]
-                    for doc_id, none, tokens in zip(ids, missing, encode(texts[start : start + 256])):
+                texts, ids, missing = batch["text"].to_list(), batch["doc_id"].to_list(), batch["missing"].to_list()
+                # Together up to a number of characters; a longer text by itself.
+                part = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+                for a, b in zip(cuts, cuts[1:]):
+                    for doc_id, none, tokens in zip(ids[a:b], missing[a:b], encode(texts[a:b])):
                         yield None if none else int(doc_id), np.concatenate((tokens, end))
 
         for first in batches:

@@ -26,37 +26,18 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from pixelseek.llm.units import BACK, BASE, Memory, Units, code_points, letters, powers, split_by_text
+
 BLANK = "▁"
 LONGEST = 256
 #: Characters of texts that are encoded side by side.
 BATCH_CHARS = 1 << 21
-#: Units that a task remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Units that a worker remembers before it starts anew.
+REMEMBERED = 3_000_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _NONE = np.int32(-1)
 
 
-def _letters(cps: np.ndarray) -> np.ndarray:
-    """A random 64-bit number for each code point."""
-    z = cps.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x94D049BB133111EB)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
 class Pieces:
     """A model's pieces as arrays; made once on the driver and sent to the tasks."""
 
@@ -85,7 +66,7 @@ class Pieces:
         self.rank[order] = np.arange(len(order))
         hashes = np.zeros(n, dtype=np.uint64)
         for i in plain:
-            hashes[i] = (_letters(_code_points(self.text[i])) * _powers(_BASE, len(self.text[i]))).sum(dtype=np.uint64)
+            hashes[i] = (letters(code_points(self.text[i])) * powers(BASE, len(self.text[i]))).sum(dtype=np.uint64)
         self.hashes = hashes
         ids = np.array(plain, dtype=np.int32)
         by_hash = np.argsort(hashes[ids])
@@ -159,7 +140,7 @@ class Pieces:
         ok = np.ones(len(a), dtype=bool)
         at, x, y = np.arange(len(a)), a.copy(), b.copy()
         limit = np.full(len(a), np.iinfo(np.int64).max)
-        back = _powers(_BASE, self.longest + 1)
+        back = powers(BASE, self.longest + 1)
         while len(at):
             both = self.find(self.hashes[x] + self.hashes[y] * back[self.length[x]])
             due = (both >= 0) & (self.rank[both] < limit)
@@ -179,20 +160,14 @@ class Encoder:
     """Encodes batches of texts in a task."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-        self._forget()
-
-    def _forget(self) -> None:
-        self.seen = np.zeros(0, dtype=np.uint64)
-        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.pool = np.zeros(0, dtype=np.int32)
+        self.pieces, self.memory = pieces, Memory(REMEMBERED)
 
     def viterbi(self, cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of equally long units (units x characters): flat ids and how many each unit has."""
         p, (n, length) = self.pieces, cps.shape
         sums = np.zeros((length + 1, n), dtype=np.uint64)
-        np.cumsum(_letters(cps.T) * _powers(_BASE, length)[:, None], axis=0, dtype=np.uint64, out=sums[1:])
-        back = _powers(_BACK, length + 1)
+        np.cumsum(letters(cps.T) * powers(BASE, length)[:, None], axis=0, dtype=np.uint64, out=sums[1:])
+        back = powers(BACK, length + 1)
         last = np.full((length + 1, n), _NONE, dtype=np.int32)
         for end in range(1, length + 1):
             open_ = np.arange(n)
@@ -225,38 +200,29 @@ class Encoder:
         order = np.argsort(owner, kind="stable")
         return ids[order], np.bincount(owner, minlength=n)
 
-    def _learn(self, units: list[tuple[np.uint64, int, int]] | np.ndarray, cps: np.ndarray, known: np.ndarray) -> None:
-        """Encode new units (hash, start, length), given as three rows, and remember them."""
-        p = self.pieces
-        hashes, starts, lengths = units
-        ids, sizes, names = [], [], []
-        plain = lengths <= LONGEST
+    def _learn(self, units: Units, new: np.ndarray, known: np.ndarray) -> None:
+        p, cps = self.pieces, units.cps
+        starts, lengths = units.starts[new], units.lengths[new]
+        ids, sizes, numbers = [], [], []
         first_two = (lengths > 1) & (cps[starts] == ord(BLANK))
         first_two[first_two] = cps[starts[first_two] + 1] == ord(BLANK)
-        plain &= ~first_two & known[starts]
+        plain = (lengths <= LONGEST) & ~first_two & known[starts]
         for length in np.unique(lengths[plain]):
             who = np.flatnonzero(plain & (lengths == length))
             flat, n = self.viterbi(cps[starts[who, None] + np.arange(length)])
             ids.append(flat)
             sizes.append(n)
-            names.append(hashes[who])
-        for k in np.flatnonzero(~plain):
-            part = cps[starts[k] : starts[k] + lengths[k]]
-            unit = part.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-            if known[starts[k]]:
+            numbers.append(new[who])
+        for k in new[~plain]:
+            unit = units.text(k)
+            if known[units.starts[k]]:
                 one = np.array(p.merge(unit), dtype=np.int32)
             else:
                 one = p.bytes_ids[np.frombuffer(unit.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
             ids.append(one)
             sizes.append(np.array([len(one)]))
-            names.append(hashes[k : k + 1])
-        n = np.concatenate(sizes)
-        at = len(self.pool) + np.cumsum(n) - n
-        self.pool = np.concatenate([self.pool, *ids])
-        seen = np.concatenate([self.seen, *names])
-        order = np.argsort(seen, kind="stable")
-        self.seen = seen[order]
-        self.starts, self.sizes = np.concatenate([self.starts, at])[order], np.concatenate([self.sizes, n])[order]
+            numbers.append(np.array([k]))
+        self.memory.add(units, np.concatenate(numbers), np.concatenate(ids), np.concatenate(sizes))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         out, held, size = [], [], 0
@@ -271,7 +237,7 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         p = self.pieces
         full = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
-        cps = _code_points("".join(full))
+        cps = code_points("".join(full))
         if not len(cps):
             return [np.zeros(0, dtype=np.int32) for _ in texts]
         ends = np.cumsum([len(t) for t in full])
@@ -281,28 +247,22 @@ class Encoder:
         cut[1:] = ~known[1:] | ~known[:-1] | (blank[1:] & ~blank[:-1])
         cut[np.append(0, ends[:-1])[np.array([len(t) > 0 for t in full])]] = True
         starts = np.flatnonzero(cut)
-        lengths = np.diff(np.append(starts, len(cps)))
-        sums = np.append(np.uint64(0), np.cumsum(_letters(cps) * _powers(_BASE, len(cps)), dtype=np.uint64))
-        hashes = (sums[starts + lengths] - sums[starts]) * _powers(_BACK, len(cps))[starts]
-        # The length goes in as well.
-        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + lengths.astype(np.uint64)
-        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.seen) > REMEMBERED:
-            self._forget()
-        place = np.searchsorted(self.seen, unique)
-        new = np.ones(len(unique), dtype=bool)
-        inside = place < len(self.seen)
-        new[inside] = self.seen[place[inside]] != unique[inside]
-        if new.any():
-            at = first[new]
-            self._learn((unique[new], starts[at], lengths[at]), cps, known)
-        place = np.searchsorted(self.seen, unique)[which]
-        sizes = self.sizes[place]
-        stops = np.cumsum(sizes)
-        flat = self.pool[np.repeat(self.starts[place] - stops + sizes, sizes) + np.arange(stops[-1])]
-        # Ids up to the last unit that starts before a text's end.
-        counts = np.append(0, stops)[np.searchsorted(starts, ends)]
-        return np.split(flat, counts[:-1])
+        units = Units(cps, starts)
+        new = self.memory.missing(units)
+        if len(new):
+            self._learn(units, new, known)
+        return split_by_text(*self.memory.gather(units), starts, ends)
+
+
+_encoder: Encoder | None = None
+
+
+def encoder_of(pieces: Pieces) -> Encoder:
+    """The worker's encoder, which remembers units from one task to the next."""
+    global _encoder
+    if _encoder is None or _encoder.pieces is not pieces:
+        _encoder = Encoder(pieces)
+    return _encoder
 
 
 def decode(pieces: Pieces, ids: np.ndarray | list[int]) -> str:
@@ -316,7 +276,7 @@ def encoded(path: str, text: Column) -> Column:
 
     @F.pandas_udf("ids array<int>, exact boolean")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for texts in batches:
             texts = texts.to_list()
             ids = encoder(texts)

@@ -123,7 +123,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    manifest = dac.write_ids(table(spark, sf_dir, "documents"), lambda: dac.ByteBpe(path), end_id=2)
+    manifest = dac.write_ids(table(spark, sf_dir, "documents"), lambda: dac.byte_bpe(path), end_id=2)
     return dac.read_ids(manifest).select(
         "doc_id",
         "start",

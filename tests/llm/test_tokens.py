@@ -19,7 +19,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 ODD = ["", " ", "   ", " a", "a ", "a  b", "a \n b", "x  y　 z", "it's  we'll 12 3", "\t tab", "a\u0085 b\x1c c"]
 ODD += ["🙂 🙂 a", "é è", "a _ b __ c", "<|endoftext|> x", "</s> <s>", "x² ½ a", "Anea.\nOf that, no. a..b", "x" * 3000]
-ODD += ["日本語テキスト 한국어", "\x00\x01", "aaaaaaaaaaaaaaaaaaa bbbbbbb", "1234567890", "....... ---- ====", "a\n\nb\r\nc"]
+ODD += ["日本語テキスト 한국어", "\x00\x01", "aaaaaaaaaaaaaaaaaaa bbbbbbb", "1234567890", "....... ---- ====", "a\n\nb\r\nc", "a\nb \nc\n", "!'s a''s 't it'sx a12b½", "٣٤ a\u00a0b", "e\u0301 x\U000e0fff y"]
 
 
 def random_texts(n, seed=1):
@@ -50,10 +50,11 @@ def test_file(tmp_path, monkeypatch):
     assert file.nulls.tolist() == [1, 0, 0, 0, 0]
 
 
-def test_byte_bpe():
+def test_byte_bpe(monkeypatch):
     library = Tokenizer.from_file(BPE)
     library.encode_special_tokens = True
-    encode = dac.ByteBpe(BPE, max_words=500)
+    monkeypatch.setattr(dac, "REMEMBERED", 3000)
+    encode = dac.ByteBpe(BPE)
     texts = ODD + random_texts(800)
     for start in range(0, len(texts), 100):
         part = texts[start : start + 100]
@@ -66,7 +67,7 @@ def test_written_and_read(spark, checkpoint_dir):
     library.encode_special_tokens = True
     table = [(i * 3 % 101, t, "en", "s") for i, t in enumerate(ODD + random_texts(40))]
     table += [(None, "no id", None, None), (500, None, "en", "s"), (500, "same id", "en", "s"), (500, "same id", "en", "s")]
-    manifest = dac.write_ids(clash(docs(spark, table), F), lambda: dac.ByteBpe(BPE), 2)
+    manifest = dac.write_ids(clash(docs(spark, table), F), lambda: dac.byte_bpe(BPE), 2)
     got = sorted(dac.read_ids(manifest).collect(), key=lambda r: r["start"])
     ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
     assert ids == sorted(ids) and ids[0] == -1
@@ -79,7 +80,7 @@ def test_written_and_read(spark, checkpoint_dir):
 
 
 def test_nothing_written(spark, checkpoint_dir):
-    assert dac.read_ids(dac.write_ids(docs(spark, []), lambda: dac.ByteBpe(BPE), 2)).count() == 0
+    assert dac.read_ids(dac.write_ids(docs(spark, []), lambda: dac.byte_bpe(BPE), 2)).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -104,7 +105,7 @@ def test_viterbi_equals_the_library(model, monkeypatch):
 def test_heap_merge_equals_viterbi(model):
     encode = pieces.Encoder(model)
     for unit in ["▁hello", "▁internationalisation", "xyzzy", "aaaaaaa", "▁123", "überall"]:
-        flat, n = encode.viterbi(pieces._code_points(unit)[None, :])
+        flat, n = encode.viterbi(pieces.code_points(unit)[None, :])
         assert flat.tolist() == model.merge(unit) and n.tolist() == [len(flat)]
 
 
