@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelseek.llm.common import new_folder
-from pixelseek.llm.units import Memory, Units, code_points, split_by_text
+from pixelseek.llm.units import Memory, Units, code_points, in_parts, split_by_text
 
 SEGMENT = 1 << 18
 #: Pieces of text that a worker remembers before it starts anew.
 REMEMBERED = 3_000_000
 #: Characters of texts that are encoded together.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 MARK = b"DACIDS01"
 _BLOCK = 512
 
@@ -311,12 +311,10 @@ def write_ids(docs: DataFrame, encoder: Callable[[], Encode], end_id: int, folde
         def documents(first: pd.DataFrame) -> Iterator[tuple[int | None, np.ndarray]]:
             encode = encoder()
             for batch in _chain(first, batches):
-                texts, ids, missing = batch["text"].to_list(), batch["doc_id"].to_list(), batch["missing"].to_list()
-                # Together up to a number of characters; a longer text by itself.
-                part = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
-                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-                for a, b in zip(cuts, cuts[1:]):
-                    for doc_id, none, tokens in zip(ids[a:b], missing[a:b], encode(texts[a:b])):
+                rows = zip(batch["doc_id"].to_list(), batch["missing"].to_list())
+                for part in in_parts(batch["text"].to_list(), BATCH_CHARS):
+                    # The texts' rows come in the same order.
+                    for tokens, (doc_id, none) in zip(encode(part), rows):
                         yield None if none else int(doc_id), np.concatenate((tokens, end))
 
         for first in batches:

@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from pixelseek.llm.units import BACK, BASE, Memory, Units, code_points, letters, powers, split_by_text
+from pixelseek.llm.units import BACK, BASE, Memory, Units, code_points, in_parts, letters, powers, split_by_text
 
 BLANK = "▁"
 LONGEST = 256
 #: Characters of texts that are encoded side by side.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 19
 #: Units that a worker remembers before it starts anew.
 REMEMBERED = 3_000_000
 
@@ -161,6 +161,18 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.memory = pieces, Memory(REMEMBERED)
+        # Answers of may_follow, each at one place that its pair's hash gives; a later pair takes the place over.
+        self.pairs, self.fits = np.full(1 << 21, -1, dtype=np.int64), np.zeros(1 << 21, dtype=bool)
+
+    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a.astype(np.int64) << 32 | b
+        place = ((a.astype(np.uint64) * BASE + b.astype(np.uint64)) * BASE >> np.uint64(43)).astype(np.int64)
+        out = self.fits[place]
+        new = np.flatnonzero(self.pairs[place] != pair)
+        if len(new):
+            out[new] = self.pieces.may_follow(a[new], b[new])
+            self.pairs[place[new]], self.fits[place[new]] = pair[new], out[new]
+        return out
 
     def viterbi(self, cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of equally long units (units x characters): flat ids and how many each unit has."""
@@ -178,7 +190,7 @@ class Encoder:
                 if start and len(some):
                     before = last[start, open_[some]]
                     fits = before >= 0
-                    fits[fits] = p.may_follow(before[fits], found[some[fits]])
+                    fits[fits] = self.may_follow(before[fits], found[some[fits]])
                     some = some[fits]
                 last[end, open_[some]] = found[some]
                 keep = np.ones(len(open_), dtype=bool)
@@ -225,14 +237,7 @@ class Encoder:
         self.memory.add(units, np.concatenate(numbers), np.concatenate(ids), np.concatenate(sizes))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        out, held, size = [], [], 0
-        for t in texts:
-            held.append(t or "")
-            size += len(held[-1])
-            if size >= BATCH_CHARS:
-                out += self._encode(held)
-                held, size = [], 0
-        return out + (self._encode(held) if held else [])
+        return [ids for part in in_parts(texts, BATCH_CHARS) for ids in self._encode([t or "" for t in part])]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         p = self.pieces
@@ -278,10 +283,10 @@ def encoded(path: str, text: Column) -> Column:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(shared.value)
         for texts in batches:
-            texts = texts.to_list()
-            ids = encoder(texts)
-            exact = [decode(encoder.pieces, i.tolist()) == (t or "") for i, t in zip(ids, texts)]
-            yield pd.DataFrame({"ids": ids, "exact": exact})
+            for part in in_parts(texts.to_list(), BATCH_CHARS):
+                ids = encoder(part)
+                exact = [decode(encoder.pieces, i.tolist()) == (t or "") for i, t in zip(ids, part)]
+                yield pd.DataFrame({"ids": ids, "exact": exact})
 
     return encode.asNondeterministic()(text)
 

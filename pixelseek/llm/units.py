@@ -6,6 +6,8 @@ Tokenizers with cut rules encode a text piece by piece, and most pieces are word
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -105,6 +107,14 @@ class Memory:
         return self.pool[np.repeat(self.starts[place] - stops + sizes, sizes) + np.arange(total)], stops
 
 
+def in_parts(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
+    """Texts that follow each other, together up to a number of characters; a longer one by itself."""
+    part = np.cumsum([len(t or "") for t in texts]) // chars
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if texts else [0]
+    for a, b in zip(cuts, cuts[1:]):
+        yield texts[a:b]
+
+
 def split_by_text(ids: np.ndarray, stops: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """Ids per text: ``starts`` of units, ``ends`` of texts in code points."""
     counts = np.append(0, stops)[np.searchsorted(starts, ends)]
