@@ -1,30 +1,32 @@
 """Exhaustive top-k scans: every query against every row, keeping k per query in each task.
 
-Tasks emit at most k rows per query, never the pairs. Queries that fit ``max_bytes`` are
-shipped to all tasks and the base table is read in place, without a shuffle. Above that the
-base is cut into chunks and the queries into blocks, and each (chunk, block) cell is one
-bounded co-group. The k best rows of each query count towards the size.
+Tasks emit at most k rows per query, never the pairs. Queries are shipped and the base table is
+read in place: neither side is copied or shuffled. Queries that, with their k best rows, fit
+STATE_FACTOR x ``max_bytes`` go in one piece; more go in blocks of that size, one scan of the
+base for each block. Blocks are broadcast one after the other, so the driver holds one of them.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from pixelseek.functions import kernels
 from pixelseek.functions.codebooks import MAX_BYTES, fetch, measured_bytes
-from pixelseek.functions.hashing import hash_bucket
 from pixelseek.operators.relational import top_ranked
 
-CHUNK_ROWS = 100_000
 QUERY_STEP = 128
-CHUNK_STEP = 16_384
-BLOCK_ROWS = 65_536
+# Bytes of rows that are scored together, and that are gathered before queries are prepared.
+CHUNK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+# Neighbours found before they are merged with the k best.
+MERGE_ROWS = 1 << 20
 # A task may hold STATE_FACTOR x max_bytes of queries with their k best rows.
 STATE_FACTOR = 4
 
@@ -38,33 +40,43 @@ class _Best:
 
     def __init__(self, n_queries: int, k: int) -> None:
         self.k = k
-        self.dist = [np.empty(0)] * n_queries
-        self.ids: list[np.ndarray | None] = [None] * n_queries
+        # Distances beyond a query's limit cannot be among its k best.
+        self.limit = np.full(n_queries, np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, first: int, dist: np.ndarray, ids: np.ndarray) -> None:
+        """Distances (queries from number ``first`` on x rows)."""
+        limit = self.limit[first : first + len(dist)]
+        if dist.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
+        q, at = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+        if not len(q):
+            return
+        self.parts.append((q + first, dist[q, at], ids[at]))
+        self.held += len(q)
+        if self.held > MERGE_ROWS + len(self.limit) * self.k:
+            self.merge()
 
-    def add(self, q: int, dist: np.ndarray, ids: np.ndarray) -> None:
-        full = len(self.dist[q]) == self.k
-        near = dist <= self.dist[q][-1] if full else np.isfinite(dist)
-        if not near.any():
+    def merge(self) -> None:
+        if not self.parts:
             return
-        dist, ids = dist[near], ids[near]
-        if len(dist) > self.k:
-            near = dist <= np.partition(dist, self.k - 1)[self.k - 1]
-            dist, ids = dist[near], ids[near]
-        if self.ids[q] is not None:
-            dist, ids = np.concatenate((self.dist[q], dist)), np.concatenate((self.ids[q], ids))
-        keep = np.lexsort((ids, dist))[: self.k]
-        self.dist[q], self.ids[q] = dist[keep], ids[keep]
+        q, dist, ids = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, dist, q))
+        q, dist, ids = q[order], dist[order], ids[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.limit[q[last]] = dist[last]
+        keep = place < self.k
+        self.parts = [(q[keep], dist[keep], ids[keep])]
+        self.held = int(keep.sum())
 
     def table(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.Table:
-        filled = [q for q, ids in enumerate(self.ids) if ids is not None]
-        if not filled:
+        self.merge()
+        if not self.parts:
             return schema.empty_table()
-        counts = [len(self.dist[q]) for q in filled]
-        cols = [
-            np.repeat(query_ids[filled], counts),
-            np.concatenate([self.ids[q] for q in filled]),
-            np.concatenate([self.dist[q] for q in filled]),
-        ]
+        ((q, dist, ids),) = self.parts
+        cols = [query_ids[q], ids, dist]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
@@ -82,25 +94,25 @@ def _scan(
     score: Score,
     describe: Describe | None,
 ) -> None:
+    step = max(1, CHUNK_BYTES // (8 * rows.shape[1]))
     parts = [
-        (ids[a : a + CHUNK_STEP], describe(rows[a : a + CHUNK_STEP]) if describe else rows[a : a + CHUNK_STEP])
-        for a in range(0, len(rows), CHUNK_STEP)
+        (ids[a : a + step], describe(rows[a : a + step]) if describe else rows[a : a + step])
+        for a in range(0, len(rows), step)
     ]
     for b in range(0, len(queries), QUERY_STEP):
         prepared = prepare(queries[b : b + QUERY_STEP])
         for part_ids, part in parts:
-            for q, line in enumerate(score(prepared, part), start=b):
-                best.add(q, line, part_ids)
+            best.add(b, score(prepared, part), part_ids)
 
 
 def _collected(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches joined to blocks of about BLOCK_ROWS rows, so that queries are prepared less often."""
+    """Batches joined to blocks of about BLOCK_BYTES, so that queries are prepared less often."""
     ids, rows, n = [], [], 0
     for batch in batches:
         ids.append(_ids(batch.column(0)))
         rows.append(kernels.list_matrix(batch.column(1), width))
         n += batch.num_rows
-        if n >= BLOCK_ROWS:
+        if n * 8 * width >= BLOCK_BYTES:
             yield np.concatenate(ids), np.concatenate(rows)
             ids, rows, n = [], [], 0
     if n:
@@ -138,48 +150,29 @@ def topk_scan(
     asked = queries.select("query_id", "vec")
     rows = fetch(asked, "vec", STATE_FACTOR * max_bytes, row_bytes=16 * keep)
 
-    if rows is not None:
-        query_ids = np.array([r["query_id"] for r in rows])
-        matrix = np.array([r["vec"] for r in rows], dtype=float)
+    def scanned(block: list[Row]) -> DataFrame:
+        query_ids = np.array([r["query_id"] for r in block])
+        shipped = base.sparkSession.sparkContext.broadcast((query_ids, np.array([r["vec"] for r in block], dtype=float)))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, matrix = shipped.value
             best = _Best(len(matrix), keep)
             for ids, x in _collected(batches, width):
                 _scan(best, matrix, ids, x, prepare, score, describe)
             yield from best.table(query_ids, schema).to_batches()
 
-        partial = table.mapInArrow(whole, out_type)
+        return table.mapInArrow(whole, out_type)
+
+    if rows is not None:
+        partial = scanned(rows) if rows else base.sparkSession.createDataFrame([], out_type)
     else:
         n_queries, size = measured_bytes(asked, "vec")
-        n_blocks = max(1, -(-(size + 16 * keep * n_queries) // max_bytes))
-        n_chunks = max(1, -(-table.count() // CHUNK_ROWS))
-        chunked = table.select(
-            "*",
-            hash_bucket(n_chunks, F.col("vec_id")).alias("chunk"),
-            F.explode(F.sequence(F.lit(0), F.lit(int(n_blocks) - 1))).alias("block"),
-        )
-        blocked = asked.select(
-            "*",
-            F.explode(F.sequence(F.lit(0), F.lit(int(n_chunks) - 1))).alias("chunk"),
-            hash_bucket(n_blocks, F.col("query_id")).alias("block"),
-        )
-
-        def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-            left, right = left.combine_chunks(), right.combine_chunks()
-            if not len(left) or not len(right):
-                return schema.empty_table()
-            q = np.stack(right.column("vec").to_pandas().to_numpy())
-            best = _Best(len(q), keep)
-            ids = _ids(left.column("vec_id").combine_chunks())
-            x = kernels.list_matrix(left.column(base_col).combine_chunks(), width)
-            _scan(best, q, ids, x, prepare, score, describe)
-            return best.table(_ids(right.column("query_id").combine_chunks()), schema)
-
-        partial = (
-            chunked.groupBy("chunk", "block")
-            .cogroup(blocked.groupBy("chunk", "block"))
-            .applyInArrow(cell, out_type)
-        )
+        n_blocks = max(1, -(-(size + 16 * keep * n_queries) // max(1, STATE_FACTOR * max_bytes)))
+        n_blocks = min(n_blocks, n_queries)
+        block_of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+        blocks = (asked.where(block_of == b).collect() for b in range(n_blocks))
+        parts = [scanned(block) for block in blocks if block]
+        partial = functools.reduce(DataFrame.unionByName, parts)
 
     if without_self:
         partial = partial.where(F.col("query_id") != F.col("vec_id"))
