@@ -135,7 +135,7 @@ def search_and_rank(
     )
 
 
-def _report(best: DataFrame, queries: DataFrame, labels: DataFrame, max_k: int) -> DataFrame:
+def report(best: DataFrame, queries: DataFrame, labels: DataFrame, max_k: int) -> DataFrame:
     at = at_k(cum_matches(_with_labels(best, queries, labels)), max_k, short_lists="clamp")
     return pr_curve(pr_per_query(at, class_counts(labels)))
 
@@ -157,7 +157,7 @@ def search_report(
 ) -> DataFrame:
     """(k, precision, recall, accuracy) of searching ``queries``, by ``search_and_rank``."""
     best = search_and_rank(queries, words, vectors, max_k, threshold, metric, without_self)
-    return _report(best, queries, labels, max_k)
+    return report(best, queries, labels, max_k)
 
 
 def pr_report(

@@ -194,6 +194,13 @@ def q3(spark, sf):
     return near.select("query_id", "rank", "vec_id", r6("dist").alias("dist"))
 
 
+@register("q3_topk_blocks", _NEAR + str(TOP), "near")
+def q3_blocks(spark, sf):
+    """The same with queries cut into blocks."""
+    centers, codes = _model(spark, sf)
+    near = jobs.search_pq(_queries(spark, sf), codes, centers, TOP, max_bytes=1 << 13)
+    return near.select("query_id", "rank", "vec_id", r6("dist").alias("dist"))
+
 
 @register(
     "t1_nearest_class_images",

@@ -102,6 +102,13 @@ def i1(spark, sf):
     return _index(spark, sf).select("word_id", "vec_id", r6("weight").alias("weight"))
 
 
+@register("i1_build_index_large", "SELECT word_id, vec_id, round(weight, 6) AS weight FROM postings", "postings")
+def i1_large(spark, sf):
+    """The index as with a dictionary too large to ship."""
+    index = jobs.build_index(views.histograms(spark, sf), views.words(spark, sf), max_bytes=0)
+    return index.select("word_id", "vec_id", r6("weight").alias("weight"))
+
+
 @register(
     "g1_posting_lists",
     """SELECT p.word_id, (('0x' || left(md5(p.vec_id::VARCHAR), 8))::BIGINT % b.blocks)::INTEGER AS block,
@@ -130,6 +137,20 @@ def x2(spark, sf):
     return _probed(spark, sf)
 
 
+@register(
+    "x2_probe_salted",
+    "SELECT q.query_id, q.word_id, p.vec_id FROM query_words q JOIN postings p ON q.word_id = p.word_id",
+    "query_words",
+    "postings",
+)
+def x2_salted(spark, sf):
+    """The probe with hot words spread over tasks."""
+    words = _probed(spark, sf).select("query_id", "word_id").distinct()
+    return rel.salted_join(_index(spark, sf).select("word_id", "vec_id"), words, "word_id", "vec_id", hot_rows=50).select(
+        "query_id", "word_id", "vec_id"
+    )
+
+
 @register("g2_candidates", "SELECT query_id, vec_id FROM hits", "hits")
 def g2(spark, sf):
     return po.candidates(_probed(spark, sf))
@@ -297,6 +318,16 @@ def e2(spark, sf):
     return _curve(curve)
 
 
+@register("e2_large_dictionary", _CURVE, "per_query")
+def e2_large(spark, sf):
+    """The report as with a dictionary too large to ship: through the index."""
+    means = views.prototypes(spark, sf)
+    queries, words = views.class_queries(spark, sf, means), views.words(spark, sf, means)
+    vectors, labels = views.histograms(spark, sf), views.labels(spark, sf)
+    best = jobs.search_and_rank(queries, words, vectors, rk.MAX_K, without_self=False, max_bytes=0)
+    return _curve(jobs.report(best, queries, labels, rk.MAX_K))
+
+
 @register("e2_pr_of_hits", _CURVE, "per_query")
 def e2_hits(spark, sf):
     """The same report from a table of hits."""
