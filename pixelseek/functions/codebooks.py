@@ -7,6 +7,7 @@ beyond it; callers then take a join-based way.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,15 +77,20 @@ def pinned(df: DataFrame, array_col: str, max_bytes: int = PIN_BYTES) -> DataFra
 
 
 def use_checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; it must be one that all executors share."""
+    """The cluster's checkpoint folder, which all executors share; unset (on one machine), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="pixelseek-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of intermediate files, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @dataclass(frozen=True)
 class Dictionary:
     """Words grouped by length: length -> (word ids ascending, matrix)."""

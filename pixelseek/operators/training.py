@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelseek.functions import kernels
-from pixelseek.functions.codebooks import local_table, use_checkpoint_folder
+from pixelseek.functions.codebooks import delete_folder, local_table, use_checkpoint_folder
 from pixelseek.functions.hashing import hash32
 from pixelseek.operators.moments import class_weights
 
@@ -45,13 +45,13 @@ def minibatches(df: DataFrame, batch_size: int, seed: int = 0, key: str = "vec_i
 
 @dataclass
 class HeadParams:
-    """Training parameters with their defaults."""
+    """Training parameters with their defaults. Rate and momentum are numbers or lists, one per epoch."""
 
     function: str = "soft"
     batch_size: int | None = 50
     epochs: int = 1
-    alpha: float = 1.0
-    momentum: float = 0.0
+    alpha: float | list[float] = 1.0
+    momentum: float | list[float] = 0.0
     adjust_rate: float = 0.0
     max_coef: float = 1.0
     balance: bool = False
@@ -64,6 +64,11 @@ class HeadParams:
         return 1.0 / self.max_coef
 
 
+def at_epoch(value: float | list[float], epoch: int) -> float:
+    """A parameter's value in an epoch; the last one of a list holds on."""
+    return value[min(epoch, len(value) - 1)] if isinstance(value, (list, tuple)) else value
+
+
 @dataclass
 class Head:
     """Weights (classes x inputs), biases, and the state of the update rule."""
@@ -139,12 +144,13 @@ def gradient(batch: DataFrame, head: Head, classes: list[int], function: str, co
     )
 
 
-def _step(head: Head, batch: DataFrame, classes: list[int], coefs: np.ndarray, p: HeadParams) -> None:
+def _step(head: Head, batch: DataFrame, classes: list[int], coefs: np.ndarray, p: HeadParams, epoch: int) -> None:
+    momentum = at_epoch(p.momentum, epoch)
     for name in ("w", "b"):
         value = getattr(head, name)
         previous, gain = head.state.setdefault(name, (np.zeros_like(value), np.ones_like(value)))
-        if p.momentum:
-            setattr(head, name, kernels.snap(value - p.momentum * previous))
+        if momentum:
+            setattr(head, name, kernels.snap(value - momentum * previous))
     grad = np.zeros((len(classes), head.w.shape[1] + 1))
     n, loss = 0, 0.0
     for r in gradient(batch, head, classes, p.function, coefs).collect():
@@ -158,15 +164,15 @@ def _step(head: Head, batch: DataFrame, classes: list[int], coefs: np.ndarray, p
     head.losses.append(loss / n)
     for name in ("w", "b"):
         previous, gain = head.state[name]
-        step = p.alpha * kernels.snap(grads[name])
+        step = at_epoch(p.alpha, epoch) * kernels.snap(grads[name])
         if p.adjust_rate > 0:
             agree = previous * step > 0
             gain = np.where(agree, gain + p.adjust_rate, gain * (1 - p.adjust_rate))
             gain = np.clip(gain, p.min_coef, p.max_coef)
             step = step * gain
         head.state[name] = (step, gain)
-        if p.momentum > 0:
-            step = (1 - p.momentum) * step
+        if momentum > 0:
+            step = (1 - momentum) * step
         setattr(head, name, kernels.snap(getattr(head, name) - step))
 
 
@@ -178,9 +184,10 @@ def fit_head(
 ) -> Head:
     """Train the last layer on (vec_id, vec, label); ``weights`` has (out, inp, w), inp = 0 for biases.
 
-    One aggregation per step. With mini-batches the batched table is written once under the
-    session's checkpoint folder, partitioned by batch, so that a step reads its batch only and a
-    lost executor re-reads files. ``batch_size=None`` takes the whole table per step and needs no copy.
+    One aggregation per step. With mini-batches the batched table is written once an epoch under
+    the session's checkpoint folder, in files that each hold a range of batches in order, so that a
+    step reads its batch only and a lost executor re-reads files; it is removed after the epoch.
+    ``batch_size=None`` takes the whole table per step and needs no copy.
     """
     p = params or HeadParams()
     spark = df.sparkSession
@@ -199,13 +206,15 @@ def fit_head(
     rows = df.select("vec_id", "vec", "label").where(F.size("vec") == inputs)
     for epoch in range(p.epochs):
         if p.batch_size is None:
-            _step(head, rows, classes, coefs, p)
+            _step(head, rows, classes, coefs, p, epoch)
             continue
         folder = os.path.join(use_checkpoint_folder(spark), f"batches-{uuid.uuid4().hex}")
         order = p.seed + epoch if p.shuffle else p.seed
-        minibatches(rows, p.batch_size, order).write.mode("overwrite").partitionBy("batch").parquet(folder)
+        batches = minibatches(rows, p.batch_size, order)
+        batches.repartitionByRange("batch").sortWithinPartitions("batch").write.parquet(folder)
         stored = spark.read.schema("vec_id bigint, vec array<double>, label int, batch int").parquet(folder)
         last = stored.agg(F.max("batch")).first()[0]
         for b in range((last if last is not None else -1) + 1):
-            _step(head, stored.where(F.col("batch") == b), classes, coefs, p)
+            _step(head, stored.where(F.col("batch") == b), classes, coefs, p, epoch)
+        delete_folder(spark, folder)
     return head

@@ -17,11 +17,17 @@ def _part(at: int) -> Column:
 
 
 def list_images(spark: SparkSession, path: str, ext: str) -> DataFrame:
+    """(path, name, class_name, label) of the image files under ``path``."""
+    return catalogue(_files(spark, path, f"*.{ext}"))
+
+
+def catalogue(files: DataFrame) -> DataFrame:
     """(path, name, class_name, label): label is the 1-based place of the class among all class names.
 
-    Only the class names are numbered, one row per folder; images take the number by a join.
+    ``files`` has paths that end in class folder and file name. Only the class names are numbered,
+    one row per folder; images take the number by a join.
     """
-    rows = _files(spark, path, f"*.{ext}").select("path", _part(-1).alias("name"), _part(-2).alias("class_name"))
+    rows = files.select("path", _part(-1).alias("name"), _part(-2).alias("class_name"))
     names = rows.select("class_name").distinct()
     order = Window.partitionBy(F.lit(0)).orderBy("class_name")
     return rows.join(names.withColumn("label", F.row_number().over(order)), "class_name").select(

@@ -12,6 +12,7 @@ from pixelseek.operators import pixels as px
 from pixelseek.operators import quantizer as qz
 from pixelseek.operators import ranking as rk
 from pixelseek.operators import relational as rel
+from pixelseek.operators import training as tr
 from pixelseek.operators import words as wd
 from pixelseek.plans import quantized as pq
 from pixelseek.plans import retrieval as jobs
@@ -133,3 +134,7 @@ def test_padding_is_checked(spark):
     kernel = spark.createDataFrame([(1, 1, 0, 0, 1.0)], "out int, inp int, dy int, dx int, w double")
     with pytest.raises(ValueError):
         px.convolve(pixels, kernel, (1, 1), padding=(1, 1))
+
+
+def test_rate_and_momentum_per_epoch():
+    assert [tr.at_epoch([1.0, 0.5], e) for e in range(3)] == [1.0, 0.5, 0.5] and tr.at_epoch(0.1, 4) == 0.1
