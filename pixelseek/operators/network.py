@@ -201,7 +201,8 @@ def score(images: DataFrame, layers: list[dict], weights: DataFrame, last_hidden
             flat, maps = px.to_vectors(maps), None
         elif kind not in ("i", "n", "f") and maps is None:
             h, w = plan[n - 1].size
-            maps, flat = px.to_pixels(flat, w, h), None
+            # One shuffle of whole images; every later grouping holds the image and needs no other.
+            maps, flat = px.to_pixels(flat.repartition("vec_id"), w, h), None
         if kind == "i":
             vec = F.col("vec")
             if "norm" in layer:

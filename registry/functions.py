@@ -329,6 +329,22 @@ def d5_scatter(spark, sf):
     return mo.gramian(white, DIM).select("i", "j", F.round("x", 1).alias("x"))
 
 
+@register(
+    "d5_whiten_symmetric",
+    "SELECT a.i, b.i AS j, 0.0::DOUBLE AS x FROM (SELECT DISTINCT i FROM v) a, (SELECT DISTINCT i FROM v) b",
+    "v",
+)
+def d5_symmetric(spark, sf):
+    """Of all whitenings X W only the one with a symmetric W that commutes with the scatter matrix has X'(X W) symmetric."""
+    vectors = views.vectors(spark, sf)
+    white = mo.whiten(vectors, DIM).withColumnRenamed("vec", "white")
+    both = vectors.join(white, "vec_id").select(F.concat("vec", "white").alias("vec"))
+    cross = mo.gramian(both, 2 * DIM).where(F.col("i").between(1, DIM) & (F.col("j") > DIM))
+    cross = cross.select("i", (F.col("j") - DIM).alias("j"), "x")
+    mirror = cross.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x").alias("y"))
+    return cross.join(mirror, ["i", "j"]).select("i", "j", (F.round(F.col("x") - F.col("y"), 6) + 0.0).alias("x"))
+
+
 @register("d5_whiten")
 def d5(spark, sf):
     return cells(mo.whiten(views.vectors(spark, sf), DIM), "vec_id", array="vec")

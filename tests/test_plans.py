@@ -45,3 +45,40 @@ def test_search_ships_no_pairs(spark):
     asked = v.select(F.col("vec_id").alias("query_id"), "vec")
     text = plan(jobs.search_pq(asked, pq.encode(v, centers), centers, 5))
     assert "Join" not in text and text.count("Exchange") == 1
+
+
+def test_scoring_shuffles_images_once(spark):
+    import registry.imaging
+    from registry import QUERIES
+
+    text = plan(QUERIES["c7_score_network"](spark, SF_DIR))
+    assert registry.imaging and len(re.findall(r"Exchange hashpartitioning\((?:image_id|vec_id)", text)) <= 1
+
+
+def test_search_in_blocks_copies_neither_side(spark):
+    v = views.vectors(spark, SF_DIR)
+    centers = jobs.fit_pq(v, 8, 4, max_iter=2)
+    asked = v.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), "vec")
+    text = plan(jobs.search_pq(asked, pq.encode(v, centers), centers, 5, max_bytes=1 << 12))
+    assert "Generate" not in text and "Join" not in text and text.count("Exchange") == 1 and "Union" in text
+
+
+def test_package_reaches_workers_from_any_folder(tmp_path):
+    """A session started elsewhere runs an Arrow query."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spec = importlib.util.spec_from_file_location("__spark_entry__", "{root}/__spark_entry__.py")
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", entry.queries()["p4_soft_assign"](spark, "{SF_DIR}").count())
+"""
+    env = {k: x for k, x in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "rows " in done.stdout, done.stderr[-1500:]
