@@ -11,8 +11,8 @@ item is looked up by that many windows only, its rarest in the benchmark. The do
 checked window by window.
 
 Defined cases: null and empty texts, and items without a word, match nothing; a text of fewer words than a window has
-one window, the whole sequence; rows of equal doc_id (null included) are judged together; repeated items are one item
-per item_id; empty tables give no pairs; ``drop_contaminated`` returns the columns of its input unchanged.
+one window, the whole sequence; a row is known by doc_id (null included) and a hash of its text, rows that repeat both
+are judged as one, and other texts of an id by themselves; repeated items are one item per item_id; empty tables give no pairs; ``drop_contaminated`` returns the columns of its input unchanged.
 """
 
 from __future__ import annotations
@@ -143,31 +143,33 @@ def contaminated_pairs(
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """(doc_id, item_id, coverage, n_windows, changed) of contaminated documents; changed: with other slot values."""
-    docs = docs.select("doc_id", "text")
+    pairs = _pairs(docs, benchmark, window, similarity, max_broadcast_rows)
+    return pairs.select("doc.doc_id", "item_id", "coverage", "n_windows", "changed")
+
+
+def _key(docs: DataFrame) -> Column:
+    """What a row is known by: equal where both fields are, nulls included."""
+    return F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("h"))
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float, max_broadcast_rows: int) -> DataFrame:
+    docs = docs.select(_key(docs).alias("doc"), "text")
     items = stored(benchmark_windows(benchmark, window, similarity), "items")
     anchors = broadcast_if_small(items.filter("anchor").select("h", "item_id").distinct(), max_broadcast_rows)
     hashes = F.array_distinct(_window_hashes(template(F.col("text")), window))
     found = stored(
-        docs.select("doc_id", F.explode(hashes).alias("h")).join(anchors, "h").select("doc_id", "item_id").distinct(),
+        docs.select("doc", F.explode(hashes).alias("h")).join(anchors, "h").select("doc", "item_id").distinct(),
         "candidates",
     )
-    again = docs.join(
-        broadcast_if_small(found.select(F.col("doc_id").alias("_id")).distinct(), max_broadcast_rows),
-        F.col("doc_id").eqNullSafe(F.col("_id")),
-        "left_semi",
-    )
-    windows = slot_windows(again, "doc_id", window)
-    named = found.select(F.col("doc_id").alias("_id"), "item_id").join(
-        broadcast_if_small(items, max_broadcast_rows), "item_id"
-    )
-    hits = windows.withColumnRenamed("h", "_h").join(
-        named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("h"))
-    )
+    again = docs.join(broadcast_if_small(found.select("doc").distinct(), max_broadcast_rows), "doc", "left_semi")
+    windows = slot_windows(again, "doc", window)
+    named = found.join(broadcast_if_small(items, max_broadcast_rows), "item_id")
+    hits = windows.join(named, ["doc", "h"])
     aligned = (
         hits.withColumn(
             "pair", F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
         )
-        .groupBy("doc_id", "item_id", "n", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        .groupBy("doc", "item_id", "n", (F.col("pos") - F.col("item_pos")).alias("shift"))
         .agg(
             F.array_distinct(F.flatten(F.collect_set("pair"))).alias("pairs"),
             F.collect_set("h").alias("all"),
@@ -179,18 +181,24 @@ def contaminated_pairs(
         "changed", one_to_one & F.exists("pairs", lambda p: p["item"] != p["doc"])
     )
     return (
-        counted.groupBy("doc_id", "item_id", "n")
+        counted.groupBy("doc", "item_id", "n")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("n_windows"),
             F.max("changed").alias("changed"),
         )
         .filter(F.col("n_windows") >= F.ceil(F.col("n") * similarity - 1e-9))
-        .select("doc_id", "item_id", (F.col("n_windows") / F.col("n")).alias("coverage"), "n_windows", "changed")
+        .select("doc", "item_id", (F.col("n_windows") / F.col("n")).alias("coverage"), "n_windows", "changed")
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    similarity: float = SIMILARITY,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    bad = stored(contaminated_pairs(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
-    small = broadcast_if_small(bad, how.get("max_broadcast_rows", MAX_BROADCAST_ROWS))
-    return docs.join(small, docs["doc_id"].eqNullSafe(small["_bad"]), "left_anti")
+    pairs = _pairs(docs, benchmark, window, similarity, max_broadcast_rows)
+    bad = broadcast_if_small(stored(pairs.select(F.col("doc").alias("_bad")).distinct(), "leaks"), max_broadcast_rows)
+    return docs.join(bad, _key(docs) == bad["_bad"], "left_anti")

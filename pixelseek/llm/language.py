@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelseek.llm.common import gathered
@@ -203,7 +203,7 @@ def fit(train: DataFrame, max_sample: int = MAX_SAMPLE) -> LanguageModel:
 
 def predict(model: LanguageModel, text: Column) -> Column:
     """struct<lang, score> of a text column."""
-    shared = _broadcast(model)
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
     def tell(texts: pd.Series) -> pd.DataFrame:
@@ -213,12 +213,6 @@ def predict(model: LanguageModel, text: Column) -> Column:
     return tell.asNondeterministic()(text)
 
 
-def _broadcast(value):
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession().sparkContext.broadcast(value)
-
-
 def keep_known(docs: DataFrame, model: LanguageModel, min_score: float = 0.4) -> DataFrame:
     """Rows whose language is known: not ``und``, and not all languages in doubt by the calibrated score."""
     told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("_t"))

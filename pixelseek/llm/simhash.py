@@ -17,8 +17,8 @@ candidate is verified by its distance; what leaves the task is a spanning forest
 for each member, never the pairs. Components over these links are found by alternating large-star and small-star steps.
 
 Defined cases: null and empty texts, and texts of white space only, have fingerprint zero and link like any other; fewer
-words than a shingle form one shingle of the whole sequence; rows that repeat an id are one document of that id each; a
-null id is larger than any other and never names a component unless it is alone; an empty table gives an empty table;
+words than a shingle form one shingle of the whole sequence; rows that repeat an id are documents of their own; a null id
+is larger than any other, so a component is named null only if it has no other; an empty table gives an empty table;
 other columns are untouched.
 """
 
@@ -64,13 +64,13 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed 64-bit number."""
+    """(doc_id, fp, h) of every row: the fingerprint as a signed 64-bit number, and a hash of the text."""
 
     @F.pandas_udf("long")
     def tell(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).astype(np.int64))
 
-    return docs.select("doc_id", tell(F.col("text")).alias("fp"))
+    return docs.select("doc_id", tell(F.col("text")).alias("fp"), F.xxhash64("text").alias("h"))
 
 
 def bit_groups(fps: DataFrame, parts: int) -> list[np.ndarray]:
@@ -318,8 +318,8 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, parts: int | None = Non
     )
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable."""
+def _rooted(docs: DataFrame, words: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, h) of every row, and (fp, first_id, root): root is the smallest fingerprint of the component."""
     fps = stored(fingerprints(docs, words), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     links = stored(near_links(nodes.select("fp"), distance), "links")
@@ -328,7 +328,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -
     named = nodes.join(label, nodes["fp"] == label["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
-    named = stored(named, "roots")
+    return fps, stored(named, "roots")
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable."""
+    fps, named = _rooted(docs, words, distance)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = named.join(least, "root").select("fp", "component_id")
     # A fingerprint with a third of all documents: its component travels to the documents where that table is small,
@@ -337,13 +342,17 @@ def near_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """One row of each component stays: that with the smallest doc_id; columns as they were.
-
-    Rows that repeat this id and its text are one document, of which one row stays."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    groups = near_groups(docs, words, distance)
-    keep = stored(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
-    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
-    kept = rows.join(keep.select(F.col("doc_id").alias("_keep")), F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
-    order = Window.partitionBy("_id").orderBy("_h")
-    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("row.*")
+    """One row of each component stays, with its columns: that with the smallest doc_id, of equal ids by a text hash."""
+    fps, named = _rooted(docs, words, distance)
+    # Null ids come last; the minimum is combined before the shuffle, however many documents a component has.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")
+    first = fps.groupBy("fp").agg(F.min(order).alias("first")).join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = stored(first.select(F.struct("first.id", "first.h").alias("_key")), "kept")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("_key"),
+    )
+    # Rows that repeat id and text: one stays; the limit is applied before the shuffle too.
+    one = Window.partitionBy("_key").orderBy(F.lit(0))
+    kept = rows.join(keep, "_key", "left_semi").withColumn("_n", F.row_number().over(one))
+    return kept.filter("_n = 1").select("row.*")

@@ -100,11 +100,15 @@ def test_groups(spark, checkpoint_dir):
 
 def test_drop(spark, checkpoint_dir):
     table = [(2, "a b c d", "en", "s"), (1, "A b c d", "en", "s"), (1, "A b c d", "en", "s"), (3, None, "en", "s")]
-    table += [(9, "", "en", "s"), (None, "all on its own", "en", "s")]
+    table += [(9, "", "en", "s"), (None, "all on its own", "en", "s"), (None, "and one more of them", "en", "s")]
+    table += [(None, "a b c d", "en", "s"), (1, "another text of the same id", "en", "s")]
     d = clash(docs(spark, table), F)
     kept = s.drop_near_duplicates(d)
     assert kept.columns == d.columns
-    assert rows(kept, "doc_id", "text") == sorted([(1, "A b c d"), (3, None), (None, "all on its own")], key=repr)
+    assert rows(kept, "doc_id", "text") == sorted(
+        [(1, "A b c d"), (3, None), (None, "all on its own"), (None, "and one more of them"), (1, "another text of the same id")],
+        key=repr,
+    )
 
 
 def test_empty(spark, checkpoint_dir):
