@@ -31,7 +31,7 @@ from pixelseek.llm.units import BACK, BASE, Memory, Units, code_points, in_parts
 BLANK = "▁"
 LONGEST = 256
 #: Characters of texts that are encoded side by side.
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 20
 #: Units that a worker remembers before it starts anew.
 REMEMBERED = 3_000_000
 
@@ -182,22 +182,18 @@ class Encoder:
         back = powers(BACK, length + 1)
         last = np.full((length + 1, n), _NONE, dtype=np.int32)
         for end in range(1, length + 1):
-            open_ = np.arange(n)
+            first = max(0, end - p.longest)
+            spans = (sums[end] - sums[first:end]) * back[first:end, None]
+            found = p.find(spans.ravel()).reshape(spans.shape)
             # The longest piece that may follow is the maximum, so the search goes from long to short.
-            for start in range(max(0, end - p.longest), end):
-                found = p.find((sums[end, open_] - sums[start, open_]) * back[start])
-                some = np.flatnonzero(found >= 0)
+            for start in range(first, end):
+                some = np.flatnonzero((found[start - first] >= 0) & (last[end] < 0))
                 if start and len(some):
-                    before = last[start, open_[some]]
+                    before = last[start, some]
                     fits = before >= 0
-                    fits[fits] = self.may_follow(before[fits], found[some[fits]])
+                    fits[fits] = self.may_follow(before[fits], found[start - first, some[fits]])
                     some = some[fits]
-                last[end, open_[some]] = found[some]
-                keep = np.ones(len(open_), dtype=bool)
-                keep[some] = False
-                open_ = open_[keep]
-                if not len(open_):
-                    break
+                last[end, some] = found[start - first, some]
         # Follow the backpointers from the end.
         out, at, who = [], np.full(n, length), np.arange(n)
         while len(who):
