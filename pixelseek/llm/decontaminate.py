@@ -2,9 +2,10 @@
 
 Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders; the rest is
 lower-cased words. A pair of document and benchmark item counts when at least ``similarity`` of the item's distinct
-windows of ``window`` template tokens stand in the document. Windows that hold placeholders count only where their
-alignment is consistent: within it, each slot value of the item has become one value of the document. So passages whose
-numbers or names were changed throughout are found, and mere look-alikes of filled-in forms are not.
+windows of ``window`` template tokens stand in the document. Windows with the item's own slot values always count.
+Others count where they are consistent with their alignment: in it, each slot value of the item stands for one value of
+the document, the one that most of its windows hold. So passages whose numbers or names were changed, throughout or in
+places, are found, and mere look-alikes of filled-in forms are not.
 
 Search in two passes. Whoever holds a share s of n windows holds at least one of any n - ceil(s n) + 1 of them, so every
 item is looked up by that many windows only, its rarest in the benchmark. The documents found are read again and
@@ -164,33 +165,44 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float
     again = docs.join(broadcast_if_small(found.select("doc").distinct(), max_broadcast_rows), "doc", "left_semi")
     windows = slot_windows(again, "doc", window)
     named = found.join(broadcast_if_small(items, max_broadcast_rows), "item_id")
-    hits = windows.join(named, ["doc", "h"])
-    aligned = (
-        hits.withColumn(
-            "pair", F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-        )
-        .groupBy("doc", "item_id", "n", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .agg(
-            F.array_distinct(F.flatten(F.collect_set("pair"))).alias("pairs"),
-            F.collect_set("h").alias("all"),
-            F.collect_set(F.when(F.size("slots") == 0, F.col("h"))).alias("bare"),
-        )
+    hits = windows.join(named, ["doc", "h"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    hits = hits.withColumn(
+        "pairs",
+        F.array_distinct(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))),
     )
-    one_to_one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    counted = aligned.withColumn("hs", F.when(one_to_one, F.col("all")).otherwise(F.col("bare"))).withColumn(
-        "changed", one_to_one & F.exists("pairs", lambda p: p["item"] != p["doc"])
+    hits = stored(hits.select("doc", "item_id", "n", "shift", "pos", "h", "pairs"), "hits")
+    same = F.forall("pairs", lambda p: p["item"] == p["doc"])
+    agreed = F.forall("pairs", lambda p: F.element_at("kept", p["item"]) == p["doc"])
+    counted = hits.join(_kept_values(hits), ["doc", "item_id", "shift"], "left").filter(
+        same | F.coalesce(agreed, F.lit(False))
     )
     return (
         counted.groupBy("doc", "item_id", "n")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("n_windows"),
-            F.max("changed").alias("changed"),
-        )
+        .agg(F.size(F.collect_set("h")).alias("n_windows"), F.max(~same).alias("changed"))
         .filter(F.col("n_windows") >= F.ceil(F.col("n") * similarity - 1e-9))
         .select("doc", "item_id", (F.col("n_windows") / F.col("n")).alias("coverage"), "n_windows", "changed")
     )
 
 
+def _kept_values(hits: DataFrame) -> DataFrame:
+    """(doc, item_id, shift, kept) of alignments with slots: for each item value the document's value of most windows.
+
+    Of equally many, the unchanged value is kept, then the largest."""
+    alignment = ["doc", "item_id", "shift"]
+    votes = (
+        hits.select(*alignment, "pos", F.explode("pairs").alias("p"))
+        .groupBy(*alignment, "p")
+        .agg(F.count_distinct("pos").alias("windows"))
+    )
+    best = votes.groupBy(*alignment, F.col("p.item").alias("value")).agg(
+        F.max(F.struct("windows", (F.col("p.item") == F.col("p.doc")).alias("same"), F.col("p.doc").alias("doc_value"))).alias("b")
+    )
+    # An item's values are bounded by its own text.
+    return best.groupBy(*alignment).agg(
+        F.map_from_entries(F.collect_list(F.struct("value", "b.doc_value"))).alias("kept")
+    )
+
+
 def drop_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,

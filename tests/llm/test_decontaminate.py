@@ -116,3 +116,49 @@ def test_empty(spark, checkpoint_dir):
     assert d.contaminated_pairs(docs(spark, []), bench(spark)).count() == 0
     assert d.contaminated_pairs(docs(spark, DOCS), nothing).count() == 0
     assert d.drop_contaminated(docs(spark, DOCS), nothing).count() == len(DOCS)
+
+
+def brute_most_agreed(doc, item, window=5):
+    """Share of the item's windows: unchanged ones, and those that hold only the most frequent value of each slot."""
+    def windows(text):
+        t = brute_tokens(text)
+        return [tuple(t[i : i + window]) for i in range(max(1, len(t) - window + 1))] if t else []
+
+    want, hit = windows(item), set()
+    shifts = {}
+    for p, g in enumerate(windows(doc)):
+        for q, w in enumerate(want):
+            if [x for x, _ in g] == [x for x, _ in w]:
+                slots = {((k, a), (k, b)) for (_, b), (k, a) in zip(g, w) if a is not None}
+                shifts.setdefault(p - q, []).append((w, slots))
+    for found in shifts.values():
+        votes = {}
+        for _, slots in found:
+            for a, b in slots:
+                votes.setdefault(a, {}).setdefault(b, 0)
+                votes[a][b] += 1
+        kept = {a: max(v, key=lambda b: (v[b], a == b, b)) for a, v in votes.items()}
+        for w, slots in found:
+            if all(a == b for a, b in slots) or all(kept[a] == b for a, b in slots):
+                hit.add(tuple(x for x, _ in w))
+    return len(hit) / len({tuple(x for x, _ in w) for w in want})
+
+
+REPEATED = (
+    "every morning 2 farmers walk down to the old mill and carry back heavy sacks of flour which they sell to a baker"
+    " at the corner of our street for 40 coins before they return home where dinner has been waiting since noon and"
+    " the younger one of them counts what is left after paying 2 helpers for loading each cart with fresh golden hay"
+)
+
+
+def test_one_changed_value_of_several(spark, checkpoint_dir):
+    item = [(1, REPEATED)]
+    found = [
+        (1, REPEATED.replace("2 helpers", "3 helpers"), "en", "s"),
+        (2, REPEATED.replace("2", "7").replace("7 helpers", "3 helpers"), "en", "s"),
+        (3, REPEATED.replace("2 farmers", "3 farmers").replace("40", "50"), "en", "s"),
+    ]
+    got = d.contaminated_pairs(docs(spark, found), spark.createDataFrame(item, "item_id long, text string"))
+    cover = {r["doc_id"]: r["coverage"] for r in got.collect()}
+    assert cover == {i: pytest.approx(brute_most_agreed(text, REPEATED)) for i, text, *_ in found}
+    assert min(cover.values()) >= 0.8
