@@ -1,14 +1,17 @@
 """Benchmark decontamination by template windows.
 
-Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders; the rest is
-lower-cased words. A pair of document and benchmark item counts when at least ``similarity`` of the item's distinct
-windows of ``window`` template tokens stand in the document. Windows with the item's own slot values always count.
+Numbers, units after numbers and names become typed placeholders; the rest is lower-cased words. White space counts as
+one blank. What is a name can't be told from one place alone, so there are three views of each text: names are the
+capitalised words inside a sentence, or all capitalised words, or none. Views have the same tokens at the same places.
+A window of an item stands in a document where any view of the one equals any view of the other, so neither the start
+of a sentence nor quotes, wrapping or case hide a passage. A pair of document and benchmark item counts when at least
+``similarity`` of the item's windows of ``window`` tokens, distinct by the first view, stand in the document. Windows with the item's own slot values always count.
 Others count where they are consistent with their alignment: in it, each slot value of the item stands for one value of
 the document, the one that most of its windows hold. So passages whose numbers or names were changed, throughout or in
 places, are found, and mere look-alikes of filled-in forms are not.
 
 Search in two passes. Whoever holds a share s of n windows holds at least one of any n - ceil(s n) + 1 of them, so every
-item is looked up by that many windows only, its rarest in the benchmark. The documents found are read again and
+item is looked up by that many windows only, its rarest in the benchmark, in all views. The documents found are read again and
 checked window by window.
 
 Defined cases: null and empty texts, and items without a word, match nothing; a text of fewer words than a window has
@@ -42,32 +45,44 @@ NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 _WORD = r"[\p{L}\p{M}]+"
 _NAME = rf"(?<=[\p{{L}}\p{{N}},;] )(?=\p{{Lu}})({_WORD})"
 _NUMBER = r"(\p{Nd}+(?:[.,]\p{Nd}+)*)"
+_CAPITAL = rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})({_WORD})"
+# Views, by what a name is; the first is the one by which an item's windows are counted.
+INSIDE, CAPITAL, NO_NAME = VIEWS = (_NAME, _CAPITAL, None)
 _UNIT = rf"(?i)({NUMBER}[\p{{Nd}}.,]*\s{{0,2}})({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(f"[{NAME}{NUMBER}{UNIT}]"), F.lit(""))
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(f"[{NAME}{NUMBER}{UNIT}]"), F.lit(""))
+    return F.regexp_replace(t, F.lit(r"[\s\p{Z}\x{85}]+"), F.lit(" "))
 
 
-def _marked(text: Column) -> Column:
-    """The text with each slot behind its mark."""
-    t = F.regexp_replace(_bare(text), F.lit(_NAME), F.lit(NAME + "$1"))
+def _names(text: Column, view: str | None, by: str) -> Column:
+    return text if view is None else F.regexp_replace(text, F.lit(view), F.lit(by))
+
+
+def _marked(text: Column, view: str | None) -> Column:
+    """The lower-cased text with each slot behind its mark."""
+    t = _names(_bare(text), view, NAME + "$1")
     t = F.regexp_replace(t, F.lit(_NUMBER), F.lit(f" {NUMBER}$1 "))
-    return F.regexp_replace(t, F.lit(_UNIT), F.lit(f"$1 {UNIT}$2"))
+    return F.lower(F.regexp_replace(t, F.lit(_UNIT), F.lit(f"$1 {UNIT}$2")))
 
 
-def template(text: Column) -> Column:
-    """Template tokens: lower-case words and the marks of placeholders."""
-    t = F.regexp_replace(_bare(text), F.lit(_NAME), F.lit(f" {NAME} "))
+def _template(bare: Column, view: str | None) -> Column:
+    t = _names(bare, view, f" {NAME} ")
     t = F.regexp_replace(t, F.lit(_NUMBER), F.lit(f" {NUMBER} "))
     t = F.regexp_replace(t, F.lit(_UNIT), F.lit(f" {NUMBER} {UNIT} "))
     return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}{NAME}{NUMBER}{UNIT}]+"), lambda w: w != "")
 
 
-def slotted(text: Column) -> Column:
+def template(text: Column, view: str | None = INSIDE) -> Column:
+    """Template tokens: lower-case words and the marks of placeholders."""
+    return _template(_bare(text), view)
+
+
+def slotted(text: Column, view: str | None = INSIDE) -> Column:
     """array<struct<t, slot>>: the tokens of ``template`` with the value of each placeholder."""
     tokens = F.regexp_extract_all(
-        _marked(text),
+        _marked(text, view),
         F.lit(rf"{NAME}{_WORD}|{NUMBER}\p{{Nd}}+(?:[.,]\p{{Nd}}+)*|{UNIT}{_WORD}|{_WORD}"),
         F.lit(0),
     )
@@ -76,7 +91,7 @@ def slotted(text: Column) -> Column:
         first = F.substring(x, 1, 1)
         slot = first.isin(NAME, NUMBER, UNIT)
         return F.struct(
-            F.when(slot, first).otherwise(F.lower(x)).alias("t"), F.when(slot, F.lower(F.substring(x, 2, 1 << 30))).alias("slot")
+            F.when(slot, first).otherwise(x).alias("t"), F.when(slot, F.substring(x, 2, 1 << 30)).alias("slot")
         )
 
     return F.transform(tokens, token)
@@ -101,38 +116,66 @@ def _window_hashes(tokens: Column, window: int) -> Column:
     return bound(tokens, lambda ws: F.transform(_starts(ws, window), lambda i: _hash(_part(ws, i, window))))
 
 
+def _view_hashes(text: Column, window: int) -> Column:
+    """The different hashes of the text's windows in all views."""
+
+    def every(bare: Column) -> Column:
+        return F.array_distinct(F.concat(*[_window_hashes(_template(bare, view), window) for view in VIEWS]))
+
+    return bound(_bare(text), every)
+
+
 def slot_windows(rows: DataFrame, key: str, window: int) -> DataFrame:
-    """(key, pos, h, slots) of every window of the texts, by slot-carrying tokens."""
+    """(key, pos, w, h, slots) of every window of the texts in each view, by slot-carrying tokens; w: h of the first view.
+
+    Views of a window that are equal are one row."""
+
+    def part_of(tokens: Column, i: Column) -> list[Column]:
+        return _part(tokens, i, window)
+
+    def seen(part: list[Column]) -> Column:
+        # A unit and a name of equal letters are two values.
+        values = F.array(*[F.concat(x["t"], x["slot"]) for x in part])
+        return F.struct(
+            _hash([x["t"] for x in part]).alias("h"), F.filter(values, lambda s: s.isNotNull()).alias("slots")
+        )
+
+    def windows(views: Column) -> Column:
+        first = views[0]
 
-    def windows(tokens: Column) -> Column:
         def one(i: Column) -> Column:
-            part = _part(tokens, i, window)
-            slots = F.filter(F.array(*[x["slot"] for x in part]), lambda s: s.isNotNull())
-            return F.struct(i.alias("pos"), _hash([x["t"] for x in part]).alias("h"), slots.alias("slots"))
+            every = F.array_distinct(F.array(*[seen(part_of(views[k], i)) for k in range(len(VIEWS))]))
+            return F.struct(i.alias("pos"), _hash([x["t"] for x in part_of(first, i)]).alias("w"), every.alias("views"))
 
-        return F.transform(_starts(tokens, window), one)
+        return F.transform(_starts(first, window), one)
 
-    rows = rows.select(key, F.explode(bound(slotted(F.col("text")), windows)).alias("w"))
-    return rows.select(key, "w.pos", "w.h", "w.slots")
+    views = F.array(*[slotted(F.col("text"), view) for view in VIEWS])
+    rows = rows.select(key, F.explode(bound(views, windows)).alias("at"))
+    rows = rows.select(key, "at.pos", "at.w", F.explode("at.views").alias("v"))
+    return rows.select(key, "pos", "w", "v.h", "v.slots")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """(item_id, item_pos, h, item_slots, n, anchor) of the items; n: distinct windows, anchor: looked up first."""
+    """(item_id, item_pos, w, h, item_slots, n, anchor) of the items' windows in each view.
+
+    n: distinct windows w, anchor: looked up first."""
     items = benchmark.select(F.col("item_id"), F.col("text")).distinct()
     windows = slot_windows(items, "item_id", window)
-    per = windows.select("item_id", "h").distinct()
-    rare = per.join(per.groupBy("h").agg(F.count(F.lit(1)).alias("items")), "h")
+    per = windows.select("item_id", "w", "h").distinct()
+    shared = per.groupBy("h").agg(F.count_distinct("item_id").alias("items"))
+    # A window is as rare as the commonest of its views.
+    rare = per.join(shared, "h").groupBy("item_id", "w").agg(F.max("items").alias("items"))
     # An item's windows are bounded by its own text.
-    ordered = rare.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("items", "h"))).alias("hs"))
-    size = F.size("hs")
-    ranked = ordered.select("item_id", size.alias("n"), F.posexplode("hs").alias("place", "w")).select(
+    ordered = rare.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("items", "w"))).alias("ws"))
+    size = F.size("ws")
+    ranked = ordered.select("item_id", size.alias("n"), F.posexplode("ws").alias("place", "x")).select(
         "item_id",
         "n",
-        F.col("w.h").alias("h"),
+        F.col("x.w").alias("w"),
         (F.col("place") < F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).alias("anchor"),
     )
-    return windows.join(ranked, ["item_id", "h"]).select(
-        "item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "n", "anchor"
+    return windows.join(ranked, ["item_id", "w"]).select(
+        "item_id", F.col("pos").alias("item_pos"), "w", "h", F.col("slots").alias("item_slots"), "n", "anchor"
     )
 
 
@@ -157,20 +200,20 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float
     docs = docs.select(_key(docs).alias("doc"), "text")
     items = stored(benchmark_windows(benchmark, window, similarity), "items")
     anchors = broadcast_if_small(items.filter("anchor").select("h", "item_id").distinct(), max_broadcast_rows)
-    hashes = F.array_distinct(_window_hashes(template(F.col("text")), window))
+    hashes = _view_hashes(F.col("text"), window)
     found = stored(
         docs.select("doc", F.explode(hashes).alias("h")).join(anchors, "h").select("doc", "item_id").distinct(),
         "candidates",
     )
     again = docs.join(broadcast_if_small(found.select("doc").distinct(), max_broadcast_rows), "doc", "left_semi")
-    windows = slot_windows(again, "doc", window)
+    windows = slot_windows(again, "doc", window).drop("w")
     named = found.join(broadcast_if_small(items, max_broadcast_rows), "item_id")
     hits = windows.join(named, ["doc", "h"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     hits = hits.withColumn(
         "pairs",
         F.array_distinct(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))),
     )
-    hits = stored(hits.select("doc", "item_id", "n", "shift", "pos", "h", "pairs"), "hits")
+    hits = stored(hits.select("doc", "item_id", "n", "shift", "pos", "w", "pairs"), "hits")
     same = F.forall("pairs", lambda p: p["item"] == p["doc"])
     agreed = F.forall("pairs", lambda p: F.element_at("kept", p["item"]) == p["doc"])
     counted = hits.join(_kept_values(hits), ["doc", "item_id", "shift"], "left").filter(
@@ -178,7 +221,7 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float
     )
     return (
         counted.groupBy("doc", "item_id", "n")
-        .agg(F.size(F.collect_set("h")).alias("n_windows"), F.max(~same).alias("changed"))
+        .agg(F.size(F.collect_set("w")).alias("n_windows"), F.max(~same).alias("changed"))
         .filter(F.col("n_windows") >= F.ceil(F.col("n") * similarity - 1e-9))
         .select("doc", "item_id", (F.col("n_windows") / F.col("n")).alias("coverage"), "n_windows", "changed")
     )

@@ -162,3 +162,41 @@ def test_one_changed_value_of_several(spark, checkpoint_dir):
     cover = {r["doc_id"]: r["coverage"] for r in got.collect()}
     assert cover == {i: pytest.approx(brute_most_agreed(text, REPEATED)) for i, text, *_ in found}
     assert min(cover.values()) >= 0.8
+
+
+JANET = (
+    "Janet buys 16 eggs for the farm shop. Janet eats three of them at breakfast every day. Janet sells the others at"
+    " the market. How much money does she make by evening?"
+)
+ASKED = (
+    "In the year after the war, a teacher from Vienna met Clara and walked along the Danube with Otto until the lamps"
+    " of Linz were lit and the ferry had left"
+)
+
+
+def test_names_at_sentence_starts_case_and_wrapping(spark, checkpoint_dir):
+    wrapped = ASKED.replace("from Vienna", "from\nVienna").replace("with Otto", "with\nOtto").replace("of Linz", "of  Linz")
+    found = [
+        (1, JANET.replace("Janet", "Maria"), "en", "s"),
+        (2, ASKED.lower(), "en", "s"),
+        (3, wrapped, "en", "s"),
+        (4, wrapped.replace("Otto", "Paul").replace("Clara", '"Anna'), "en", "s"),
+        (5, JANET.lower().replace("16", "17"), "en", "s"),
+        (6, ASKED.upper(), "en", "s"),
+        (7, JANET.replace("Janet", "My neighbour"), "en", "s"),
+        (8, "The war was over. In Vienna Clara met Otto. They left Linz by ferry along the Danube", "en", "s"),
+    ]
+    items = spark.createDataFrame([(1, JANET), (2, ASKED)], "item_id long, text string")
+    got = d.contaminated_pairs(docs(spark, found), items)
+    pairs = {r["doc_id"]: (r["item_id"], r["coverage"], r["changed"]) for r in got.collect()}
+    whole = {1: (1, 1.0, True), 2: (2, 1.0, False), 3: (2, 1.0, False), 4: (2, 1.0, True), 5: (1, 1.0, True), 6: (2, 1.0, False)}
+    assert pairs == whole
+
+
+def test_views_have_the_same_tokens(spark):
+    for text in [JANET, ASKED, ASKED.upper(), "5 KM 5Kg X5 İstanbul ΟΔΟΣ' 3.50 Dollars  Müller's 7 M"]:
+        views = [(d.slotted(F.lit(text), v), d.template(F.lit(text), v)) for v in d.VIEWS]
+        got = spark.range(1).select(*[c for pair in views for c in pair]).first()
+        assert len({len(x) for x in got}) == 1
+        for slots, words in zip(got[::2], got[1::2]):
+            assert [x["t"] for x in slots] == list(words)
