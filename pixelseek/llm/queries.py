@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelseek.llm import chat, dac, decontaminate, exact_dedup, language, pieces, quality, sharding, simhash, toxicity
-from pixelseek.llm.common import id_remainder
+from pixelseek.llm.common import id_remainder, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,14 +61,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_interleave")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    """The documents written as shards and read back; sizes and digests are those of the written texts."""
+    dealt = sharding.interleave(table(spark, sf_dir, "documents"), 8)
+    folder = new_folder(spark, "shards")
+    sharding.write_shards(dealt, folder, rows_per_file=sharding.BUCKET_ROWS)
+    return spark.read.schema(dealt.schema).parquet(folder).select(
         "doc_id",
-        "source",
         (F.octet_length(_text()) + 1).cast("long").alias("size"),
         F.crc32(_text().cast("binary")).alias("text_crc32"),
-    )
-    return sharding.interleave(docs, 8).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from pixelseek.llm import sharding
+from pixelseek.llm import queries, sharding
+from pixelseek.llm.common import shared_folder
 from tests.llm.helpers import clash, docs, rows
 
 
@@ -50,3 +53,18 @@ def test_written_shards(spark, checkpoint_dir, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert rows(back, "doc_id", "text", "source") == rows(d, "doc_id", "text", "source")
     assert len(list((tmp_path / "out" / "shard=0").glob("*.parquet"))) >= 3
+
+
+@pytest.mark.parametrize("t", [table(60) + [(None, None, None, None), (3, "t3", "en", "s")], []])
+def test_query_writes_the_documents(spark, checkpoint_dir, tmp_path, t):
+    docs(spark, t).write.parquet(str(tmp_path / "documents.parquet"))
+    parent = Path(shared_folder(spark).removeprefix("file:")) / "pixelseek"
+    before = set(parent.glob("shards-*"))
+    got = queries.op8(spark, str(tmp_path))
+    (folder,) = set(parent.glob("shards-*")) - before
+    told = "doc_id long, text string, lang string, source string, shard int, slot long"
+    written = spark.read.schema(told).parquet(str(folder))
+    assert rows(written, "doc_id", "text", "lang", "source") == sorted(t, key=repr)
+    digests = sorted(((i, len(x or "") + 1, zlib.crc32((x or "").encode())) for i, x, *_ in t), key=repr)
+    assert rows(got, "doc_id", "size", "text_crc32") == digests
+    assert rows(got, "doc_id", "shard", "slot") == rows(written, "doc_id", "shard", "slot")
