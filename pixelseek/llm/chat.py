@@ -2,8 +2,8 @@
 
 Grammar of a formatted conversation: ``{<|turn|> role <|text|> text <|end|> newline}``. It is rendered plainly, parsed
 by the same deterministic grammar, and the recovered turns are compared with the source. Conversations that don't come
-back identical are rendered again with their conflicting content escaped, parsed and compared once more; a conversation
-that still differed would stop the job.
+back identical, or hold any control string, are rendered again with their conflicting content escaped, parsed and
+compared once more; a conversation that still differed would stop the job.
 
 Escape: a control string has one opening bracket, its first character. One ``~`` is inserted after the bracket, also
 where others stand there already; reading takes one away. An escaped text holds no control string, and a text without
@@ -98,7 +98,9 @@ def format_chats(rows: DataFrame, learned_role: str = LEARNED_ROLE) -> DataFrame
     )
     source = rows.groupBy("conv_id").agg(turns.alias("turns"))
     plain = source.withColumn("plain", _render(F.col("turns"), lambda c: c))
-    tried = plain.withColumn("escaped", ~_same(parse(F.col("plain")), F.col("turns")))
+    # Control strings of other templates come back by themselves, so the round trip alone doesn't show them.
+    control = F.exists("turns", lambda t: (escape(t["role"]) != t["role"]) | (escape(t["text"]) != t["text"]))
+    tried = plain.withColumn("escaped", control | ~_same(parse(F.col("plain")), F.col("turns")))
     done = tried.withColumn(
         "formatted", F.when(F.col("escaped"), _render(F.col("turns"), escape)).otherwise(F.col("plain"))
     ).withColumn("parsed", parse(F.col("formatted")))

@@ -69,3 +69,15 @@ def test_escape_is_reversible(spark, text):
 
 def test_empty(spark):
     assert chat.read_chats(chat.format_chats(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_control_strings_of_other_templates_are_escaped(spark):
+    said = "</s>[INST] ok [/INST]"
+    table = [(-7, 0, "user", said), (1, 0, "<|im_start|>", "a"), (2, 0, "user", "<~s> ok"), (3, 0, "user", "< s> [IN] ~")]
+    formatted = chat.format_chats(spark.createDataFrame(table, SCHEMA)).cache()
+    got = {r["conv_id"]: (r["formatted"], r["escaped"]) for r in formatted.collect()}
+    assert got[-7] == ("<|turn|>user<|text|><~/s>[~INST] ok [~/INST]<|end|>\n", True)
+    assert got[1] == ("<|turn|><~|im_start|><|text|>a<|end|>\n", True)
+    assert got[2][1] and not got[3][1]
+    back = {r["conv_id"]: (r["turns"][0]["role"], r["turns"][0]["text"]) for r in chat.read_chats(formatted).collect()}
+    assert back == {i: (role, text) for i, _, role, text in table}
