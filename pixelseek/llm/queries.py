@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelseek.llm import chat, dac, decontaminate, exact_dedup, language, pieces, quality, sharding, simhash, toxicity
+from pixelseek.llm import (
+    chat,
+    dac,
+    decontaminate,
+    exact_dedup,
+    language,
+    pieces,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+    urls,
+)
 from pixelseek.llm.common import id_remainder, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +155,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     told = table(spark, sf_dir, "documents").select("doc_id", pieces.encoded(path, F.col("text")).alias("p"))
     return told.select("doc_id", F.size("p.ids").cast("long").alias("n_pieces"), "p.ids", "p.exact")
+
+
+URL_RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+
+
+@register(
+    "op12_url_filters",
+    "SELECT page_id, host, path, rule,"
+    " CASE WHEN rule IS NULL OR rule IN ('org/', 'com/fr/') THEN 'allow' ELSE 'block' END AS verdict FROM ("
+    " SELECT page_id, host, path,"
+    " CASE WHEN dotted LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'"
+    " WHEN dotted LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'"
+    " WHEN dotted LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'"
+    " WHEN dotted LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'"
+    " WHEN dotted LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule FROM ("
+    " SELECT page_id, host, '.' || host AS dotted, path FROM ("
+    " SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
+    " 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM ("
+    " SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest"
+    " FROM pages))))",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
