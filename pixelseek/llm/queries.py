@@ -19,6 +19,7 @@ from pixelseek.llm import (
     simhash,
     toxicity,
     urls,
+    whitening,
 )
 from pixelseek.llm.common import id_remainder, new_folder
 
@@ -185,3 +186,22 @@ URL_RULES = [
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    listed = whitening.fit_list(rows)
+    model = whitening.fit(listed)
+    error = whitening.identity_error(listed, model)
+    told = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.array(*[F.lit(e).cast("double") for e in model.explained])
+    return told.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        F.get(explained, F.col("place")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
