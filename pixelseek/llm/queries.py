@@ -14,6 +14,7 @@ from pixelseek.llm import (
     exact_dedup,
     language,
     pieces,
+    prefix_trie,
     quality,
     sharding,
     simhash,
@@ -205,3 +206,41 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(explained, F.col("place")).alias("explained"),
         F.lit(error).cast("double").alias("identity_error"),
     )
+
+
+# crc32 of the decimal id, byte by byte and bit by bit.
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''),"
+    " lambda ch: CAST(ascii(ch) AS BIGINT))), lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0],"
+    " lambda b, i: xor(b // 2, 3988292384 * (b % 2)))), 4294967295)"
+)
+
+
+@register(
+    "op13_prefix_trie",
+    "WITH told AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,"
+    " row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS d"
+    " FROM conversations WHERE conv_id IS NOT NULL),"
+    f" convs AS (SELECT c, {_CRC32} % 6 AS h FROM (SELECT DISTINCT c FROM told)),"
+    " lent AS (SELECT convs.c, told.d, r, t FROM convs JOIN told ON told.c = convs.c - convs.c % 100 AND told.d <= h),"
+    " heads AS (SELECT c, count(*) AS n FROM lent GROUP BY c),"
+    " rebuilt AS (SELECT * FROM lent UNION ALL SELECT told.c, told.d - h + coalesce(n, 0), r, t FROM told"
+    " JOIN convs USING (c) LEFT JOIN heads USING (c) WHERE told.d > h),"
+    " prefixes AS (SELECT c, d, length(t) AS chars, sha256(string_agg(sha256(r) || sha256(t), '') OVER"
+    " (PARTITION BY c ORDER BY d)) AS k FROM rebuilt UNION ALL SELECT c, 0, 0, '' FROM convs),"
+    " linked AS (SELECT *, lag(k) OVER w AS p, lead(k) OVER w IS NULL AS ends FROM prefixes"
+    " WINDOW w AS (PARTITION BY c ORDER BY d)),"
+    " nodes AS (SELECT k, any_value(p) AS p, any_value(d) AS d, min(c) AS rep, count(*) AS n_convs,"
+    " (count(*) - 1) * any_value(chars) AS saved, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)"
+    " FILTER (WHERE ends), '')) AS ends_sha256 FROM linked GROUP BY k),"
+    " counted AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN"
+    " (SELECT p, count(*) AS n FROM nodes WHERE p IS NOT NULL GROUP BY p) kids ON kids.p = nodes.k),"
+    " sums AS (SELECT prefixes.k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens"
+    " FROM counted JOIN prefixes ON prefixes.c = counted.rep AND prefixes.d <= counted.d GROUP BY prefixes.k)"
+    " SELECT x.rep AS conv_id, CAST(x.d AS BIGINT) AS depth, up.rep AS parent_conv_id, x.n_convs, x.n_children,"
+    " n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256"
+    " FROM counted x JOIN sums USING (k) LEFT JOIN nodes up ON up.k = x.p",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = prefix_trie.conversations_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.grafted(told))
