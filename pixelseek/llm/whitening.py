@@ -122,7 +122,8 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for i, row in zip(batch["i"], batch["row"]):
             rows[i] = rows[i] + row if i in rows else np.array(row)
-    yield pd.DataFrame({"i": list(rows), "row": list(rows.values())})
+    if rows:
+        yield pd.DataFrame({"i": list(rows), "row": list(rows.values())})
 
 
 def fit(listed: DataFrame, components: int = COMPONENTS, scale: int = SCALE, max_dim: int = MAX_DIM) -> Whitening:
