@@ -211,9 +211,11 @@ def encode(vectors: DataFrame, centers: DataFrame, max_bytes: int = MAX_BYTES) -
 
 
 def distance_tables(queries: np.ndarray, centers: Centers) -> np.ndarray:
-    """Squared distance from each query's sub-vectors to every centre: |q| x groups x (max cid + 1)."""
+    """Squared distance from each query's sub-vectors to every centre: |q| x groups x (max cid + 1).
+
+    Clusters that do not exist are infinitely far."""
     width = 1 + max(int(cids[-1]) for cids, _ in centers.groups)
-    tables = np.zeros((len(queries), len(centers.groups), width))
+    tables = np.full((len(queries), len(centers.groups), width), np.inf)
     for g, (s, (cids, book)) in enumerate(zip(centers.slices(), centers.groups)):
         tables[:, g, cids] = kernels.l2_block(queries[:, s], book)
     return tables

@@ -92,12 +92,11 @@ def salted_join(big: DataFrame, side: DataFrame, key: str, big_id: str, hot_rows
 def hot_join(big: DataFrame, side: DataFrame, key: str, big_id: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Equi join on a key of which one value may hold a large share of ``big``.
 
-    Rows of ``side`` that nothing asks for are dropped first; what is left is broadcast when its
-    measured size allows, else hot keys are salted.
+    A ``side`` whose measured size allows is broadcast; ``big`` then stands once in the plan, and no job
+    runs on it beforehand. Else hot keys are salted, for which ``big`` is counted by key first.
     """
-    asked = side.join(big.select(key).distinct(), key, "left_semi")
-    if small_side(asked, max_bytes=max_bytes):
-        return big.join(F.broadcast(asked), key)
+    if small_side(side, max_bytes=max_bytes):
+        return big.join(F.broadcast(side), key)
     return salted_join(big, side, key, big_id)
 
 

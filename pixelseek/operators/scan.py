@@ -1,30 +1,37 @@
 """Exhaustive top-k scans: every query against every row, keeping k per query in each task.
 
-Tasks emit at most k rows per query, never the pairs. Queries are shipped and the base table is
-read in place: neither side is copied or shuffled. Queries that, with their k best rows, fit
-STATE_FACTOR x ``max_bytes`` go in one piece; more go in blocks of that size, one scan of the
-base for each block. Blocks are broadcast one after the other, so the driver holds one of them.
+Tasks emit at most k rows per query, never the pairs. The base table is read in place, once: neither
+side is copied or shuffled. Queries that, with their k best rows, fit STATE_FACTOR x ``max_bytes`` are
+shipped. More are written once to the shared folder in blocks of that size; each task then holds a
+stretch of its rows and reads one block after the other past it, so no query row reaches the driver
+and the base is read and described once whatever the number of blocks.
+
+Where a stretch is long, an index of its rows may find the k nearest without looking at all of them.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
-from typing import Any
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelseek.functions import kernels
-from pixelseek.functions.codebooks import MAX_BYTES, fetch, measured_bytes
+from pixelseek.functions.blocks import Blocks, write_blocks
+from pixelseek.functions.codebooks import MAX_BYTES, fetch
 from pixelseek.operators.relational import top_ranked
 
 QUERY_STEP = 128
 # Bytes of rows that are scored together, and that are gathered before queries are prepared.
 CHUNK_BYTES = 8 << 20
 BLOCK_BYTES = 32 << 20
+# Bytes of rows that a task holds while the blocks of queries go past.
+STRETCH_BYTES = 128 << 20
+# From so many rows on an index of a stretch pays.
+INDEX_ROWS = 16384
 # Neighbours found before they are merged with the k best.
 MERGE_ROWS = 1 << 20
 # A task may hold STATE_FACTOR x max_bytes of queries with their k best rows.
@@ -35,6 +42,13 @@ Describe = Callable[[np.ndarray], Any]
 Score = Callable[[Any, Any], np.ndarray]
 
 
+class Index(Protocol):
+    """Rows laid out for search: places, by query, of all rows among the ``k`` nearest and not beyond ``limit``."""
+
+    def search(self, prepared: Any, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, row number, distance); rows that can't be among the k nearest may be among them."""
+
+
 class _Best:
     """The k nearest (distance, id) seen so far for each query; ties keep the lowest id."""
 
@@ -50,10 +64,14 @@ class _Best:
         limit = self.limit[first : first + len(dist)]
         if dist.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
+            self.limit[first : first + len(dist)] = limit
         q, at = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+        self.add_found(q + first, dist[q, at], ids[at])
+
+    def add_found(self, q: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
         if not len(q):
             return
-        self.parts.append((q + first, dist[q, at], ids[at]))
+        self.parts.append((q, dist, ids))
         self.held += len(q)
         if self.held > MERGE_ROWS + len(self.limit) * self.k:
             self.merge()
@@ -85,34 +103,44 @@ def _ids(col: pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-def _scan(
-    best: _Best,
-    queries: np.ndarray,
+def _parts(
     ids: np.ndarray,
     rows: np.ndarray,
-    prepare: Prepare,
-    score: Score,
     describe: Describe | None,
-) -> None:
+    index: Callable[[np.ndarray], Index] | None,
+    index_rows: int,
+) -> list[tuple[np.ndarray, Any, bool]]:
+    """(ids, rows as ``score`` or an index takes them, whether it is an index) of a stretch."""
+    if index and len(rows) >= index_rows:
+        return [(ids, index(rows), True)]
     step = max(1, CHUNK_BYTES // (8 * rows.shape[1]))
-    parts = [
-        (ids[a : a + step], describe(rows[a : a + step]) if describe else rows[a : a + step])
+    return [
+        (ids[a : a + step], describe(rows[a : a + step]) if describe else rows[a : a + step], False)
         for a in range(0, len(rows), step)
     ]
-    for b in range(0, len(queries), QUERY_STEP):
-        prepared = prepare(queries[b : b + QUERY_STEP])
-        for part_ids, part in parts:
-            best.add(b, score(prepared, part), part_ids)
 
 
-def _collected(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches joined to blocks of about BLOCK_BYTES, so that queries are prepared less often."""
+def _scan(best: _Best, queries: np.ndarray, parts: list, prepare: Prepare, score: Score) -> None:
+    for b in range(0, len(queries), QUERY_STEP):
+        prepared = prepare(queries[b : b + QUERY_STEP])
+        for ids, part, indexed in parts:
+            if indexed:
+                q, at, dist = part.search(prepared, best.limit[b : b + QUERY_STEP], best.k)
+                best.add_found(q + b, dist, ids[at])
+            else:
+                best.add(b, score(prepared, part), ids)
+
+
+def _collected(
+    batches: Iterator[pa.RecordBatch], width: int, size: int = BLOCK_BYTES
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches joined to stretches of about ``size`` bytes, so that queries are prepared less often."""
     ids, rows, n = [], [], 0
     for batch in batches:
         ids.append(_ids(batch.column(0)))
         rows.append(kernels.list_matrix(batch.column(1), width))
         n += batch.num_rows
-        if n * 8 * width >= BLOCK_BYTES:
+        if n * 8 * width >= size:
             yield np.concatenate(ids), np.concatenate(rows)
             ids, rows, n = [], [], 0
     if n:
@@ -130,13 +158,16 @@ def topk_scan(
     describe: Describe | None = None,
     without_self: bool = True,
     max_bytes: int = MAX_BYTES,
+    index: Callable[[np.ndarray], Index] | None = None,
+    index_rows: int = INDEX_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, dist) of the k nearest rows of ``base`` per query.
 
     ``base`` has vec_id and the array ``base_col`` of length ``width``; ``queries`` has query_id
     and vec. Inside the task ``prepare`` turns a few queries, and ``describe`` a few rows, into
     what ``score`` takes; ``score(q, rows)`` returns the |q| x |rows| distances, infinite for
-    rows that do not answer a query.
+    rows that do not answer a query. ``index`` lays out a long stretch of rows for search instead;
+    it must find the same rows at the same distances.
     """
     keep = k + 1 if without_self else k
     q_type = dict(queries.dtypes)["query_id"]
@@ -148,31 +179,35 @@ def topk_scan(
     )
     table = base.where(F.size(base_col) == width).select("vec_id", base_col)
     asked = queries.select("query_id", "vec")
-    rows = fetch(asked, "vec", STATE_FACTOR * max_bytes, row_bytes=16 * keep)
-
-    def scanned(block: list[Row]) -> DataFrame:
-        query_ids = np.array([r["query_id"] for r in block])
-        shipped = base.sparkSession.sparkContext.broadcast((query_ids, np.array([r["vec"] for r in block], dtype=float)))
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, matrix = shipped.value
-            best = _Best(len(matrix), keep)
-            for ids, x in _collected(batches, width):
-                _scan(best, matrix, ids, x, prepare, score, describe)
-            yield from best.table(query_ids, schema).to_batches()
-
-        return table.mapInArrow(whole, out_type)
-
-    if rows is not None:
-        partial = scanned(rows) if rows else base.sparkSession.createDataFrame([], out_type)
+    limit = STATE_FACTOR * max_bytes
+    rows = fetch(asked, "vec", limit, row_bytes=16 * keep)
+
+    def shipped_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, matrix = shipped.value
+        best = _Best(len(matrix), keep)
+        for ids, x in _collected(batches, width):
+            _scan(best, matrix, _parts(ids, x, describe, index, index_rows), prepare, score)
+        yield from best.table(query_ids, schema).to_batches()
+
+    def block_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _collected(batches, width, STRETCH_BYTES):
+            parts = _parts(ids, x, describe, index, index_rows)
+            for block in blocks:
+                vec = block.column("vec").combine_chunks()
+                matrix = kernels.list_matrix(vec, len(vec[0])).astype(float)
+                best = _Best(len(matrix), keep)
+                _scan(best, matrix, parts, prepare, score)
+                yield from best.table(_ids(block.column("query_id").combine_chunks()), schema).to_batches()
+
+    if rows is None:
+        blocks: Blocks = write_blocks(asked, "query_id", "vec", limit, row_bytes=16 * keep)
+        partial = table.mapInArrow(block_scan, out_type)
+    elif rows:
+        sent = np.array([r["query_id"] for r in rows]), np.array([r["vec"] for r in rows], dtype=float)
+        shipped = base.sparkSession.sparkContext.broadcast(sent)
+        partial = table.mapInArrow(shipped_scan, out_type)
     else:
-        n_queries, size = measured_bytes(asked, "vec")
-        n_blocks = max(1, -(-(size + 16 * keep * n_queries) // max(1, STATE_FACTOR * max_bytes)))
-        n_blocks = min(n_blocks, n_queries)
-        block_of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-        blocks = (asked.where(block_of == b).collect() for b in range(n_blocks))
-        parts = [scanned(block) for block in blocks if block]
-        partial = functools.reduce(DataFrame.unionByName, parts)
+        partial = base.sparkSession.createDataFrame([], out_type)
 
     if without_self:
         partial = partial.where(F.col("query_id") != F.col("vec_id"))

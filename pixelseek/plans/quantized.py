@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelseek.functions.codebooks import MAX_BYTES, Centers, local_table
+from pixelseek.operators.multi_index import MultiIndex
 from pixelseek.operators.quantizer import (
     cluster_stats,
     distance_tables,
@@ -23,8 +24,8 @@ from pixelseek.operators.ranking import (
     gallery,
     pq_curve,
 )
-from pixelseek.operators.relational import attach_labels, select_queries, with_dim
-from pixelseek.operators.scan import topk_scan
+from pixelseek.operators.relational import join_side, select_queries, with_dim
+from pixelseek.operators.scan import INDEX_ROWS, topk_scan
 
 # Iteration limit and stop rule.
 MAX_ITER, TOLERANCE = 100, 1e-10
@@ -90,10 +91,13 @@ def search_pq(
     k: int,
     without_self: bool = True,
     max_bytes: int = MAX_BYTES,
+    index_rows: int = INDEX_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, dist): the k nearest codes by asymmetric distance.
 
-    With ``without_self`` the query's own id is left out and exactly k others are kept.
+    With ``without_self`` the query's own id is left out and exactly k others are kept. Stretches
+    of at least ``index_rows`` codes are laid out by their first two groups, and buckets that cannot hold a
+    neighbour are skipped; the answer is that of the full scan.
     """
     # Centres are parameter-sized (groups x clusters x sub-dimension), whatever the number of images.
     book = fetch_centers(centers, None)
@@ -107,6 +111,8 @@ def search_pq(
         width=len(book.groups),
         without_self=without_self,
         max_bytes=max_bytes,
+        index=MultiIndex,
+        index_rows=index_rows,
     )
 
 
@@ -130,7 +136,11 @@ def evaluate_pq(
     queries: DataFrame, codes: DataFrame, centers: DataFrame, labels: DataFrame, k: int
 ) -> DataFrame:
     """Neighbours with query and hit labels; feed to ``hit_ratio`` or ``format_neighbours``."""
-    return attach_labels(search_pq(queries, codes, centers, k), labels)
+    # A query has k hits at most, so no key of the first join is hot; the search stands once in the plan.
+    own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
+    other = labels.select("vec_id", F.col("label").alias("hit_label"))
+    near = search_pq(queries, codes, centers, k)
+    return join_side(join_side(near, own, "query_id"), other, "vec_id")
 
 
 def sweep_pq(
