@@ -78,7 +78,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents written as shards and read back; sizes and digests are those of the written texts."""
     dealt = sharding.interleave(table(spark, sf_dir, "documents"), 8)
     folder = new_folder(spark, "shards")
-    sharding.write_shards(dealt, folder, rows_per_file=sharding.BUCKET_ROWS)
+    sharding.write_shards(dealt, folder)
     return spark.read.schema(dealt.schema).parquet(folder).select(
         "doc_id",
         (F.octet_length(_text()) + 1).cast("long").alias("size"),

@@ -38,6 +38,33 @@ def test_buckets_change_nothing_but_the_work(spark, checkpoint_dir):
     assert a != rows(sharding.interleave(d, 4, seed=1), "doc_id", "shard", "slot")
 
 
+@pytest.mark.parametrize("limits", [{}, {"bucket_rows": 7, "max_offsets": 0, "rows_per_file": 3}])
+def test_order_in_plain_python(spark, checkpoint_dir, limits):
+    """Ranks in each source by hash, fractions over all, equal cuts; rows repeated across several shards and files."""
+    t = table(90) + [(7, "again", "en", "big")] * 40 + [(1, "twice", "en", "s1")] * 2
+    d = docs(spark, t)
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(0), F.col("doc_id").cast("string")), 1)
+    keyed = d.select(*d.columns, h.alias("h"), F.xxhash64(*d.columns).alias("tie")).collect()
+    by_source = {}
+    for r in sorted(keyed, key=lambda r: (r["h"], r["tie"])):
+        by_source.setdefault("null" if r["source"] is None else "s" + r["source"], []).append(r)
+    order = sorted(
+        ((2 * i + 1) / (2 * len(rs)), source, i, r["doc_id"], r["text"]) for source, rs in by_source.items() for i, r in enumerate(rs)
+    )
+    starts = [-(-s * len(t) // 8) for s in range(9)]
+    want = [
+        (*order[at][3:], s, at - starts[s]) for s in range(8) for at in range(starts[s], starts[s + 1])
+    ]
+    got = sharding.interleave(d, 8, **limits)
+    assert rows(got, "doc_id", "text", "shard", "slot") == sorted(want, key=repr)
+
+
+def test_texts_are_shuffled_once(spark, checkpoint_dir):
+    plan = sharding.interleave(docs(spark, table()), 8)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "shard" in exchanges[0]
+
+
 def test_awkward_rows(spark, checkpoint_dir):
     t = [(1, "a", "en", "s")] * 3 + [(None, None, None, None), (2, "", "en", "s"), (1, "b", "en", "null")]
     d = clash(docs(spark, t), F)
