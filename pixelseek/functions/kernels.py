@@ -37,6 +37,19 @@ def list_matrix(col: pa.Array, width: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def stretches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to stretches of about ``size`` bytes."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield pa.concat_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def to_list_array(matrix: np.ndarray, arrow_type: pa.DataType) -> pa.Array:
     n, width = matrix.shape
     offsets = np.arange(n + 1, dtype=np.int32) * width

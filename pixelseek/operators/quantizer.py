@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelseek.functions import kernels
+from pixelseek.functions.blocks import write_blocks
 from pixelseek.functions.codebooks import MAX_BYTES, Centers, fetch
 from pixelseek.functions.hashing import hash_bucket
 from pixelseek.functions.vector import l2sq
-from pixelseek.operators.relational import join_side, salts_of, with_dim
+from pixelseek.operators.relational import join_side, with_dim
 
-BLOCK_CENTERS = 256
+# Bytes of sub-vectors that a task holds while blocks of centres go past, and distances made at once.
+STRETCH_BYTES = 64 << 20
+PAIRS = 1 << 20
 STATS = "gid int, cid int, n bigint, total array<double>, cost double"
 
 
@@ -58,39 +61,57 @@ def _assign_udf(centers: Centers):
 def assign(vectors: DataFrame, centers: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(vec_id, gid, cid, dist): nearest centre of each sub-vector, a narrow projection.
 
-    Centres beyond ``max_bytes`` are joined.
+    Centres beyond ``max_bytes`` are read in blocks.
     """
     book = fetch_centers(centers, max_bytes)
     if book is None:
-        return assign_joined(_cut_by_centers(vectors, centers), centers)
+        return assign_joined(_cut_by_centers(vectors, centers), centers, max_bytes)
     cells = _assign_udf(book)
     return with_dim(vectors, book.dim).select("vec_id", F.inline(cells("vec")))
 
 
-def assign_joined(subs: DataFrame, centers: DataFrame) -> DataFrame:
-    """The same for (vec_id, gid, sub) rows, by a join on the group.
+def assign_joined(subs: DataFrame, centers: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The same for (vec_id, gid, sub) rows and centre sets too large to ship.
 
-    For centre sets too large to ship. Centres meet sub-vectors in blocks of one group, and
-    the sub-vectors of a group are spread by image.
+    Centres are written to the shared folder in blocks, which tasks read past the sub-vectors they hold; each
+    sub-vector keeps its nearest. Ties take the lowest cid.
     """
-    salts = salts_of(subs.sparkSession)
-    blocks = max(1, -(-centers.count() // BLOCK_CENTERS))
-    packed = (
-        centers.groupBy("gid", hash_bucket(blocks, F.col("cid")).alias("block"))
-        .agg(F.collect_list(F.struct("cid", "c")).alias("cs"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    spread = subs.withColumn("salt", hash_bucket(salts, F.col("vec_id"))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    best = F.array_min(
-        F.transform(
-            "cs", lambda c: F.struct(l2sq(F.col("sub"), c["c"]).alias("dist"), c["cid"].alias("cid"))
-        )
-    )
-    met = spread.join(packed, ["gid", "block", "salt"]).select("vec_id", "gid", best.alias("best"))
-    least = met.groupBy("vec_id", "gid").agg(F.min("best").alias("best"))
-    return least.select("vec_id", "gid", "best.cid", "best.dist")
+    blocks = write_blocks(centers.select("gid", "cid", "c"), "cid", "c", max_bytes)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stretch in kernels.stretches(batches, STRETCH_BYTES):
+            gid = stretch.column(1).to_numpy()
+            dist, cid = np.full(len(gid), np.inf), np.zeros(len(gid), dtype=np.int32)
+            subs = list(kernels.list_rows(stretch.column(2)))
+            for block in blocks:
+                for at, book in kernels.list_rows(block.column("c").combine_chunks()):
+                    gids, cids = block.column("gid").to_numpy()[at], block.column("cid").to_numpy()[at]
+                    for rows, x in (g for g in subs if g[1].shape[1] == book.shape[1]):
+                        for g in np.unique(gids):
+                            own = np.flatnonzero(gids == g)
+                            own = own[np.argsort(cids[own])]
+                            _keep_nearest(x, rows, gid[rows] == g, cids[own], book[own], dist, cid)
+            met = np.flatnonzero(np.isfinite(dist))
+            columns = [stretch.column(0).take(pa.array(met)), pa.array(gid[met], pa.int32())]
+            columns += [pa.array(cid[met], pa.int32()), pa.array(dist[met], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "gid", "cid", "dist"])
+
+    rows = subs.select("vec_id", F.col("gid").cast("int").alias("gid"), "sub")
+    return rows.mapInArrow(nearest, f"vec_id {dict(subs.dtypes)['vec_id']}, gid int, cid int, dist double")
+
+
+def _keep_nearest(
+    x: np.ndarray, rows: np.ndarray, mask: np.ndarray, cids: np.ndarray, book: np.ndarray, dist: np.ndarray, cid: np.ndarray
+) -> None:
+    """Update (dist, cid) of the masked rows where a centre is nearer, or as near and lower."""
+    places = np.flatnonzero(mask)
+    step = max(1, PAIRS // len(book))
+    for a in range(0, len(places), step):
+        part = places[a : a + step]
+        found, d = kernels.nearest(x[part], cids, book)
+        at = rows[part]
+        better = (d < dist[at]) | ((d == dist[at]) & (found < cid[at]))
+        dist[at[better]], cid[at[better]] = d[better], found[better]
 
 
 def centroids(assigned: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ class Index(Protocol):
         """(query number, row number, distance); rows that can't be among the k nearest may be among them."""
 
 
-class _Best:
+class BestOf:
     """The k nearest (distance, id) seen so far for each query; ties keep the lowest id."""
 
     def __init__(self, n_queries: int, k: int) -> None:
@@ -59,14 +59,14 @@ class _Best:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, first: int, dist: np.ndarray, ids: np.ndarray) -> None:
-        """Distances (queries from number ``first`` on x rows)."""
-        limit = self.limit[first : first + len(dist)]
+    def add_rows(self, rows: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
+        """Distances |rows| x |ids|; ``rows`` are numbers of different queries."""
+        limit = self.limit[rows]
         if dist.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
-            self.limit[first : first + len(dist)] = limit
+            self.limit[rows] = limit
         q, at = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
-        self.add_found(q + first, dist[q, at], ids[at])
+        self.add_found(rows[q], dist[q, at], ids[at])
 
     def add_found(self, q: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
         if not len(q):
@@ -89,6 +89,14 @@ class _Best:
         self.parts = [(q[keep], dist[keep], ids[keep])]
         self.held = int(keep.sum())
 
+    def ranked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, distance, id, rank from 1), in that order."""
+        self.merge()
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        ((q, dist, ids),) = self.parts
+        return q, dist, ids, 1 + np.arange(len(q)) - np.searchsorted(q, q)
+
     def table(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.Table:
         self.merge()
         if not self.parts:
@@ -120,15 +128,16 @@ def _parts(
     ]
 
 
-def _scan(best: _Best, queries: np.ndarray, parts: list, prepare: Prepare, score: Score) -> None:
+def _scan(best: BestOf, queries: np.ndarray, parts: list, prepare: Prepare, score: Score) -> None:
     for b in range(0, len(queries), QUERY_STEP):
         prepared = prepare(queries[b : b + QUERY_STEP])
+        numbers = np.arange(b, min(b + QUERY_STEP, len(queries)))
         for ids, part, indexed in parts:
             if indexed:
                 q, at, dist = part.search(prepared, best.limit[b : b + QUERY_STEP], best.k)
                 best.add_found(q + b, dist, ids[at])
             else:
-                best.add(b, score(prepared, part), ids)
+                best.add_rows(numbers, score(prepared, part), ids)
 
 
 def _collected(
@@ -184,7 +193,7 @@ def topk_scan(
 
     def shipped_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix = shipped.value
-        best = _Best(len(matrix), keep)
+        best = BestOf(len(matrix), keep)
         for ids, x in _collected(batches, width):
             _scan(best, matrix, _parts(ids, x, describe, index, index_rows), prepare, score)
         yield from best.table(query_ids, schema).to_batches()
@@ -195,7 +204,7 @@ def topk_scan(
             for block in blocks:
                 vec = block.column("vec").combine_chunks()
                 matrix = kernels.list_matrix(vec, len(vec[0])).astype(float)
-                best = _Best(len(matrix), keep)
+                best = BestOf(len(matrix), keep)
                 _scan(best, matrix, parts, prepare, score)
                 yield from best.table(_ids(block.column("query_id").combine_chunks()), schema).to_batches()
 

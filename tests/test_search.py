@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelseek.functions.blocks import write_blocks
 from pixelseek.operators import quantizer as pq
+from pixelseek.operators import words as wd
 from pixelseek.operators.multi_index import MultiIndex
 from pixelseek.plans import quantized as jobs
 from tests.test_quantizer import as_queries, vectors
@@ -113,3 +114,44 @@ def test_evaluation_holds_one_search(spark, name):
     import __spark_entry__ as entry
 
     assert scans(entry.queries()[name](spark, "/root/testdata/sf0.001")) == 2
+
+
+WORD_FNS = {
+    "distances": lambda v, w, b: wd.word_distances(v, w, max_bytes=b),
+    "soft": lambda v, w, b: wd.soft_assign(v, w, max_bytes=b),
+    "knn": lambda v, w, b: wd.knn(v, w, 3, "l2sq", max_bytes=b),
+}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+@pytest.mark.parametrize("fn", WORD_FNS)
+def test_words_in_blocks(spark, fn, kind):
+    """Vectors and words of two lengths, ties, equal words, a third of the vectors copies."""
+    rng = np.random.default_rng(8)
+    m = rng.integers(1, 4, size=(90, 4)).astype(float)
+    m[:30] = m[0]
+    v = vectors(spark, m, kind).unionByName(vectors(spark, m[:5, :2] + 1, kind)).repartition(3)
+    book = [(i, [float(x) for x in row]) for i, row in enumerate(rng.integers(1, 4, size=(40, 4)))]
+    book += [(100 + i, [float(i), 1.0]) for i in range(3)] + [(200, []), (201, None)]
+    words = spark.createDataFrame(book, "word_id int, wv array<double>")
+    whole, blocks = (WORD_FNS[fn](v, words, b) for b in (64 << 20, 500))
+    assert whole.schema.simpleString() == blocks.schema.simpleString()
+    told = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert told(whole) == told(blocks) and told(whole)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Generate ", "Window ", "Exchange hashpartitioning(vec_id", "SortMergeJoin"))
+
+
+def test_equal_words_give_no_word(spark):
+    words = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "word_id int, wv array<double>")
+    assert wd.soft_assign(vectors(spark, [[3.0, 3.0]]), words, max_bytes=1).count() == 0
+
+
+def test_centres_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    v = vectors(spark, np.repeat(rng.normal(size=(40, 7)), 2, axis=0))
+    centers = jobs.fit_pq(v, 3, 9, max_iter=3)
+    whole, blocks = (pq.assign(v, centers, max_bytes=b) for b in (64 << 20, 200))
+    assert sorted(blocks.collect()) == sorted(whole.select(blocks.columns).collect())
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert not any(f"{node} " in plan for node in ("Exchange", "SortMergeJoin", "BroadcastHashJoin"))
