@@ -233,7 +233,8 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # A text that holds the string of an added token is encoded by the library as a whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.spelling = dict(enumerate(_byte_letters()))
         self.memory = Memory(REMEMBERED)
@@ -281,6 +282,14 @@ class ByteBpe:
         self.memory.add(units, np.array(numbers), np.frombuffer(ids, np.uint32), np.array(sizes))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        marked = [any(a in t for a in self.added) for t in texts]
+        plain = iter(self._plain([t for t, m in zip(texts, marked) if not m]))
+        whole = iter(
+            self.tokenizer.encode_batch_fast([t for t, m in zip(texts, marked) if m], add_special_tokens=False)
+        )
+        return [np.array(next(whole).ids, dtype=np.uint32) if m else next(plain) for m in marked]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         cps = code_points("".join(texts))
         ends = np.cumsum([len(t) for t in texts])
         if not len(cps):

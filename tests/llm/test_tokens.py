@@ -50,12 +50,18 @@ def test_file(tmp_path, monkeypatch):
     assert file.nulls.tolist() == [1, 0, 0, 0, 0]
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "  <|endoftext|><|endoftext|>\n", "<|endoftext", "x" * 9000 + "<|endoftext|>y"]
+
+
+def test_added_tokens():
+    assert [x.tolist() for x in dac.ByteBpe(BPE)(ADDED[:2])] == [[64, 220, 50256, 275], [50256]]
+
+
 def test_byte_bpe(monkeypatch):
     library = Tokenizer.from_file(BPE)
-    library.encode_special_tokens = True
     monkeypatch.setattr(dac, "REMEMBERED", 3000)
     encode = dac.ByteBpe(BPE)
-    texts = ODD + random_texts(800)
+    texts = ADDED + ODD + random_texts(800) + ADDED
     for start in range(0, len(texts), 100):
         part = texts[start : start + 100]
         got = [x.tolist() for x in encode(part)]
@@ -64,8 +70,7 @@ def test_byte_bpe(monkeypatch):
 
 def test_written_and_read(spark, checkpoint_dir):
     library = Tokenizer.from_file(BPE)
-    library.encode_special_tokens = True
-    table = [(i * 3 % 101, t, "en", "s") for i, t in enumerate(ODD + random_texts(40))]
+    table = [(i * 3 % 101, t, "en", "s") for i, t in enumerate(ADDED + ODD + random_texts(40))]
     table += [(None, "no id", None, None), (500, None, "en", "s"), (500, "same id", "en", "s"), (500, "same id", "en", "s")]
     manifest = dac.write_ids(clash(docs(spark, table), F), lambda: dac.byte_bpe(BPE), 2)
     got = sorted(dac.read_ids(manifest).collect(), key=lambda r: r["start"])
