@@ -13,12 +13,12 @@ scored one by one; an empty table gives an empty table; columns of other names a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +31,8 @@ MAX_SAMPLE = 6000
 UNKNOWN = "und"
 
 _PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+# A character of a Unicode category L; the re module's classes also take numbers such as ½ and ① for letters.
+_LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
 
