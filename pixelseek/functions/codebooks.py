@@ -8,6 +8,7 @@ beyond it; callers then take a join-based way.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,6 +86,13 @@ def use_checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the checkpoint folder and read from there: later uses don't compute it again."""
+    folder = f"{use_checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder of intermediate files, wherever it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

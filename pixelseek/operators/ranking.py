@@ -10,6 +10,8 @@ from pixelseek.operators.relational import all_ranked, hot_join, join_side, labe
 
 # The grid is 10, 20 ... 100, 200 ... 5000.
 FINE_STEP, FINE_END, COARSE_STEP, MAX_K = 10, 100, 100, 5000
+# Ranks of a list that are counted in one window.
+RANGE_ROWS = 100_000
 
 
 def k_values(max_k: int = MAX_K) -> list[int]:
@@ -49,11 +51,24 @@ def top_hits(scored: DataFrame, max_k: int | None = None, tie: str = "vec_id") -
     return top_ranked(scored, max_k, ["dist", tie])
 
 
-def cum_matches(ranked: DataFrame) -> DataFrame:
-    """Running count of hits that carry the query's label, by rank."""
-    run = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+def cum_matches(ranked: DataFrame, max_k: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Running count of hits that carry the query's label, by rank.
+
+    Lists cut to ``max_k`` are counted in one window each. Without a bound counts run inside ranges of ``range_rows``
+    ranks, and the sums of earlier ranges are added, so no task holds one query's whole list.
+    """
     same = (F.col("query_label") == F.col("hit_label")).cast("int")
-    return ranked.withColumn("matches", F.sum(same).over(run).cast("int"))
+    if max_k is not None:
+        run = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+        return ranked.withColumn("matches", F.sum(same).over(run).cast("int"))
+    cut = ranked.withColumn("_range", F.floor((F.col("rank") - 1) / range_rows))
+    sums = cut.groupBy("query_id", "_range").agg(F.sum(same).alias("_n"))
+    earlier = Window.partitionBy("query_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("query_id", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    run = Window.partitionBy("query_id", "_range").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    counted = cut.withColumn("_inside", F.coalesce(F.sum(same).over(run), F.lit(0))).join(offsets, ["query_id", "_range"])
+    matches = (F.col("_before") + F.col("_inside")).cast("int")
+    return counted.select(*ranked.columns, matches.alias("matches"))
 
 
 def class_counts(labels: DataFrame) -> DataFrame:
@@ -79,10 +94,10 @@ def at_k(cumulated: DataFrame, max_k: int, short_lists: str) -> DataFrame:
     """(query_id, query_label, k, shown, matches) for every k of the grid.
 
     One ranked pass serves all k: the row at rank min(k, list length) answers for k. ``shown``
-    is k, or the list length when ``short_lists`` is "clamp".
+    is k, or the list length when ``short_lists`` is "clamp". Ranks beyond the grid answer for none.
     """
     grid = F.array(*[F.lit(k) for k in k_values(max_k)])
-    ends = cumulated.withColumn("last", F.max("rank").over(Window.partitionBy("query_id")))
+    ends = cumulated.where(F.col("rank") <= max_k).withColumn("last", F.max("rank").over(Window.partitionBy("query_id")))
     answers = F.explode(F.filter(grid, lambda k: F.least(k, F.col("last")) == F.col("rank")))
     shown = F.col("rank") if short_lists == "clamp" else F.col("k")
     return ends.select("query_id", "query_label", "rank", "matches", answers.alias("k")).select(

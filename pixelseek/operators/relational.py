@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelseek.functions.codebooks import MAX_BYTES, measured_bytes
+from pixelseek.functions.codebooks import MAX_BYTES, measured_bytes, stored
 from pixelseek.functions.hashing import hash_bucket
 from pixelseek.functions.vector import subvector_array
 
 SALTS = 32
 HOT_ROWS = 100_000
-RANK_RANGES = 256
+RANK_RANGES = 32
+# Bits of a row's number in Spark's increasing ids.
+PLACE_BITS = 33
 TASKS_PER_MERGE, SMALL_K = 32, 100
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
@@ -125,26 +127,33 @@ def top_ranked(df: DataFrame, k: int, order: list[str], merges: int | None = Non
     return df.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
 
 
+def in_ranges(df: DataFrame, order: list[str], ranges: int) -> DataFrame:
+    """Stored rows with ``_place``: the number of the range in the upper bits, of the row in its range in the lower ones."""
+    sorted_ = df.repartitionByRange(ranges, "query_id", *order).sortWithinPartitions("query_id", *order)
+    return stored(sorted_.withColumn("_place", F.monotonically_increasing_id()), "ranges")
+
+
 def all_ranked(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
-    """Add ``rank`` within query_id to all rows.
+    """Add ``rank`` within query_id to all rows; ``order`` ends with a column that tells equal rows apart.
 
-    Rows are cut into ranges of the first order column, whose quantiles Spark estimates per query;
-    a rank is the place within the range plus the rows in earlier ranges. One query's rows so meet
-    in many tasks. The counts have one row per query and range.
+    Rows are cut into ranges of (query_id, order) by splitters that Spark samples, sorted and stored with their place
+    in the range. A long list, and a part of it that has one distance, so lies in many ranges, split by id. A rank is
+    the row's place in the whole order less that of the query's first row: of each range only its length reaches the
+    driver, of each query its first place is joined.
     """
-    n = ranges or min(RANK_RANGES, salts_of(df.sparkSession))
-    marks = F.percentile_approx(order[0], [i / n for i in range(1, n)], 1000)
-    bounds = df.groupBy("query_id").agg(F.coalesce(marks, F.array().cast("array<double>")).alias("_bounds"))
-    first = F.col(order[0])
-    piece = F.size(F.filter("_bounds", lambda b: b < first))
-    cut = join_side(df, bounds, "query_id", array_col="_bounds").withColumn("_piece", piece).drop("_bounds")
-    counts = cut.groupBy("query_id", "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("query_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("query_id", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("query_id", "_piece").orderBy(*order)
-    numbered = cut.withColumn("_at", F.row_number().over(inside))
-    ranked = join_side(numbered, offsets, ["query_id", "_piece"])
-    return ranked.withColumn("rank", (F.col("_before") + F.col("_at")).cast("int")).drop("_piece", "_at", "_before")
+    rows = in_ranges(df, order, ranges or max(RANK_RANGES, salts_of(df.sparkSession)))
+    piece = F.shiftright("_place", PLACE_BITS).cast("int")
+    sizes = rows.groupBy(piece.alias("_range")).agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
+    starts, before = [], 0
+    for r in sizes:
+        starts.append((r["_range"], before))
+        before += r["n"]
+    offsets = df.sparkSession.createDataFrame(starts, "_range int, _before bigint")
+    at = F.col("_before") + F.col("_place").bitwiseAND((1 << PLACE_BITS) - 1)
+    placed = rows.withColumn("_range", piece).join(F.broadcast(offsets), "_range").withColumn("_at", at)
+    firsts = placed.groupBy("query_id").agg(F.min("_at").alias("_first"))
+    ranked = join_side(placed, firsts, "query_id").withColumn("rank", (F.col("_at") - F.col("_first") + 1).cast("int"))
+    return ranked.drop("_place", "_range", "_before", "_at", "_first")
 
 
 def label_name(label: Column) -> Column:

@@ -148,5 +148,5 @@ def sweep_pq(
 ) -> DataFrame:
     """Quality for every k of the grid, from one search at the largest k."""
     ranked = evaluate_pq(queries, codes, centers, labels, max_k)
-    at = at_k(cum_matches(ranked), max_k, short_lists="keep")
+    at = at_k(cum_matches(ranked, max_k), max_k, short_lists="keep")
     return pq_curve(at, class_counts(labels))

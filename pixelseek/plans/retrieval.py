@@ -136,7 +136,7 @@ def search_and_rank(
 
 
 def report(best: DataFrame, queries: DataFrame, labels: DataFrame, max_k: int) -> DataFrame:
-    at = at_k(cum_matches(_with_labels(best, queries, labels)), max_k, short_lists="clamp")
+    at = at_k(cum_matches(_with_labels(best, queries, labels), max_k), max_k, short_lists="clamp")
     return pr_curve(pr_per_query(at, class_counts(labels)))
 
 
@@ -171,5 +171,5 @@ def pr_report(
 ) -> DataFrame:
     """(k, precision, recall, accuracy) of a result set."""
     ranked = ranked_hits(hits, queries, vectors, labels, max_k, metric, without_self)
-    at = at_k(cum_matches(ranked), max_k, short_lists="clamp")
+    at = at_k(cum_matches(ranked, max_k), max_k, short_lists="clamp")
     return pr_curve(pr_per_query(at, class_counts(labels)))

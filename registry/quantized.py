@@ -267,7 +267,7 @@ def q4(spark, sf):
 def x9(spark, sf):
     centers, codes = _model(spark, sf)
     labelled = jobs.evaluate_pq(_queries(spark, sf), codes, centers, views.labels(spark, sf), SWEEP_K)
-    at = rk.at_k(rk.cum_matches(labelled), SWEEP_K, "keep")
+    at = rk.at_k(rk.cum_matches(labelled, SWEEP_K), SWEEP_K, "keep")
     return at.select("query_id", "query_label", "k", "matches")
 
 
@@ -292,7 +292,7 @@ def g10(spark, sf):
     centers, codes = _model(spark, sf)
     labels = views.labels(spark, sf)
     labelled = jobs.evaluate_pq(_queries(spark, sf), codes, centers, labels, SWEEP_K)
-    curve = rk.pq_curve(rk.at_k(rk.cum_matches(labelled), SWEEP_K, "keep"), rk.class_counts(labels))
+    curve = rk.pq_curve(rk.at_k(rk.cum_matches(labelled, SWEEP_K), SWEEP_K, "keep"), rk.class_counts(labels))
     return curve.select("k", *[r6(c).alias(c) for c in ("precision", "recall", "accuracy")])
 
 

@@ -191,3 +191,34 @@ def test_nearest_words_are_narrow(spark, images, words):
     near = wd.knn(images, words, 1)
     assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
     assert {(r.vec_id, r.word_id) for r in near.collect()} == {("a", 0), ("b", 1), ("c", 0)}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_one_distance_is_ranked_in_many_tasks(spark, kind):
+    """A third of all rows belong to one query and have one distance."""
+    hits = [(7, i, 0.5) for i in range(4000)] + [(7, 4000 + i, i / 4000) for i in range(4000)]
+    hits += [(i % 5, 9000 + i, float(i % 3)) for i in range(4000)]
+    name = (lambda i: i) if kind == "bigint" else (lambda i: f"img{i:05d}")
+    rows = [(q, name(i), d) for q, i, d in hits]
+    scored = spark.createDataFrame(rows, f"query_id long, vec_id {kind}, dist double").repartition(6)
+    got = rk.top_hits(scored)
+    want, last = [], {}
+    for q, i, d in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        last[q] = last.get(q, 0) + 1
+        want.append((q, i, d, last[q]))
+    assert sorted(map(tuple, got.select("query_id", "vec_id", "dist", "rank").collect())) == sorted(want)
+    ranges = rel.in_ranges(scored, ["dist", "vec_id"], 12)
+    sizes = [r["count"] for r in ranges.groupBy(F.shiftright("_place", rel.PLACE_BITS)).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 2.5 * len(rows) / 12
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("range_rows", [1, 3, 1000])
+def test_running_matches_in_ranges(spark, range_rows):
+    ranked = [(1, k, 1, 1 + (k % 3 > 0)) for k in range(1, 40)] + [(2, k, 2, 1 if k % 2 else None) for k in range(1, 6)]
+    df = spark.createDataFrame(ranked, "query_id int, rank int, query_label int, hit_label int")
+    got = rk.cum_matches(df, range_rows=range_rows)
+    assert {(r.query_id, r.rank): r.matches for r in got.collect()} == {
+        (q, k): sum(a == b for p, j, a, b in ranked if p == q and j <= k) for q, k, _, _ in ranked
+    }
+    assert got.dtypes == rk.cum_matches(df, max_k=50).dtypes
