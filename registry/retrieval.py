@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import registry.base  # noqa: F401
 from pixelseek import views
+from pixelseek.functions.codebooks import use_checkpoint_folder
 from pixelseek.operators import postings as po
 from pixelseek.operators import ranking as rk
 from pixelseek.operators import relational as rel
 from pixelseek.operators import words as wd
 from pixelseek.plans import retrieval as jobs
+from pixelseek.sources import index_store as st
 from registry import r6, register
 
 
@@ -166,6 +171,30 @@ def i2(spark, sf):
     return _search(spark, sf)[1]
 
 
+def _stored(spark, sf):
+    """(folder, query words): an index of the even images, to which the odd ones and some even ones are added."""
+    folder = os.path.join(use_checkpoint_folder(spark), f"index-{uuid.uuid4().hex}")
+    vectors, words, asked = views.histograms(spark, sf), views.words(spark, sf), views.class_queries(spark, sf)
+    for part in ("vec_id % 2 = 0", "vec_id % 2 = 1 OR vec_id % 10 = 4"):
+        st.append_postings(jobs.build_index(vectors.where(part), words), folder)
+    return folder, jobs.query_words(asked, words)
+
+
+@register("i2_stored_index", "SELECT query_id, vec_id FROM hits", "hits")
+def i2_stored(spark, sf):
+    """The same search on an index that was stored and added to."""
+    folder, asked = _stored(spark, sf)
+    return st.search_store(asked, folder)
+
+
+@register("i1_merged_index", "SELECT word_id, vec_id, round(weight, 6) AS weight FROM postings", "postings")
+def i1_merged(spark, sf):
+    """The stored index after its segments were merged."""
+    folder, _ = _stored(spark, sf)
+    st.merge_segments(spark, folder)
+    return st.read_postings(spark, folder).select("word_id", "vec_id", r6("weight").alias("weight"))
+
+
 @register(
     "p3_nonblank",
     """SELECT word_id, vec_id FROM (SELECT word_id::VARCHAR AS word_id,
