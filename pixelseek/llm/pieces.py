@@ -9,7 +9,8 @@ Which score makes the best path the model's own segmentation? Byte-pair merging
 neighbours stay apart when merged by themselves, and only one has this property. So a piece may follow the piece before
 it only if the pair passes that test (merges undone from the latest to the earliest, none across the border being due
 before), and of the pieces that may, the longest one is the maximum. Units with runs of blanks, whose pieces tie in
-score, and units over ``LONGEST`` characters are merged pair by pair with a heap, in time n log n.
+score, are merged pair by pair with a heap, in time n log n. A unit over ``LONGEST`` characters (texts without blanks)
+goes through the same search by itself, with all its substrings probed at once, length by length.
 
 Defined cases: null and empty texts have no pieces; unknown characters become their UTF-8 bytes' pieces; the sign that
 stands for blanks inside pieces (U+2581) reads back as a blank when a text holds it, as in the library, and ``exact`` is
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pixelseek.llm.units import BACK, BASE, Memory, Units, code_points, in_parts, letters, powers, split_by_text
 
 BLANK = "▁"
+#: Longer units are searched one by one.
 LONGEST = 256
 #: Characters of texts that are encoded side by side.
 BATCH_CHARS = 1 << 20
@@ -208,12 +210,52 @@ class Encoder:
         order = np.argsort(owner, kind="stable")
         return ids[order], np.bincount(owner, minlength=n)
 
+    def viterbi_one(self, cps: np.ndarray) -> np.ndarray:
+        """Pieces of one unit of any length, in memory and time that grow with it."""
+        p, n = self.pieces, len(cps)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(letters(cps) * powers(BASE, n), dtype=np.uint64, out=sums[1:])
+        back = powers(BACK, n + 1)
+        ends, ids = [], []
+        for length in range(min(p.longest, n), 0, -1):
+            found = p.find((sums[length:] - sums[:-length]) * back[: n - length + 1])
+            at = np.flatnonzero(found >= 0)
+            ends.append(at + length)
+            ids.append(found[at])
+        ends, ids = np.concatenate(ends), np.concatenate(ids)
+        # By end, the longest piece first.
+        order = np.argsort(ends, kind="stable")
+        ends, ids = ends[order], ids[order]
+        last = [int(_NONE)] * (n + 1)
+        fits: dict[tuple[int, int], bool] = {}
+        for end, piece, start in zip(ends.tolist(), ids.tolist(), (ends - p.length[ids]).tolist()):
+            if last[end] >= 0:
+                continue
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                pair = before, piece
+                if pair not in fits:
+                    fits[pair] = bool(self.may_follow(np.array([before], np.int32), np.array([piece], np.int32))[0])
+                if not fits[pair]:
+                    continue
+            last[end] = piece
+        out, at = [], n
+        while at:
+            if last[at] < 0:
+                raise ValueError("a unit without a segmentation")
+            out.append(last[at])
+            at -= int(p.length[last[at]])
+        return np.array(out[::-1], dtype=np.int32)
+
     def _learn(self, units: Units, new: np.ndarray, known: np.ndarray) -> None:
         p, cps = self.pieces, units.cps
         starts, lengths = units.starts[new], units.lengths[new]
         ids, sizes, numbers = [], [], []
         first_two = (lengths > 1) & (cps[starts] == ord(BLANK))
         first_two[first_two] = cps[starts[first_two] + 1] == ord(BLANK)
+        runs = first_two & known[starts]
         plain = (lengths <= LONGEST) & ~first_two & known[starts]
         for length in np.unique(lengths[plain]):
             who = np.flatnonzero(plain & (lengths == length))
@@ -221,10 +263,12 @@ class Encoder:
             ids.append(flat)
             sizes.append(n)
             numbers.append(new[who])
-        for k in new[~plain]:
+        for k, run in zip(new[~plain], runs[~plain]):
             unit = units.text(k)
-            if known[units.starts[k]]:
+            if run:
                 one = np.array(p.merge(unit), dtype=np.int32)
+            elif known[units.starts[k]]:
+                one = self.viterbi_one(code_points(unit))
             else:
                 one = p.bytes_ids[np.frombuffer(unit.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
             ids.append(one)

@@ -107,6 +107,27 @@ def test_viterbi_equals_the_library(model, monkeypatch):
         assert pieces.decode(model, ids.tolist()) == text
 
 
+def test_long_units_take_the_same_search(model, monkeypatch):
+    """Texts without a blank, of 5000 characters and more: never the heap, and the library's ids."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(11)
+    letters_ = [c for c in {c for t in model.text[300:] for c in t} if c != "▁"]
+    texts = [
+        "".join(rng.choices("ab", k=5000)),
+        "a" * 6000,
+        "".join(rng.choices(letters_, k=5000)),
+        "".join(t.replace("▁", "") for t in rng.choices(model.text[300:], k=3000)),
+        "https://example.org/" + "/".join(rng.choices(["index", "page", "12", "ü"], k=2000)),
+    ]
+    monkeypatch.setattr(pieces.Pieces, "merge", lambda *a: pytest.fail("a heap merge"))
+    encode = pieces.Encoder(model)
+    for text, ids in zip(texts, encode(texts)):
+        assert ids.tolist() == library.encode(text), text[:50]
+    for unit in ["▁hello", "▁internationalisation", "xyzzy", "überall", "a"]:
+        flat, _ = encode.viterbi(pieces.code_points(unit)[None, :])
+        assert encode.viterbi_one(pieces.code_points(unit)).tolist() == flat.tolist()
+
+
 def test_heap_merge_equals_viterbi(model):
     encode = pieces.Encoder(model)
     for unit in ["▁hello", "▁internationalisation", "xyzzy", "aaaaaaa", "▁123", "überall"]:
