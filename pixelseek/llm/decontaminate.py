@@ -42,18 +42,28 @@ UNITS = (
 
 # Marks of placeholders: private-use characters, removed from the texts first.
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
+# In front of a token: it is capitalised, and it is so inside a sentence.
+CAPITALISED, WITHIN = "\ue004", "\ue005"
 _WORD = r"[\p{L}\p{M}]+"
 _NAME = rf"(?<=[\p{{L}}\p{{N}},;] )(?=\p{{Lu}})({_WORD})"
 _NUMBER = r"(\p{Nd}+(?:[.,]\p{Nd}+)*)"
 _CAPITAL = rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})({_WORD})"
 # Views, by what a name is; the first is the one by which an item's windows are counted.
 INSIDE, CAPITAL, NO_NAME = VIEWS = (_NAME, _CAPITAL, None)
+_UNIT_OR_NAME = (
+    rf"(?i)({NUMBER}\s{{0,2}})((?:{CAPITALISED}{WITHIN}?)?)"
+    rf"(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
+)
 _UNIT = rf"(?i)({NUMBER}[\p{{Nd}}.,]*\s{{0,2}})({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
 
 
 def _bare(text: Column) -> Column:
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(f"[{NAME}{NUMBER}{UNIT}]"), F.lit(""))
-    return F.regexp_replace(t, F.lit(r"[\s\p{Z}\x{85}]+"), F.lit(" "))
+    """The text without marks, each run of white space as one blank; single blanks, the most, are no match."""
+    t = F.coalesce(text, F.lit(""))
+    # All marks begin with the same two bytes, which few texts hold.
+    marked = F.contains(t.cast("binary"), F.lit(NAME.encode()[:2]))
+    t = F.when(marked, F.translate(t, NAME + NUMBER + UNIT + CAPITALISED + WITHIN, "")).otherwise(t)
+    return F.regexp_replace(t, F.lit(r" *[\s\p{Z}\x{85}&&[^ ]][\s\p{Z}\x{85}]*| {2,}"), F.lit(" "))
 
 
 def _names(text: Column, view: str | None, by: str) -> Column:
@@ -109,20 +119,56 @@ def _part(tokens: Column, start: Column, window: int) -> list[Column]:
 
 
 def _hash(words: list[Column]) -> Column:
-    return F.xxhash64(*words)
+    """Of the tokens' hashes; tokens beyond the end are null."""
+    return F.xxhash64(*[F.when(w.isNotNull(), F.xxhash64(w)) for w in words])
 
 
-def _window_hashes(tokens: Column, window: int) -> Column:
-    return bound(tokens, lambda ws: F.transform(_starts(ws, window), lambda i: _hash(_part(ws, i, window))))
-
-
-def _view_hashes(text: Column, window: int) -> Column:
-    """The different hashes of the text's windows in all views."""
+def _view_tokens(bare: Column) -> Column:
+    """The tokens of all views at once: those without names, behind marks where other views may have a name."""
+    t = F.regexp_replace(bare, F.lit(r"(?=\p{Lu})(?<![\p{L}\p{M}])"), F.lit(CAPITALISED))
+    within = rf"{CAPITALISED}(?<=[\p{{L}}\p{{N}},;] {CAPITALISED})"
+    t = F.regexp_replace(t, F.lit(within), F.lit(CAPITALISED + WITHIN))
+    t = F.regexp_replace(t, F.lit(_NUMBER), F.lit(f" {NUMBER} "))
+    t = F.regexp_replace(t, F.lit(_UNIT_OR_NAME), F.lit(f"$1 $2{UNIT} "))
+    marks = NAME + NUMBER + UNIT + CAPITALISED + WITHIN
+    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}{marks}]+"), "")
+
+
+def view_hashes(rows: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
+    """(key, h) of the windows of the texts in all views, equal ones not yet merged.
+
+    A token is hashed once, a window from the hashes of its tokens. Views differ by tokens that may be names, so the
+    windows of the other views are looked at only where they hold such a token."""
+    name = F.xxhash64(F.lit(NAME))
+
+    def kind(t: Column) -> Column:
+        """0: never a name, 1: a capital, 2: one inside a sentence; as many marks stand in front."""
+        return F.when(t.startswith(CAPITALISED), F.when(t.startswith(CAPITALISED + WITHIN), 2).otherwise(1)).otherwise(0)
+
+    def word(t: Column, k: Column) -> Column:
+        return F.xxhash64(F.when(k > 0, F.substring(t, k + 1, F.lit(1 << 30))).otherwise(t))
+
+    tokens = rows.select(key, _view_tokens(_bare(F.col("text"))).alias("ts"))
+    tokens = tokens.select(key, "ts", F.transform("ts", kind).alias("kinds"))
+    words = tokens.select(key, "kinds", F.zip_with("ts", "kinds", word).alias("none"))
+    views = words.select(
+        key,
+        "none",
+        F.zip_with("none", "kinds", lambda h, k: F.when(k == 2, name).otherwise(h)).alias("inside"),
+        F.zip_with("none", "kinds", lambda h, k: F.when(k > 0, name).otherwise(h)).alias("capital"),
+        F.array_compact(F.transform("kinds", lambda k, i: F.when(k > 0, i + 1))).alias("at"),
+    )
+    last = F.greatest(F.size("inside") - window + 1, F.lit(1))
+    around = F.transform(
+        "at", lambda i: F.sequence(F.greatest(i - window + 1, F.lit(1)), F.least(i, last))
+    )
+    starts = views.select("*", _starts(F.col("inside"), window).alias("all"), F.array_distinct(F.flatten(around)).alias("some"))
 
-    def every(bare: Column) -> Column:
-        return F.array_distinct(F.concat(*[_window_hashes(_template(bare, view), window) for view in VIEWS]))
+    def hashed(view: str, at: str) -> Column:
+        return F.transform(at, lambda i: F.xxhash64(*_part(F.col(view), i, window)))
 
-    return bound(_bare(text), every)
+    every = F.concat(hashed("inside", "all"), hashed("capital", "some"), hashed("none", "some"))
+    return starts.select(key, F.explode(every).alias("h"))
 
 
 def slot_windows(rows: DataFrame, key: str, window: int) -> DataFrame:
@@ -200,10 +246,8 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float
     docs = docs.select(_key(docs).alias("doc"), "text")
     items = stored(benchmark_windows(benchmark, window, similarity), "items")
     anchors = broadcast_if_small(items.filter("anchor").select("h", "item_id").distinct(), max_broadcast_rows)
-    hashes = _view_hashes(F.col("text"), window)
     found = stored(
-        docs.select("doc", F.explode(hashes).alias("h")).join(anchors, "h").select("doc", "item_id").distinct(),
-        "candidates",
+        view_hashes(docs, "doc", window).join(anchors, "h").select("doc", "item_id").distinct(), "candidates"
     )
     again = docs.join(broadcast_if_small(found.select("doc").distinct(), max_broadcast_rows), "doc", "left_semi")
     windows = slot_windows(again, "doc", window).drop("w")

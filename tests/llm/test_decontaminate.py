@@ -86,6 +86,19 @@ def test_tokens(spark):
         assert [x["t"] for x in got["s"]] == list(got["t"])
 
 
+def test_hashes_of_all_views_at_once(spark):
+    """The document's side, token by token, finds the same windows as the item's side, view by view."""
+    texts = [t for _, t in ITEMS] + [t for _, t, *_ in DOCS[:9]] + [
+        "It costs 3.50 dollars, Sir John Doe 5 Kg 7 8", "5kg 5Kg 5 KG 5  Kg\tKm", "ANNA Anna, Anna; anna \"Anna\" (Bob) O'Brien",
+        "Über ein Ärger, Éa 1,000 Euro 7", "\ue001\ue004\ue005 A \ue004B c", "e\u0301Anna iPhone 5Anna Anna5 \U0001d400b", "A", "a 7 Km",
+        " \n Two  blanks \u00a0 and \x85 more ",
+    ]
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {tuple(r) for r in d.view_hashes(rows_, "id").collect()}
+    assert got == {tuple(r) for r in d.slot_windows(rows_, "id", d.WINDOW).select("id", "h").collect()}
+    assert len(got) > 100
+
+
 @pytest.mark.parametrize("limit", [d.MAX_BROADCAST_ROWS, 0])
 def test_pairs(spark, checkpoint_dir, limit):
     got = d.contaminated_pairs(clash(docs(spark, DOCS), F), bench(spark), max_broadcast_rows=limit)
