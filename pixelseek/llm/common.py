@@ -10,13 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelseek.functions.codebooks import one_machine
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests on one machine), a temporary folder is set."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary folder is set in a session on one machine
+    (tests), and ValueError is raised in any other: executors would each write to a disk of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not one_machine(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pixelseek-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
