@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelseek.functions import kernels
 from pixelseek.functions.hashing import hash_unit
 from pixelseek.operators.relational import join_side
 
@@ -179,20 +182,91 @@ def max_trim(pixels: DataFrame, size: tuple[int, int]) -> DataFrame:
         left + 1, left + F.col("width") - w + 1
     )
     rank = F.struct("v", (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))
-    best = pixels.where(fits).groupBy("image_id", "ch").agg(F.max(rank).alias("c"))
-    corner = best.select(
-        "image_id", "ch", (-F.col("c.nx") - left).alias("x0"), (-F.col("c.ny") - top).alias("y0")
+    # A map's pixels come together once, with its window's centre: an image is a bounded group.
+    rasters = pixels.groupBy("image_id", "ch").agg(
+        F.max(F.when(fits, rank)).alias("c"), F.collect_list(F.struct("x", "y", "v")).alias("cells")
     )
-    cut = pixels.join(corner, ["image_id", "ch"]).select(
-        "image_id",
-        F.lit(w).alias("width"),
-        F.lit(h).alias("height"),
-        "ch",
-        (F.col("x") - F.col("x0") + 1).cast("int").alias("x"),
-        (F.col("y") - F.col("y0") + 1).cast("int").alias("y"),
-        "v",
+    corner = rasters.where(F.col("c").isNotNull()).select(
+        "image_id", "ch", (-F.col("c.nx") - left).alias("x0"), (-F.col("c.ny") - top).alias("y0"), "cells"
+    )
+    moved = F.transform(
+        "cells",
+        lambda c: F.struct(
+            (c["x"] - F.col("x0") + 1).cast("int").alias("x"), (c["y"] - F.col("y0") + 1).cast("int").alias("y"), c["v"].alias("v")
+        ),
     )
-    return cut.where(F.col("x").between(1, w) & F.col("y").between(1, h))
+    within = F.filter(moved, lambda c: c["x"].between(1, w) & c["y"].between(1, h))
+    cut = corner.select("image_id", F.lit(w).alias("width"), F.lit(h).alias("height"), "ch", F.inline(within))
+    return cut.select(*IMAGE, "ch", "x", "y", "v")
+
+
+WARP = ("shift_y", "shift_x", "scale_y", "scale_x", "mirror_y", "mirror_x", "angle")
+
+
+def _resample_udf(size: tuple[int, int], default: float):
+    """Output pixels of each raster; an output pixel none of whose neighbours is in the table is left out."""
+    h, w = size
+    oy, ox = np.mgrid[0:h, 0:w]
+
+    def one(x, y, v, width, height, shift_y, shift_x, scale_y, scale_x, mirror_y, mirror_x, sin, cos):
+        known, cells = np.zeros((height, width), dtype=bool), np.zeros((height, width))
+        fits = (x >= 1) & (x <= width) & (y >= 1) & (y <= height) & ~np.isnan(v)
+        np.add.at(cells, (y[fits] - 1, x[fits] - 1), v[fits])
+        known[y[fits] - 1, x[fits] - 1] = True
+        ty, tx = (oy - (h / 2 - 0.5)) * scale_y, (ox - (w / 2 - 0.5)) * scale_x
+        py = ty * cos - tx * sin + (height / 2 - 0.5) + shift_y
+        px = ty * sin + tx * cos + (width / 2 - 0.5) + shift_x
+        py, px = (height - 1 - py if mirror_y else py), (width - 1 - px if mirror_x else px)
+        fy, fx = np.floor(py), np.floor(px)
+        inside = (fy >= 0) & (fy + 1 <= height - 1) & (fx >= 0) & (fx + 1 <= width - 1)
+        out, told = np.full((h, w), default), ~inside
+        at_y, at_x = fy[inside].astype(int), fx[inside].astype(int)
+        low_y, low_x = fy[inside] + 1 - py[inside], fx[inside] + 1 - px[inside]
+        total, any_known = np.zeros(len(at_y)), np.zeros(len(at_y), dtype=bool)
+        for dy, share_y in ((0, low_y), (1, 1 - low_y)):
+            for dx, share_x in ((0, low_x), (1, 1 - low_x)):
+                total += share_y * share_x * cells[at_y + dy, at_x + dx]
+                any_known |= known[at_y + dy, at_x + dx]
+        out[inside], told[inside] = total, any_known
+        return ox[told] + 1, oy[told] + 1, out[told]
+
+    @F.arrow_udf("array<struct<x:int,y:int,v:double>>")
+    def resampled(
+        x: pa.Array, y: pa.Array, v: pa.Array, width: pa.Array, height: pa.Array, shift_y: pa.Array, shift_x: pa.Array,
+        scale_y: pa.Array, scale_x: pa.Array, mirror_y: pa.Array, mirror_x: pa.Array, sin: pa.Array, cos: pa.Array,
+    ) -> pa.Array:
+        ends = np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)).astype(int)[:-1]
+        lists = [np.split(a.flatten().to_numpy(zero_copy_only=False), ends) for a in (x, y, v)]
+        scalars = [a.to_pylist() for a in (width, height, shift_y, shift_x, scale_y, scale_x, mirror_y, mirror_x, sin, cos)]
+        nothing = np.empty(0, int), np.empty(0, int), np.empty(0)
+        made = [nothing if None in row[3:] else one(*row) for row in zip(*lists, *scalars)]
+        out_x, out_y, out_v = (np.concatenate(c) for c in zip(*made))
+        return kernels.ragged_struct(
+            np.array([len(m[0]) for m in made]),
+            x=pa.array(out_x, pa.int32()),
+            y=pa.array(out_y, pa.int32()),
+            v=pa.array(out_v, pa.float64()),
+        )
+
+    return resampled
+
+
+def _rasters(pixels: DataFrame) -> DataFrame:
+    """One row per (image, map) with its pixels in a list: an image is a bounded group."""
+    cell = F.struct("x", "y", F.col("v").cast("double").alias("v"))
+    return pixels.groupBy(*IMAGE, "ch").agg(F.collect_list(cell).alias("cells"))
+
+
+def _warped(rasters: DataFrame, size: tuple[int, int], default: float) -> DataFrame:
+    h, w = size
+    numbers = [F.col(c).cast("boolean" if c.startswith("mirror") else "double") for c in WARP[:-1]]
+    out = _resample_udf(size, float(default))(
+        "cells.x", "cells.y", "cells.v", "width", "height", *numbers, F.sin("angle"), F.cos("angle")
+    )
+    # The rows are made from a column of their own, not from the function's call.
+    told = rasters.select("image_id", "ch", out.alias("_out"))
+    pixels = told.select("image_id", "ch", F.explode("_out").alias("p")).select("image_id", "ch", "p.*")
+    return pixels.select("image_id", F.lit(w).alias("width"), F.lit(h).alias("height"), "ch", "x", "y", "v")
 
 
 def transform(pixels: DataFrame, maps: DataFrame, size: tuple[int, int], default: float = 0.0) -> DataFrame:
@@ -200,60 +274,9 @@ def transform(pixels: DataFrame, maps: DataFrame, size: tuple[int, int], default
 
     ``maps`` has one row per (image_id, width, height, ch) with shift_y, shift_x, scale_y,
     scale_x, mirror_y, mirror_x and angle. Points whose four neighbours are not all inside the
-    image take ``default``. Each output pixel asks for its neighbours through one equi join.
+    image take ``default``. A map's pixels come together in one row, which finds all neighbours in itself.
     """
-    h, w = size
-    grid = maps.withColumn("oy", F.explode(F.sequence(F.lit(1), F.lit(h)))).withColumn(
-        "ox", F.explode(F.sequence(F.lit(1), F.lit(w)))
-    )
-    ty = (F.col("oy") - 1 - (h / 2 - 0.5)) * F.col("scale_y")
-    tx = (F.col("ox") - 1 - (w / 2 - 0.5)) * F.col("scale_x")
-    py = ty * F.cos("angle") - tx * F.sin("angle") + (F.col("height") / 2 - 0.5) + F.col("shift_y")
-    px = ty * F.sin("angle") + tx * F.cos("angle") + (F.col("width") / 2 - 0.5) + F.col("shift_x")
-    points = grid.select(
-        "image_id",
-        "ch",
-        "width",
-        "height",
-        "ox",
-        "oy",
-        F.when(F.col("mirror_y"), F.col("height") - 1 - py).otherwise(py).alias("py"),
-        F.when(F.col("mirror_x"), F.col("width") - 1 - px).otherwise(px).alias("px"),
-    )
-    points = points.withColumn("fy", F.floor("py")).withColumn("fx", F.floor("px"))
-    inside = (
-        (F.col("fy") >= 0)
-        & (F.col("fy") + 1 <= F.col("height") - 1)
-        & (F.col("fx") >= 0)
-        & (F.col("fx") + 1 <= F.col("width") - 1)
-    )
-    low_y, low_x = F.col("fy") + 1 - F.col("py"), F.col("fx") + 1 - F.col("px")
-
-    def corner(dy: int, dx: int) -> Column:
-        share = (1 - low_y if dy else low_y) * (1 - low_x if dx else low_x)
-        return F.struct(
-            (F.col("fx") + 1 + dx).cast("int").alias("x"),
-            (F.col("fy") + 1 + dy).cast("int").alias("y"),
-            share.alias("share"),
-        )
-
-    corners = F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1))
-    asked = points.select("image_id", "ch", "ox", "oy", F.explode(F.when(inside, corners)).alias("c"))
-    asked = asked.select("image_id", "ch", "ox", "oy", "c.x", "c.y", "c.share")
-    found = asked.join(pixels.select("image_id", "ch", "x", "y", "v"), ["image_id", "ch", "x", "y"]).select(
-        "image_id", "ch", "ox", "oy", (F.col("share") * F.col("v")).alias("t")
-    )
-    outside = points.where(~inside).select("image_id", "ch", "ox", "oy", F.lit(float(default)).alias("t"))
-    filled = found.unionByName(outside).groupBy("image_id", "ch", "ox", "oy").agg(F.sum("t").alias("v"))
-    return filled.select(
-        "image_id",
-        F.lit(w).alias("width"),
-        F.lit(h).alias("height"),
-        "ch",
-        F.col("ox").alias("x"),
-        F.col("oy").alias("y"),
-        "v",
-    )
+    return _warped(_rasters(pixels).join(maps.select(*IMAGE, "ch", *WARP), [*IMAGE, "ch"]), size, default)
 
 
 def augment(
@@ -272,8 +295,6 @@ def augment(
     Shifts are uniform in [-s, s], scales s^u with u in [-1, 1], mirrors have odds 1/2 and angles
     are uniform in [-pi a, pi a]. With ``fixed`` the arguments themselves are applied.
     """
-    maps = pixels.select(*IMAGE, "ch").distinct()
-
     def draw(name: str) -> Column:
         return hash_unit(seed, F.col("image_id"), F.col("ch"), name) * 2 - 1
 
@@ -285,7 +306,8 @@ def augment(
         cols[f"mirror_{axis}"] = F.lit(m) if fixed or not m else draw(f"mirror_{axis}") > 0
     turn = math.pi * float(angle)
     cols["angle"] = F.lit(turn) if fixed or turn == 0 else draw("angle") * turn
-    return transform(pixels, maps.withColumns(cols), size, default)
+    # Draws depend on image and map alone, so they are columns of the rasters: one scan, one shuffle, no join.
+    return _warped(_rasters(pixels).withColumns(cols), size, default)
 
 
 def to_vectors(pixels: DataFrame) -> DataFrame:

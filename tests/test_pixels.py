@@ -178,3 +178,26 @@ def test_pixels_and_vectors_are_inverse(spark):
     assert back.vec == list(map(float, range(24)))
     again = px.to_vectors(px.to_pixels(px.to_vectors(pixel_table(spark, m)), 4, 3)).first()
     assert again.vec == back.vec
+
+
+def test_maps_come_together_once(spark):
+    """Trimming and resampling: one scan, one shuffle by image and map, no join on pixels."""
+    from pixelseek import views
+
+    pixels = views.pixels(spark, "/root/testdata/sf0.001")
+    for out in (px.max_trim(pixels, (5, 4)), px.augment(pixels, (6, 6), shift=(1, 2), angle=0.1, seed=3)):
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan") == 1 and "Join " not in text and text.count("Exchange hashpartitioning") == 1
+
+
+def test_missing_pixels_count_nothing(spark):
+    """Of a 3 x 3 map two pixels are missing and one has no value: neighbours at hand are summed, none gives no pixel."""
+    have = {(1, 1): 1.0, (2, 1): 2.0, (3, 2): 4.0, (1, 3): 8.0, (2, 3): None, (3, 3): 16.0, (1, 2): 32.0}
+    rows = [(1, 3, 3, 1, x, y, v) for (x, y), v in have.items()]
+    pixels = spark.createDataFrame(rows, "image_id int, width int, height int, ch int, x int, y int, v double")
+    got = px.augment(pixels, (2, 2), scale=(1, 1), fixed=True)
+    # Output pixels lie in the middle of four neighbours each.
+    at = lambda x, y: sum((have.get((x + i, y + j)) or 0) / 4 for i in (0, 1) for j in (0, 1))
+    assert {(r.x, r.y): r.v for r in got.collect()} == {(x, y): at(x, y) for x in (1, 2) for y in (1, 2)}
+    alone = pixels.where("x = 1 AND y = 1")
+    assert [(r.x, r.y, r.v) for r in px.augment(alone, (2, 2), fixed=True).collect()] == [(1, 1, 0.25)]
