@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelseek.functions import kernels
 from pixelseek.functions.codebooks import MAX_BYTES, Dictionary, fetch
+from pixelseek.operators.abandon import Abandoning
 from pixelseek.operators.postings import candidates, postings, probe
 from pixelseek.operators.ranking import (
     MAX_K,
@@ -20,7 +21,7 @@ from pixelseek.operators.ranking import (
     rerank,
     top_hits,
 )
-from pixelseek.operators.scan import topk_scan
+from pixelseek.operators.scan import INDEX_ROWS, topk_scan
 from pixelseek.operators.words import THRESHOLD, soft_assign
 
 
@@ -88,12 +89,14 @@ def search_and_rank(
     metric: str = "chi2",
     without_self: bool = True,
     max_bytes: int = MAX_BYTES,
+    index_rows: int = INDEX_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, dist): search and exact re-ranking in one scan of the vectors.
 
     Gives the best ``max_k`` of ``rerank(search_index(...))`` without ever writing the
     (query, image) pairs: a task finds the words of its images, drops those that share none with
-    a query, scores the rest on the full vectors and keeps ``max_k`` per query. A dictionary
+    a query, scores the rest on the full vectors and keeps ``max_k`` per query. In stretches of at
+    least ``index_rows`` images it gives up on an image once part of its coordinates is too far. A dictionary
     too large to ship or with words of several lengths, and a ranking of all hits (no ``max_k``),
     take the way through the index.
     """
@@ -121,6 +124,10 @@ def search_and_rank(
                 line[marks] = block(x[marks], one[None, :])[:, 0]
         return out
 
+    def abandoning(rows: np.ndarray) -> Abandoning:
+        _, words = with_words(rows)
+        return Abandoning(rows, metric, lambda q_words: q_words @ words.T > 0)
+
     return topk_scan(
         vectors,
         queries.where(F.size("vec") == book.shape[1]),
@@ -132,6 +139,8 @@ def search_and_rank(
         width=book.shape[1],
         without_self=without_self,
         max_bytes=max_bytes,
+        index=abandoning,
+        index_rows=index_rows,
     )
 
 

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pixelseek.functions.blocks import write_blocks
 from pixelseek.operators import quantizer as pq
 from pixelseek.operators import words as wd
+from pixelseek.operators.abandon import Abandoning
 from pixelseek.operators.multi_index import MultiIndex
+from pixelseek.functions import kernels
 from pixelseek.plans import quantized as jobs
+from pixelseek.plans import retrieval
 from tests.test_quantizer import as_queries, vectors
 
 
@@ -155,3 +158,41 @@ def test_centres_in_blocks(spark):
     assert sorted(blocks.collect()) == sorted(whole.select(blocks.columns).collect())
     plan = blocks._jdf.queryExecution().executedPlan().toString()
     assert not any(f"{node} " in plan for node in ("Exchange", "SortMergeJoin", "BroadcastHashJoin"))
+
+
+@pytest.mark.parametrize("metric", ["chi2", "l2sq"])
+@pytest.mark.parametrize("k", [1, 6, 4000])
+def test_abandoned_candidates_are_not_near(metric, k):
+    """Same rows and distances as all distances, a third of the rows copies, some not candidates."""
+    rng = np.random.default_rng(k)
+    rows = rng.random((3000, 40)) + rng.random((3000, 1)) * 3
+    rows[::3] = rows[1]
+    queries = rows[:12] + 0.01
+    marks = rng.random((12, 3000)) < 0.8
+    index = Abandoning(rows, metric, lambda rest: rest)
+    full = np.where(marks, kernels.BLOCKS[metric](rows, queries).T, np.inf)
+    q, at, dist = index.search((queries, marks), np.full(12, np.inf), k)
+    for n in range(12):
+        order = np.lexsort((np.arange(3000), full[n]))[:k]
+        got = sorted(zip(dist[q == n], at[q == n].tolist()))[:k]
+        assert got == [(full[n, i], i) for i in order if np.isfinite(full[n, i])]
+    assert (index.read < 0.8 * index.held) if k < 10 else (index.read <= 2 * index.held)
+
+
+def test_few_coordinates_are_read():
+    rng = np.random.default_rng(0)
+    rows = rng.random((3000, 160)) + rng.random((3000, 1)) * 3
+    index = Abandoning(rows, "chi2", lambda rest: rest)
+    index.search((rows[:20] + 0.01, np.ones((20, 3000), dtype=bool)), np.full(20, np.inf), 5)
+    assert index.read < 0.4 * index.held
+
+
+@pytest.mark.parametrize("max_bytes", [64 << 20, 2000])
+def test_abandoning_report_equals_plain_report(spark, max_bytes):
+    rng = np.random.default_rng(2)
+    v = vectors(spark, rng.random((300, 20)) + 1)
+    words = spark.createDataFrame([(i, (rng.random(20) + 1).tolist()) for i in range(4)], "word_id int, wv array<double>")
+    plain, cut = (
+        retrieval.search_and_rank(as_queries(v), words, v, 7, max_bytes=max_bytes, index_rows=n).collect() for n in (1 << 30, 1)
+    )
+    assert sorted(plain) == sorted(cut) and len(cut) > 1000
