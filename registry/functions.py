@@ -9,6 +9,7 @@ import registry.base  # noqa: F401
 import registry.quantized  # noqa: F401
 from pixelseek import views
 from pixelseek.functions import vector as vf
+from pixelseek.operators import block_matrix as bm
 from pixelseek.operators import descriptors as ds
 from pixelseek.operators import moments as mo
 from pixelseek.operators import ranking as rk
@@ -329,6 +330,18 @@ def d5_scatter(spark, sf):
     return mo.gramian(white, DIM).select("i", "j", F.round("x", 1).alias("x"))
 
 
+@register(
+    "d5_whiten_blocks",
+    """SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN n - 1 ELSE 0 END::DOUBLE AS x FROM
+       (SELECT DISTINCT i FROM v) a, (SELECT DISTINCT i FROM v) b, (SELECT count(*) AS n FROM embeddings)""",
+    "v",
+)
+def d5_blocks(spark, sf):
+    """The same by products of blocks, without the matrix in the driver."""
+    white = bm.whiten_blocks(views.vectors(spark, sf), DIM, mo.WHITEN_EPS, DIM // 2)
+    return mo.gramian(white, DIM).select("i", "j", F.round("x", 1).alias("x"))
+
+
 @register(
     "d5_whiten_symmetric",
     "SELECT a.i, b.i AS j, 0.0::DOUBLE AS x FROM (SELECT DISTINCT i FROM v) a, (SELECT DISTINCT i FROM v) b",
