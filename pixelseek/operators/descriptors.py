@@ -15,6 +15,7 @@ from pixelseek.functions import kernels
 from pixelseek.functions.codebooks import MAX_BYTES, Dictionary, fetch, local_table
 from pixelseek.functions.vector import sift_normalize, sqnorm
 from pixelseek.operators.words import knn as knn_words
+from pixelseek.plans.quantized import MAX_ITER, TOLERANCE, fit_pq
 
 # Neighbours and regularization of the codes, pyramid, and descriptor geometry.
 KNN, BETA = 5, 1e-4
@@ -24,8 +25,23 @@ GRID_STEP, PATCH, SIGMA = 6, 16, 0.8
 POSITION = ("x", "y", "width", "height")
 
 
-def learn_dictionary(descriptors: DataFrame, method: str = "kmeans", size: int = 512, seed: int = 0) -> DataFrame:
-    """(word_id, wv): k-means centres of the descriptors, or with "none" the descriptors themselves."""
+def learn_dictionary(
+    descriptors: DataFrame,
+    method: str = "kmeans",
+    size: int = 512,
+    seed: int = 0,
+    max_iter: int = MAX_ITER,
+    tol: float | None = TOLERANCE,
+) -> DataFrame:
+    """(word_id, wv): k-means centres of the descriptors, or with "none" the descriptors themselves.
+
+    "kmeans" starts from Spark's seeded choice of centres, "lloyd" from a hashed first assignment of (image_id, desc_id)
+    that any SQL engine can repeat; ``max_iter`` passes at most, ``tol=None`` all of them, both for "lloyd" only.
+    """
+    if method == "lloyd":
+        name = F.concat_ws(":", F.col("image_id").cast("string"), F.col("desc_id").cast("string"))
+        rows = descriptors.select(name.alias("vec_id"), F.col("d").alias("vec"))
+        return fit_pq(rows, 1, size, max_iter, tol, seed).select(F.col("cid").alias("word_id"), F.col("c").alias("wv"))
     if method == "none":
         return descriptors.select(F.monotonically_increasing_id().alias("word_id"), F.col("d").alias("wv"))
     if method != "kmeans":

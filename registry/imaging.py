@@ -30,46 +30,78 @@ fragment(
     " ON s.image_id = d.image_id AND s.desc_id = d.desc_id GROUP BY 1, 2",
     "signs",
 )
-fragment(
-    "near_words",
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, desc_id ORDER BY dist, word_id) AS rk FROM"
-    " (SELECT d.image_id, d.desc_id, w.word_id, sum((w.x - d.x) * (w.x - d.x)) AS dist FROM descriptors d"
-    " JOIN desc_words w ON w.i = d.i GROUP BY 1, 2, 3)) WHERE rk <= 2",
-    "desc_words",
-)
-fragment(
-    "two_words",
-    "SELECT n.image_id, n.desc_id, n.word_id AS w1, m.word_id AS w2,"
-    " sum((a.x - d.x) * (a.x - d.x)) AS c11, sum((b.x - d.x) * (b.x - d.x)) AS c22,"
-    " sum((a.x - d.x) * (b.x - d.x)) AS c12 FROM near_words n"
-    " JOIN near_words m ON m.image_id = n.image_id AND m.desc_id = n.desc_id AND m.rk = 2"
-    " JOIN descriptors d ON d.image_id = n.image_id AND d.desc_id = n.desc_id"
-    " JOIN desc_words a ON a.word_id = n.word_id AND a.i = d.i"
-    " JOIN desc_words b ON b.word_id = m.word_id AND b.i = d.i WHERE n.rk = 1 GROUP BY 1, 2, 3, 4",
-    "near_words",
-)
-fragment(
-    "llc",
-    "SELECT image_id, desc_id, unnest([w1, w2]) AS word_id, unnest([s, 1 - s]) AS w FROM (SELECT *,"
-    " (c22 + 1e-4 * (c11 + c22) - c12) / (c11 + c22 + 2e-4 * (c11 + c22) - 2 * c12) AS s FROM two_words)",
-    "two_words",
-)
 fragment(
     "places",
     "SELECT image_id, desc_id, unnest([1, 1 + (row - 1) // 2 * 2 + (col - 1) // 2 + 1, 5 + (row - 1) * 4 + col]) AS bin"
     " FROM (SELECT DISTINCT image_id, desc_id, desc_id // 4 + 1 AS row, desc_id % 4 + 1 AS col FROM descriptors)",
     "descriptors",
 )
+
+
+def _coded(prefix: str, words: str) -> None:
+    """Fragments of the two-word codes and the pooled features for a fragment of words."""
+    fragment(
+        f"{prefix}near_words",
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, desc_id ORDER BY dist, word_id) AS rk FROM"
+        " (SELECT d.image_id, d.desc_id, w.word_id, sum((w.x - d.x) * (w.x - d.x)) AS dist FROM descriptors d"
+        f" JOIN {words} w ON w.i = d.i GROUP BY 1, 2, 3)) WHERE rk <= 2",
+        words,
+    )
+    fragment(
+        f"{prefix}two_words",
+        "SELECT n.image_id, n.desc_id, n.word_id AS w1, m.word_id AS w2,"
+        " sum((a.x - d.x) * (a.x - d.x)) AS c11, sum((b.x - d.x) * (b.x - d.x)) AS c22,"
+        f" sum((a.x - d.x) * (b.x - d.x)) AS c12 FROM {prefix}near_words n"
+        f" JOIN {prefix}near_words m ON m.image_id = n.image_id AND m.desc_id = n.desc_id AND m.rk = 2"
+        " JOIN descriptors d ON d.image_id = n.image_id AND d.desc_id = n.desc_id"
+        f" JOIN {words} a ON a.word_id = n.word_id AND a.i = d.i"
+        f" JOIN {words} b ON b.word_id = m.word_id AND b.i = d.i WHERE n.rk = 1 GROUP BY 1, 2, 3, 4",
+        f"{prefix}near_words",
+    )
+    fragment(
+        f"{prefix}llc",
+        "SELECT image_id, desc_id, unnest([w1, w2]) AS word_id, unnest([s, 1 - s]) AS w FROM (SELECT *,"
+        f" (c22 + 1e-4 * (c11 + c22) - c12) / (c11 + c22 + 2e-4 * (c11 + c22) - 2 * c12) AS s FROM {prefix}two_words)",
+        f"{prefix}two_words",
+    )
+    fragment(
+        f"{prefix}pooled",
+        "SELECT u.image_id, u.bin, u.word_id, CASE WHEN u.users = m.members THEN u.top ELSE greatest(u.top, 0) END AS v"
+        f" FROM (SELECT p.image_id, p.bin, l.word_id, max(l.w) AS top, count(*) AS users FROM {prefix}llc l JOIN places p"
+        " ON p.image_id = l.image_id AND p.desc_id = l.desc_id GROUP BY 1, 2, 3) u"
+        " JOIN (SELECT image_id, bin, count(*) AS members FROM places GROUP BY 1, 2) m"
+        " ON m.image_id = u.image_id AND m.bin = u.bin",
+        f"{prefix}llc",
+        "places",
+    )
+
+
+_coded("", "desc_words")
+
+# A dictionary by Lloyd's iterations from a seeded first assignment: passes of assignment and means.
+WORDS, LLOYD_SEED, LLOYD_PASSES = 16, 1, 4
 fragment(
-    "pooled",
-    "SELECT u.image_id, u.bin, u.word_id, CASE WHEN u.users = m.members THEN u.top ELSE greatest(u.top, 0) END AS v"
-    " FROM (SELECT p.image_id, p.bin, l.word_id, max(l.w) AS top, count(*) AS users FROM llc l JOIN places p"
-    " ON p.image_id = l.image_id AND p.desc_id = l.desc_id GROUP BY 1, 2, 3) u"
-    " JOIN (SELECT image_id, bin, count(*) AS members FROM places GROUP BY 1, 2) m"
-    " ON m.image_id = u.image_id AND m.bin = u.bin",
-    "llc",
-    "places",
+    "lloyd_a0",
+    f"SELECT image_id, desc_id, (('0x' || left(md5('{LLOYD_SEED}:0:' || image_id || ':' || desc_id), 8))::BIGINT % {WORDS})"
+    "::INTEGER AS word_id FROM (SELECT DISTINCT image_id, desc_id FROM descriptors)",
+    "descriptors",
 )
+for n in range(LLOYD_PASSES):
+    fragment(
+        f"lloyd_c{n}",
+        f"SELECT a.word_id, d.i, avg(d.x) AS x FROM descriptors d JOIN lloyd_a{n} a"
+        " ON a.image_id = d.image_id AND a.desc_id = d.desc_id GROUP BY 1, 2",
+        f"lloyd_a{n}",
+    )
+    fragment(
+        f"lloyd_a{n + 1}",
+        "SELECT image_id, desc_id, arg_min(word_id, struct_pack(d := dist, c := word_id)) AS word_id FROM"
+        " (SELECT d.image_id, d.desc_id, c.word_id, sum((d.x - c.x) * (d.x - c.x)) AS dist FROM descriptors d"
+        f" JOIN lloyd_c{n} c ON c.i = d.i GROUP BY 1, 2, 3) GROUP BY 1, 2",
+        f"lloyd_c{n}",
+    )
+LLOYD = f"lloyd_c{LLOYD_PASSES - 1}"
+_coded("lloyd_", LLOYD)
 
 
 def _codes(spark: SparkSession, sf: str, knn: int) -> DataFrame:
@@ -120,8 +152,18 @@ def d3(spark, sf):
     return pooled.select("image_id", "bin", "word_id", r6("v").alias("v"))
 
 
-@register("d1_dictionary")
+def _lloyd_words(spark: SparkSession, sf: str) -> DataFrame:
+    return ds.learn_dictionary(views.descriptors(spark, sf), "lloyd", WORDS, LLOYD_SEED, LLOYD_PASSES, tol=None)
+
+
+@register("d1_dictionary", f"SELECT word_id, i, round(x, 6) + 0.0 AS x FROM {LLOYD}", LLOYD)
 def d1(spark, sf):
+    rows = cells(_lloyd_words(spark, sf), "word_id", array="wv")
+    return rows.withColumn("x", F.col("x") + 0.0)
+
+
+@register("d1_kmeans_dictionary")
+def d1_kmeans(spark, sf):
     return cells(ds.learn_dictionary(views.descriptors(spark, sf), "kmeans", 16, seed=1), "word_id", array="wv")
 
 
@@ -141,8 +183,21 @@ def d1_none(spark, sf):
     )
 
 
-@register("d4_llc_spm_features")
+@register(
+    "d4_llc_spm_features",
+    """SELECT image_id, bin, word_id, round(v / sqrt(sum(v * v) OVER (PARTITION BY image_id)), 6) AS v
+       FROM lloyd_pooled WHERE v <> 0""",
+    "lloyd_pooled",
+)
 def d4(spark, sf):
+    """Lloyd's dictionary, codes of two words, pooled."""
+    out = jobs.llc_spm_features(views.descriptors(spark, sf), _lloyd_words(spark, sf), knn=2)
+    return out.select("image_id", "bin", "word_id", r6("v").alias("v"))
+
+
+@register("d4_kmeans_features")
+def d4_kmeans(spark, sf):
+    """Dictionary and codes by the defaults: k-means, five words."""
     out = jobs.llc_spm_features(views.descriptors(spark, sf), size=16, seed=1)
     return out.select("image_id", "bin", "word_id", r6("v").alias("v"))
 
