@@ -7,6 +7,7 @@ beyond it; callers then take a join-based way.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -77,9 +78,18 @@ def pinned(df: DataFrame, array_col: str, max_bytes: int = PIN_BYTES) -> DataFra
     return df.persist()
 
 
+def one_machine(master: str) -> bool:
+    """Whether the session runs in one process; executors of ``local-cluster`` have processes of their own."""
+    return re.match(r"local(\[|$)", master) is not None
+
+
 def use_checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, which all executors share; unset (on one machine), a temporary one."""
+    """The cluster's checkpoint folder, which all executors share; unset, a temporary one in a session on one machine.
+
+    Elsewhere an unset folder raises ValueError: executors would each write to a disk of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not one_machine(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = folder or tempfile.mkdtemp(prefix="pixelseek-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

@@ -88,3 +88,10 @@ def test_pinned_larger_table_stays_distributed(spark):
     assert pinned(df, "c").isLocal()
     big = pinned(df, "c", max_bytes=10)
     assert not big.isLocal() and big.count() == 100
+
+
+def test_sessions_on_one_machine():
+    from pixelseek.functions.codebooks import one_machine
+
+    assert all(map(one_machine, ("local", "local[8]", "local[*]")))
+    assert not any(map(one_machine, ("local-cluster[3,2,3000]", "yarn", "spark://host:7077", "k8s://https://host")))
