@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Defined cases: documents of null or empty text, or without a letter, have no language and go with the first stage; a null
+doc_id is a value like any other, and of equal texts the row with the largest doc_id stays (null before all others); rows
+that repeat an id with another text are documents of their own; an empty table gives an empty result. All stages but the
+last return the columns of their input, whatever further ones it has; the last returns its own.
+"""
 
 from __future__ import annotations
 
@@ -51,7 +57,8 @@ STAGES = [
     ("pieces", tokens),
 ]
 
-#: Models, components and pieces are beyond SQL; tests compare the stages with brute force.
+#: Models, components and pieces are beyond SQL. Tests compare exact dedup and pieces with plain Python and bound what the
+#: language and near-duplicate stages drop; the operators have their own brute-force tests.
 ORACLE_SQL = None
 
 

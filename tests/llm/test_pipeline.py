@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pixelseek.llm import queries
 from pixelseek.llm.common import stored
+from tests.llm.helpers import clash
+from tests.llm.helpers import docs as make_docs
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +46,23 @@ def test_run(spark, checkpoint_dir):
 
 def test_names():
     assert [int(n[2:].split("_")[0]) for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
+
+
+def test_awkward_rows(spark, checkpoint_dir, tmp_path):
+    """Nulls, empty texts, repeated ids and rows, clashing column names, and an empty table."""
+    told = "the cat and the dog walk to the house of the old man number {} with the {} of the year and go home again"
+    full = [(i, told.format(i, "abcdefgh"[i % 8] * (i + 2)), "en", "s") for i in range(40)]
+    odd = [(None, None, None, None), (100, "", "en", "s"), (101, "½ ①", "en", "s"), (None, full[3][1], "en", "s")]
+    again = [full[5], full[5], (6, "another text with the words of a row that repeats an id of the table", "en", "s")]
+    table = clash(make_docs(spark, full + odd + again), F)
+    for docs in (table, table.limit(0)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stored(stage(spark, docs, SF), name)
+            assert name == "pieces" or docs.columns == columns
+            if name == "exact_dedup" and columns and docs.count():
+                kept = [(r["doc_id"], r["text"]) for r in docs.collect()]
+                assert not {100, 101} & {i for i, _ in kept} and all(t for _, t in kept)
+                assert len(kept) == len({t for _, t in kept}) and (3, full[3][1]) in kept and (None, full[3][1]) not in kept
+                assert {i for i, _ in kept if i is not None} >= {0, 3, 5, 6} and [i for i, _ in kept].count(6) == 2
+    assert docs.count() == 0
