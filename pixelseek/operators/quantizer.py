@@ -253,6 +253,7 @@ def table_distances(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
 def adc(queries: DataFrame, codes: DataFrame, centers: DataFrame) -> DataFrame:
     """(query_id, vec_id, dist) for every query and code, by joining codes with distance tables.
 
+    It makes and shuffles every pair: a check of ``search_pq`` on small tables, not for large ones.
     Rows of the tables are (query_id, gid, cid, d). For top-k answers use ``search_pq``,
     which keeps k per query in each task and does not emit the pairs.
     """
