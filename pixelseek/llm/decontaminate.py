@@ -45,25 +45,29 @@ NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 # In front of a token: it is capitalised, and it is so inside a sentence.
 CAPITALISED, WITHIN = "\ue004", "\ue005"
 _WORD = r"[\p{L}\p{M}]+"
+_BLANK = r"[\s\p{Z}\x{85}]"
 _NAME = rf"(?<=[\p{{L}}\p{{N}},;] )(?=\p{{Lu}})({_WORD})"
 _NUMBER = r"(\p{Nd}+(?:[.,]\p{Nd}+)*)"
 _CAPITAL = rf"(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})({_WORD})"
 # Views, by what a name is; the first is the one by which an item's windows are counted.
 INSIDE, CAPITAL, NO_NAME = VIEWS = (_NAME, _CAPITAL, None)
 _UNIT_OR_NAME = (
-    rf"(?i)({NUMBER}\s{{0,2}})((?:{CAPITALISED}{WITHIN}?)?)"
+    rf"(?i)({NUMBER}{_BLANK}*+)((?:{CAPITALISED}{WITHIN}?)?)"
     rf"(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
 )
 _UNIT = rf"(?i)({NUMBER}[\p{{Nd}}.,]*\s{{0,2}})({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])"
 
 
-def _bare(text: Column) -> Column:
-    """The text without marks, each run of white space as one blank; single blanks, the most, are no match."""
+def _unmarked(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     # All marks begin with the same two bytes, which few texts hold.
     marked = F.contains(t.cast("binary"), F.lit(NAME.encode()[:2]))
-    t = F.when(marked, F.translate(t, NAME + NUMBER + UNIT + CAPITALISED + WITHIN, "")).otherwise(t)
-    return F.regexp_replace(t, F.lit(r" *[\s\p{Z}\x{85}&&[^ ]][\s\p{Z}\x{85}]*| {2,}"), F.lit(" "))
+    return F.when(marked, F.translate(t, NAME + NUMBER + UNIT + CAPITALISED + WITHIN, "")).otherwise(t)
+
+
+def _bare(text: Column) -> Column:
+    """The text without marks, each run of white space as one blank; single blanks, the most, are no match."""
+    return F.regexp_replace(_unmarked(text), F.lit(rf"{_BLANK}(?:{_BLANK}+|(?<! ))"), F.lit(" "))
 
 
 def _names(text: Column, view: str | None, by: str) -> Column:
@@ -123,22 +127,24 @@ def _hash(words: list[Column]) -> Column:
     return F.xxhash64(*[F.when(w.isNotNull(), F.xxhash64(w)) for w in words])
 
 
-def _view_tokens(bare: Column) -> Column:
-    """The tokens of all views at once: those without names, behind marks where other views may have a name."""
-    t = F.regexp_replace(bare, F.lit(r"(?=\p{Lu})(?<![\p{L}\p{M}])"), F.lit(CAPITALISED))
-    within = rf"{CAPITALISED}(?<=[\p{{L}}\p{{N}},;] {CAPITALISED})"
-    t = F.regexp_replace(t, F.lit(within), F.lit(CAPITALISED + WITHIN))
+def _view_tokens(text: Column) -> Column:
+    """The tokens of all views at once: those without names, behind marks where other views may have a name.
+
+    Runs of white space are taken as they are, which saves the pass that makes them one blank."""
+    within = rf"{_BLANK}(?<=[\p{{L}}\p{{N}},;]{_BLANK}){_BLANK}*+(?=\p{{Lu}})"
+    t = F.regexp_replace(_unmarked(text), F.lit(within), F.lit(f" {CAPITALISED}{WITHIN}"))
+    t = F.regexp_replace(t, F.lit(rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}{WITHIN}])"), F.lit(CAPITALISED))
     t = F.regexp_replace(t, F.lit(_NUMBER), F.lit(f" {NUMBER} "))
     t = F.regexp_replace(t, F.lit(_UNIT_OR_NAME), F.lit(f"$1 $2{UNIT} "))
     marks = NAME + NUMBER + UNIT + CAPITALISED + WITHIN
-    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}{marks}]+"), "")
+    return F.array_remove(F.split(F.lower(t), rf"[^a-z\p{{L}}\p{{M}}{marks}]+"), "")
 
 
 def view_hashes(rows: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
-    """(key, h) of the windows of the texts in all views, equal ones not yet merged.
+    """(key, h) of the windows of the texts in all views, equal ones of a text not yet merged.
 
-    A token is hashed once, a window from the hashes of its tokens. Views differ by tokens that may be names, so the
-    windows of the other views are looked at only where they hold such a token."""
+    A token is hashed once, a window from the hashes of its tokens. Windows are hashed behind the explode, in
+    generated code: array lambdas are interpreted."""
     name = F.xxhash64(F.lit(NAME))
 
     def kind(t: Column) -> Column:
@@ -148,27 +154,23 @@ def view_hashes(rows: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
     def word(t: Column, k: Column) -> Column:
         return F.xxhash64(F.when(k > 0, F.substring(t, k + 1, F.lit(1 << 30))).otherwise(t))
 
-    tokens = rows.select(key, _view_tokens(_bare(F.col("text"))).alias("ts"))
+    tokens = rows.select(key, _view_tokens(F.col("text")).alias("ts"))
     tokens = tokens.select(key, "ts", F.transform("ts", kind).alias("kinds"))
-    words = tokens.select(key, "kinds", F.zip_with("ts", "kinds", word).alias("none"))
-    views = words.select(
-        key,
-        "none",
-        F.zip_with("none", "kinds", lambda h, k: F.when(k == 2, name).otherwise(h)).alias("inside"),
-        F.zip_with("none", "kinds", lambda h, k: F.when(k > 0, name).otherwise(h)).alias("capital"),
-        F.array_compact(F.transform("kinds", lambda k, i: F.when(k > 0, i + 1))).alias("at"),
-    )
-    last = F.greatest(F.size("inside") - window + 1, F.lit(1))
-    around = F.transform(
-        "at", lambda i: F.sequence(F.greatest(i - window + 1, F.lit(1)), F.least(i, last))
-    )
-    starts = views.select("*", _starts(F.col("inside"), window).alias("all"), F.array_distinct(F.flatten(around)).alias("some"))
+    words = tokens.select(key, "kinds", F.zip_with("ts", "kinds", word).alias("words"))
+    at = words.select(key, "kinds", "words", F.posexplode_outer("words").alias("pos", "first"))
+    at = at.filter(F.col("pos") <= F.greatest(F.size("words") - window, F.lit(0)))
+
+    def hashed(least: int) -> Column:
+        """Names are the tokens of at least this kind; elements beyond the end are null."""
+        parts = [(F.get("kinds", F.col("pos") + k), F.get("words", F.col("pos") + k)) for k in range(window)]
+        return F.xxhash64(*[F.when(k >= least, name).otherwise(w) for k, w in parts])
+
+    views = at.select(key, hashed(2).alias("inside"), hashed(1).alias("capital"), hashed(3).alias("none"))
 
-    def hashed(view: str, at: str) -> Column:
-        return F.transform(at, lambda i: F.xxhash64(*_part(F.col(view), i, window)))
+    def other(view: str) -> Column:
+        return F.when(F.col(view) != F.col("inside"), F.col(view))
 
-    every = F.concat(hashed("inside", "all"), hashed("capital", "some"), hashed("none", "some"))
-    return starts.select(key, F.explode(every).alias("h"))
+    return views.select(key, F.explode(F.array("inside", other("capital"), other("none"))).alias("h")).filter("h IS NOT NULL")
 
 
 def slot_windows(rows: DataFrame, key: str, window: int) -> DataFrame:

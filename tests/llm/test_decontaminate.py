@@ -213,3 +213,24 @@ def test_views_have_the_same_tokens(spark):
         assert len({len(x) for x in got}) == 1
         for slots, words in zip(got[::2], got[1::2]):
             assert [x["t"] for x in slots] == list(words)
+
+
+def test_windows_of_equal_views_are_hashed_once(spark):
+    """A window counts once for each way it reads, however many views read it so, and texts are cut once."""
+    texts = [JANET, ASKED, ASKED.upper(), ASKED.lower(), "Anna met Bob", "one, Two", "", None]
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    hashes = d.view_hashes(rows_, "id")
+    seen = d.slot_windows(rows_, "id", d.WINDOW).select("id", "pos", "h")
+    assert sorted(map(tuple, hashes.collect())) == sorted((r["id"], r["h"]) for r in seen.distinct().collect())
+    assert hashes._jdf.queryExecution().executedPlan().toString().count("split(lower(") == 1
+
+
+def test_runs_of_white_space_of_any_kind(spark):
+    """The document's side takes white space as it is, the item's side makes each run one blank."""
+    blanks = [" ", "\n", " \n ", "\u00a0", "  ", "\x85\t", "\u2003\u2028 ", "\x0b\u3000"]
+    parts = ["{0}Anna{0}met,{0}Bob;{0}Clara.{0}Otto", "a{0}5{0}Kg{0}7{0}8{0}kg{0}9{0}{0}Days{0}", "5{0}Anna{0}\u0660{0}km\"{0}Eve", "{0}"]
+    texts = [p.format(b) for p in parts for b in blanks]
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {tuple(r) for r in d.view_hashes(rows_, "id").collect()}
+    assert got == {tuple(r) for r in d.slot_windows(rows_, "id", d.WINDOW).select("id", "h").collect()}
+    assert len(got) > 100
