@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelseek.llm.common import bound, broadcast_if_small, stored
+from pixelseek.llm.common import broadcast_if_small, stored
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -111,20 +111,22 @@ def slotted(text: Column, view: str | None = INSIDE) -> Column:
     return F.transform(tokens, token)
 
 
-def _starts(tokens: Column, window: int) -> Column:
-    return F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.greatest(F.size(tokens) - window + 1, F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
-    )
+def _windows_of(rows: DataFrame, tokens: str, window: int) -> DataFrame:
+    """A row, with ``pos``, for each window of the array ``tokens``; a shorter array has one, an empty one none.
+
+    Outer, since an inner explode has a filter on the array's size put in front that makes the array twice."""
+    at = rows.select("*", F.posexplode_outer(tokens).alias("pos", "first"))
+    return at.filter(F.col("pos") <= F.greatest(F.size(tokens) - window, F.lit(0)))
 
 
-def _part(tokens: Column, start: Column, window: int) -> list[Column]:
-    """The window's elements one by one, null beyond the end (``slice`` copies the whole array for each window)."""
-    return [F.get(tokens, start + (k - 1)) for k in range(window)]
+def _part(tokens: str, window: int) -> list[Column]:
+    """The elements of the window at ``pos``, null beyond the end."""
+    return [F.get(tokens, F.col("pos") + k) for k in range(window)]
 
 
-def _hash(words: list[Column]) -> Column:
-    """Of the tokens' hashes; tokens beyond the end are null."""
-    return F.xxhash64(*[F.when(w.isNotNull(), F.xxhash64(w)) for w in words])
+def _hash(tokens: str, window: int) -> Column:
+    """Of the window at ``pos``, from its tokens' hashes."""
+    return F.xxhash64(*_part(tokens, window))
 
 
 def _view_tokens(text: Column) -> Column:
@@ -157,12 +159,11 @@ def view_hashes(rows: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
     tokens = rows.select(key, _view_tokens(F.col("text")).alias("ts"))
     tokens = tokens.select(key, "ts", F.transform("ts", kind).alias("kinds"))
     words = tokens.select(key, "kinds", F.zip_with("ts", "kinds", word).alias("words"))
-    at = words.select(key, "kinds", "words", F.posexplode_outer("words").alias("pos", "first"))
-    at = at.filter(F.col("pos") <= F.greatest(F.size("words") - window, F.lit(0)))
+    at = _windows_of(words, "words", window)
 
     def hashed(least: int) -> Column:
-        """Names are the tokens of at least this kind; elements beyond the end are null."""
-        parts = [(F.get("kinds", F.col("pos") + k), F.get("words", F.col("pos") + k)) for k in range(window)]
+        """Names are the tokens of at least this kind."""
+        parts = zip(_part("kinds", window), _part("words", window))
         return F.xxhash64(*[F.when(k >= least, name).otherwise(w) for k, w in parts])
 
     views = at.select(key, hashed(2).alias("inside"), hashed(1).alias("capital"), hashed(3).alias("none"))
@@ -173,34 +174,34 @@ def view_hashes(rows: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
     return views.select(key, F.explode(F.array("inside", other("capital"), other("none"))).alias("h")).filter("h IS NOT NULL")
 
 
-def slot_windows(rows: DataFrame, key: str, window: int) -> DataFrame:
+def slot_windows(rows: DataFrame, key: str, window: int, wanted: DataFrame | None = None) -> DataFrame:
     """(key, pos, w, h, slots) of every window of the texts in each view, by slot-carrying tokens; w: h of the first view.
 
-    Views of a window that are equal are one row."""
+    Views of a window that are equal are one row. With ``wanted``, a table of h that fits a broadcast, only those rows;
+    slots of others are not made."""
+    texts = rows.select(key, *[slotted(F.col("text"), view).alias(f"v{i}") for i, view in enumerate(VIEWS)])
 
-    def part_of(tokens: Column, i: Column) -> list[Column]:
-        return _part(tokens, i, window)
+    def hashes(view: str) -> Column:
+        return F.transform(view, lambda x: F.xxhash64(x["t"]))
 
-    def seen(part: list[Column]) -> Column:
+    def values(view: str) -> Column:
         # A unit and a name of equal letters are two values.
-        values = F.array(*[F.concat(x["t"], x["slot"]) for x in part])
-        return F.struct(
-            _hash([x["t"] for x in part]).alias("h"), F.filter(values, lambda s: s.isNotNull()).alias("slots")
-        )
-
-    def windows(views: Column) -> Column:
-        first = views[0]
-
-        def one(i: Column) -> Column:
-            every = F.array_distinct(F.array(*[seen(part_of(views[k], i)) for k in range(len(VIEWS))]))
-            return F.struct(i.alias("pos"), _hash([x["t"] for x in part_of(first, i)]).alias("w"), every.alias("views"))
-
-        return F.transform(_starts(first, window), one)
-
-    views = F.array(*[slotted(F.col("text"), view) for view in VIEWS])
-    rows = rows.select(key, F.explode(bound(views, windows)).alias("at"))
-    rows = rows.select(key, "at.pos", "at.w", F.explode("at.views").alias("v"))
-    return rows.select(key, "pos", "w", "v.h", "v.slots")
+        return F.transform(view, lambda x: F.coalesce(F.concat(x["t"], x["slot"]), F.lit("")))
+
+    views = [f"v{i}" for i in range(len(VIEWS))]
+    texts = texts.select(key, *[hashes(v).alias(f"h{v}") for v in views], F.array(*[values(v) for v in views]).alias("values"))
+    at = _windows_of(texts, "hv0", window)
+    at = at.select(key, "pos", "values", *[_hash(f"h{v}", window).alias(v) for v in views])
+    seen = [
+        F.when(F.lit(i == 0) | (F.col(v) != F.col("v0")), F.struct(F.lit(i).alias("view"), F.col(v).alias("h")))
+        for i, v in enumerate(views)
+    ]
+    at = at.select(key, "pos", "values", F.col("v0").alias("w"), F.explode(F.array(*seen)).alias("v")).filter("v IS NOT NULL")
+    at = at.select(key, "pos", "values", "w", "v.view", "v.h")
+    if wanted is not None:
+        at = at.join(F.broadcast(wanted.select("h")), "h", "left_semi")
+    part = [F.coalesce(F.get(F.get("values", F.col("view")), F.col("pos") + k), F.lit("")) for k in range(window)]
+    return at.select(key, "pos", "w", "h", F.array_remove(F.array(*part), "").alias("slots"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
@@ -252,7 +253,9 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float
         view_hashes(docs, "doc", window).join(anchors, "h").select("doc", "item_id").distinct(), "candidates"
     )
     again = docs.join(broadcast_if_small(found.select("doc").distinct(), max_broadcast_rows), "doc", "left_semi")
-    windows = slot_windows(again, "doc", window).drop("w")
+    hashes = items.select("h").distinct()
+    small = hashes.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    windows = slot_windows(again, "doc", window, hashes if small else None).drop("w")
     named = found.join(broadcast_if_small(items, max_broadcast_rows), "item_id")
     hits = windows.join(named, ["doc", "h"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     hits = hits.withColumn(

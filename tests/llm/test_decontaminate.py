@@ -234,3 +234,15 @@ def test_runs_of_white_space_of_any_kind(spark):
     got = {tuple(r) for r in d.view_hashes(rows_, "id").collect()}
     assert got == {tuple(r) for r in d.slot_windows(rows_, "id", d.WINDOW).select("id", "h").collect()}
     assert len(got) > 100
+
+
+def test_wanted_windows_only(spark):
+    """Slots are made for the windows asked for, which are those of the whole table with these hashes."""
+    texts = [JANET, ASKED, ASKED.upper(), "5 kg", "", None]
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    every = d.slot_windows(rows_, "id", d.WINDOW)
+    wanted = every.select("h").distinct().filter("h % 3 = 0")
+    got = d.slot_windows(rows_, "id", d.WINDOW, wanted)
+    assert got.columns == ["id", "pos", "w", "h", "slots"]
+    assert sorted(map(tuple, got.select(*every.columns).collect())) == sorted(map(tuple, every.filter("h % 3 = 0").collect()))
+    assert 0 < got.count() < every.count()
