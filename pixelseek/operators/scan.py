@@ -7,15 +7,20 @@ stretch of its rows and reads one block after the other past it, so no query row
 and the base is read and described once whatever the number of blocks.
 
 Where a stretch is long, an index of its rows may find the k nearest without looking at all of them.
+
+``topk_spread`` goes the other way round, for as many queries as rows: the queries are dealt to tasks, and the base goes
+past them in blocks. A query's k rows come from one task, so the number of tasks does not multiply them.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +41,8 @@ INDEX_ROWS = 16384
 MERGE_ROWS = 1 << 20
 # A task may hold STATE_FACTOR x max_bytes of queries with their k best rows.
 STATE_FACTOR = 4
+# Queries that are dealt to a task, and tasks for each core at least.
+SPREAD_ROWS, SPREAD_TASKS = 8192, 3
 
 Prepare = Callable[[np.ndarray], Any]
 Describe = Callable[[np.ndarray], Any]
@@ -221,3 +228,112 @@ def topk_scan(
     if without_self:
         partial = partial.where(F.col("query_id") != F.col("vec_id"))
     return top_ranked(partial, k, ["dist", "vec_id"]).select("query_id", "rank", "vec_id", "dist")
+
+
+def _lists(q: np.ndarray, n_queries: int, *columns: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
+    """Numbers of the queries that have rows, and each column as one list for each of them; ``q`` ascends."""
+    counts = np.bincount(q, minlength=n_queries)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(counts[counts > 0]))), pa.int32())
+    return pa.array(np.flatnonzero(counts)), [pa.ListArray.from_arrays(offsets, c) for c in columns]
+
+
+def _merged(
+    batches: Iterator[pa.RecordBatch], k: int, without_self: bool, schema: pa.Schema
+) -> Iterator[pa.RecordBatch]:
+    """(query_id, rank, vec_id, dist) of the k nearest, from rows (query_id, vec_ids, dists) sorted by query_id.
+
+    Rows of one query_id are merged; its k nearest wait for the next batch, in which more of them may follow."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is None and not held:
+            return
+        rows = pa.concat_batches(held + ([] if batch is None else [batch]))
+        asked, lists = rows.column(0), rows.column(1)
+        same = pc.fill_null(pc.equal(asked[1:], asked[:-1]), False)
+        same = pc.or_(same, pc.and_(pc.is_null(asked[1:]), pc.is_null(asked[:-1]))).to_numpy(zero_copy_only=False)
+        group = np.cumsum(np.concatenate(([0], ~same)))
+        line = np.repeat(np.arange(len(group)), lists.value_lengths().to_numpy())
+        ids, dist = lists.flatten(), rows.column(2).flatten().to_numpy()
+        if without_self:
+            own = (asked.take(pa.array(line)), ids)
+            if pa.types.is_string(asked.type) != pa.types.is_string(ids.type):
+                own = [x.cast(pa.string()) for x in own]
+            other = pc.not_equal(*own).to_numpy(zero_copy_only=False)
+            line, ids, dist = line[other], ids.filter(pa.array(other)), dist[other]
+        q = group[line]
+        if same.any():
+            order = np.lexsort((_ids(ids), dist, q))
+            line, ids, dist, q = line[order], ids.take(pa.array(order)), dist[order], q[order]
+        rank = 1 + np.arange(len(q)) - np.searchsorted(q, q)
+        keep, last = rank <= k, q == (-1 if batch is None else group[-1])
+        made, wait = np.flatnonzero(keep & ~last), np.flatnonzero(keep & last)
+        held = []
+        if batch is not None:
+            _, lists = _lists(np.zeros(len(wait), np.int64), 1, ids.take(pa.array(wait)), pa.array(dist[wait]))
+            held = [pa.RecordBatch.from_arrays([asked[-1:], *lists], rows.schema.names)] if len(wait) else []
+        query, place = asked.take(pa.array(line[made])), pa.array(rank[made], pa.int32())
+        columns = [query, place, ids.take(pa.array(made)), pa.array(dist[made])]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def topk_spread(
+    base: DataFrame,
+    queries: DataFrame,
+    k: int,
+    prepare: Prepare,
+    index: Callable[[np.ndarray, np.ndarray], Index],
+    base_col: str,
+    width: int,
+    dim: int,
+    without_self: bool = True,
+    max_bytes: int = MAX_BYTES,
+) -> DataFrame:
+    """The rows of ``topk_scan``, for many queries (query_id, vec of length ``dim``).
+
+    The base is written once, in blocks of ``max_bytes``, to the shared folder. Queries are dealt evenly, whatever their
+    ids and files, to tasks that hold SPREAD_ROWS of them at most with their k nearest; each reads the blocks one after
+    the other and lays them out by ``index(rows, ids)``. A query's rows are shuffled as one list, to the other rows of
+    its query_id, and ranked there without a window.
+    """
+    keep = k + 1 if without_self else k
+    spark = base.sparkSession
+    q_type, v_type = dict(queries.dtypes)["query_id"], dict(base.dtypes)["vec_id"]
+    table = base.where(F.size(base_col) == width).select("vec_id", base_col)
+    asked = queries.where(F.size("vec") == dim).select("query_id", "vec")
+    if without_self:
+        # An unknown id can't be told from the query's own: no such row is a neighbour.
+        table, asked = table.where("vec_id is not null"), asked.where("query_id is not null")
+    table = table.persist()
+    blocks = write_blocks(table, "vec_id", base_col, max_bytes)
+    table.unpersist()
+    n, cores = asked.count(), spark.sparkContext.defaultParallelism
+    most = max(QUERY_STEP, min(SPREAD_ROWS, max_bytes // (8 * dim + 16 * keep)))
+    tasks = max(1, -(-n // most), min(SPREAD_TASKS * cores, -(-n // QUERY_STEP)))
+    arrow_of = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+    out = pa.schema(
+        [("query_id", arrow_of[q_type]), ("rank", pa.int32()), ("vec_id", arrow_of[v_type]), ("dist", pa.float64())]
+    )
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stretch in kernels.stretches(batches, most * 8 * dim):
+            matrix = kernels.list_matrix(stretch.column(1), dim)
+            best = BestOf(len(matrix), keep)
+            for block in blocks:
+                rows = kernels.list_matrix(block.column(base_col).combine_chunks(), width)
+                ids = _ids(block.column("vec_id").combine_chunks())
+                _scan(best, matrix, [(ids, index(rows, ids), True)], prepare, None)
+            q, dist, ids, _ = best.ranked()
+            at, lists = _lists(q, len(matrix), pa.array(ids, out.field("vec_id").type), pa.array(dist))
+            yield pa.RecordBatch.from_arrays([stretch.column(0).take(at), *lists], ["query_id", "vec_ids", "dists"])
+
+    packed = asked.repartition(tasks).mapInArrow(
+        searched, f"query_id {q_type}, vec_ids array<{v_type}>, dists array<double>"
+    )
+    return (
+        packed.repartition(tasks, "query_id")
+        .sortWithinPartitions("query_id")
+        .mapInArrow(
+            lambda batches: _merged(batches, k, without_self, out),
+            f"query_id {q_type}, rank int, vec_id {v_type}, dist double",
+        )
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelseek.functions.codebooks import MAX_BYTES, Centers, local_table
+from pixelseek.operators.code_tables import CodeTables
 from pixelseek.operators.multi_index import MultiIndex
 from pixelseek.operators.quantizer import (
     cluster_stats,
@@ -25,10 +26,12 @@ from pixelseek.operators.ranking import (
     pq_curve,
 )
 from pixelseek.operators.relational import join_side, select_queries, with_dim
-from pixelseek.operators.scan import INDEX_ROWS, topk_scan
+from pixelseek.operators.scan import INDEX_ROWS, topk_scan, topk_spread
 
 # Iteration limit and stop rule.
 MAX_ITER, TOLERANCE = 100, 1e-10
+# Queries that, with their neighbours, take more than a SHIPPED_PART of max_bytes are dealt to the tasks.
+SHIPPED_PART = 8
 
 
 def fit_pq(
@@ -95,15 +98,32 @@ def search_pq(
 ) -> DataFrame:
     """(query_id, rank, vec_id, dist): the k nearest codes by asymmetric distance.
 
-    With ``without_self`` the query's own id is left out and exactly k others are kept. Stretches
-    of at least ``index_rows`` codes are laid out by their first two groups, and buckets that cannot hold a
-    neighbour are skipped; the answer is that of the full scan.
+    With ``without_self`` the query's own id is left out and exactly k others are kept. A few queries are
+    shipped to the codes: stretches of at least ``index_rows`` of them are laid out by their first two groups, and
+    buckets that cannot hold a neighbour are skipped. Many queries are dealt to tasks that read all codes, laid out as
+    ``CodeTables``. Either way the answer is that of the full scan.
     """
     # Centres are parameter-sized (groups x clusters x sub-dimension), whatever the number of images.
     book = fetch_centers(centers, None)
+    asked = with_dim(queries, book.dim)
+    few = max_bytes // SHIPPED_PART // (8 * book.dim + 16 * (k + 1))
+    if asked.limit(few + 1).count() > few:
+        width = 1 + max(int(cids[-1]) for cids, _ in book.groups)
+        return topk_spread(
+            codes,
+            asked,
+            k,
+            prepare=lambda q: distance_tables(q, book),
+            index=lambda rows, ids: CodeTables(rows, ids, width),
+            base_col="code",
+            width=len(book.groups),
+            dim=book.dim,
+            without_self=without_self,
+            max_bytes=max_bytes,
+        )
     return topk_scan(
         codes,
-        with_dim(queries, book.dim),
+        asked,
         k,
         prepare=lambda q: distance_tables(q, book),
         score=table_distances,
