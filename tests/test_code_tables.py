@@ -115,3 +115,10 @@ def test_curves_of_dealt_queries_equal_sql(spark, monkeypatch, name):
     df = entry.queries()[name](spark, SMALL)
     assert scans(df) == 2 and "RoundRobin" in plan(df)
     assert compare(df, connect(SMALL), entry.oracle_sql()[name]) is None
+
+
+@pytest.mark.parametrize("name", ["x9_matches_at_k"])
+def test_no_window_ranks_the_neighbours(spark, monkeypatch, name):
+    """Before, one more window sorted what all tasks kept of every query; these two count matches and cut to k."""
+    monkeypatch.setattr(jobs, "SHIPPED_PART", 1 << 40)
+    assert plan(entry.queries()[name](spark, SMALL)).count("Window [") == 2
