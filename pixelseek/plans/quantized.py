@@ -26,11 +26,12 @@ from pixelseek.operators.ranking import (
     pq_curve,
 )
 from pixelseek.operators.relational import join_side, select_queries, with_dim
-from pixelseek.operators.scan import INDEX_ROWS, topk_scan, topk_spread
+from pixelseek.operators.scan import INDEX_ROWS, QUERY_STEP, topk_scan, topk_spread
 
 # Iteration limit and stop rule.
 MAX_ITER, TOLERANCE = 100, 1e-10
-# Queries that, with their neighbours, take more than a SHIPPED_PART of max_bytes are dealt to the tasks.
+# Queries that, with their neighbours, take more than a SHIPPED_PART of max_bytes are dealt to the tasks, unless they are
+# but one step of a task.
 SHIPPED_PART = 8
 
 
@@ -106,7 +107,7 @@ def search_pq(
     # Centres are parameter-sized (groups x clusters x sub-dimension), whatever the number of images.
     book = fetch_centers(centers, None)
     asked = with_dim(queries, book.dim)
-    few = max_bytes // SHIPPED_PART // (8 * book.dim + 16 * (k + 1))
+    few = max(QUERY_STEP, max_bytes // SHIPPED_PART // (8 * book.dim + 16 * (k + 1)))
     if asked.limit(few + 1).count() > few:
         width = 1 + max(int(cids[-1]) for cids, _ in book.groups)
         return topk_spread(

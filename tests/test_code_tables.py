@@ -117,7 +117,7 @@ def test_curves_of_dealt_queries_equal_sql(spark, monkeypatch, name):
     assert compare(df, connect(SMALL), entry.oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", ["x9_matches_at_k"])
+@pytest.mark.parametrize("name", ["x9_matches_at_k", "q5_sweep"])
 def test_no_window_ranks_the_neighbours(spark, monkeypatch, name):
     """Before, one more window sorted what all tasks kept of every query; these two count matches and cut to k."""
     monkeypatch.setattr(jobs, "SHIPPED_PART", 1 << 40)
